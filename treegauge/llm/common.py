@@ -6,9 +6,13 @@ for a text, and in pieces of bounded size, so that a worker's memory doesn't fol
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +33,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+def prepare(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """For operators with Python workers: small Arrow batches, and this package on every worker's path."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    package = Path(__file__).resolve().parents[1]
+    sc = spark.sparkContext
+    if getattr(sc, "_treegauge_sent", False) or not package.is_dir():
+        return
+    # executors fetch the file from the driver, when they first need it
+    folder = Path(tempfile.mkdtemp(prefix="treegauge-")).resolve()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(folder / "treegauge_workers.zip", "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(folder / "treegauge_workers.zip"))
+    sc._treegauge_sent = True
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -166,8 +183,27 @@ def shingles(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     return value[order], np.bincount(owner, minlength=rows)
 
 
-def blob(x: np.ndarray) -> bytes:
-    return x.tobytes()
+def pack(**x: np.ndarray) -> bytes:
+    """One binary of several arrays, so that a shuffle moves few large rows."""
+    head = np.array([len(v.tobytes()) for v in x.values()], np.int64)
+    return head.tobytes() + b"".join(v.tobytes() for v in x.values())
+
+
+def unpack(b: bytes, *kinds: type) -> list[np.ndarray]:
+    size = np.frombuffer(b, np.int64, len(kinds))
+    at, out = 8 * len(kinds), []
+    for k, n in zip(kinds, size, strict=True):
+        out.append(np.frombuffer(b, k, int(n) // np.dtype(k).itemsize, at))
+        at += int(n)
+    return out
+
+
+def by_key(rid: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """The places and the column parts of each distinct rid."""
+    order = np.argsort(rid, kind="stable")
+    rid = rid[order]
+    for part in np.split(order, np.flatnonzero(np.diff(rid)) + 1) if len(rid) else ():
+        yield part, [c[part] for c in columns]
 
 
 # ---- components ---------------------------------------------------------------------------

@@ -156,7 +156,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, side: in
     sharp_side, sharp_rows: the same of the tables for what the star rounds leave open.
     """
     spark = docs.sparkSession
-    C.small_batches(spark)
+    C.prepare(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = C.materialize(signatures(docs, words, side, rows, seed))
     linked = sig.where("n_shingles > 0 and doc_id is not null")

@@ -6,12 +6,38 @@ import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common as C
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents inside windows of benchmark items."""
+    from .decontam import contamination, is_contaminated
+
+    d = contamination(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.transform("items", lambda x: x.cast("string")))
+    return d.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of documents that 50-byte strings of earlier documents cover."""
+    from .suffix_dedup import repeated_spans
+
+    d = repeated_spans(C.table(spark, sf_dir, "documents"), window=50)
+    return d.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is shown when sources are mixed by temperature."""
+    from .mixing import mix, tokens_of
+
+    d = mix(C.table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "source", tokens_of(F.col("text")).alias("n_tokens"), F.round("source_weight", 6).alias("source_weight"), "copies")
+
+
 def op7_minhash_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of whole documents on two-word shingles."""
     from .minhash_tensor import near_duplicates
@@ -19,8 +45,43 @@ def op7_minhash_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(C.table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of documents that repeated runs of three sentences cover."""
+    from .span_dedup import repeated_sentences
+
+    d = repeated_sentences(C.table(spark, sf_dir, "documents"), run=3)
+    return d.select("doc_id", "n_sentences", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards of near equal bytes."""
+    from .sharding import sharded
+
+    d = sharded(C.table(spark, sf_dir, "documents"), shards=8, keep=("doc_id",))
+    return d.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formatted conversations, as read back from the formatted text and its loss mask."""
+    from .chat_format import formatted, masked, read_back, text_parts
+
+    said = F.lit("</s>[INST] ok [/INST]")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    rows = C.table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(extra)
+    c = formatted(rows.select("conv_id", "turn", "role", text_parts(F.col("text")).alias("parts")))
+    c = c.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"), masked(F.col("formatted"), F.col("loss")).alias("learned"))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return c.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.char_length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
 QUERIES: dict[str, Query] = {
+    "op4_decontamination": op4_decontamination,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_mixing": op6_mixing,
     "op7_minhash_tensor": op7_minhash_tensor,
+    "op8_span_dedup": op8_span_dedup,
+    "op9_sharding": op9_sharding,
+    "op10_chat_format": op10_chat_format,
 }
 ORACLES: dict[str, str] = {}
 
