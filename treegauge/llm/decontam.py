@@ -62,7 +62,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, broadca
         every = F.transform(F.sequence(F.lit(1), count[k]), lambda i: F.xxhash64(F.slice("w", i, F.lit(k))))
         return F.when(count[k] > 0, every).otherwise(F.array().cast("array<bigint>"))
 
-    each = d.select("row", "own", "n", "w", F.posexplode_outer(F.concat(*map(hashes_of, lens))).alias("g", "h"))
+    # a lambda in the generator itself would keep it, and the join after it, out of code generation
+    d = d.withColumn("hashes", F.concat(*map(hashes_of, lens)))
+    each = d.select("row", "own", "n", "w", F.posexplode_outer("hashes").alias("g", "h"))
     # of which length the g-th hash is, and where it starts
     edges, total = [], F.lit(0)
     for k in lens:
