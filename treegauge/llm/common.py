@@ -198,12 +198,19 @@ def unpack(b: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-def by_key(rid: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """The places and the column parts of each distinct rid."""
-    order = np.argsort(rid, kind="stable")
-    rid = rid[order]
-    for part in np.split(order, np.flatnonzero(np.diff(rid)) + 1) if len(rid) else ():
-        yield part, [c[part] for c in columns]
+def by_id(ids: np.ndarray, values: np.ndarray, names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct id with the bytes of its values, in their order."""
+    order = np.argsort(ids, kind="stable")
+    ids, values = ids[order], np.ascontiguousarray(values[order])
+    heads = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
+    ends = np.append(heads[1:], len(ids))
+    width = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
+    for lo in range(0, len(heads), BATCH_ROWS):
+        a, b = heads[lo : lo + BATCH_ROWS], ends[lo : lo + BATCH_ROWS]
+        off = np.append(a, b[-1:]).astype(np.int64) - a[0]
+        data = pa.py_buffer(values[a[0] : b[-1]].tobytes())
+        blobs = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer((off * width).astype(np.int32).tobytes()), data])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[a]), blobs], names=list(names))
 
 
 # ---- components ---------------------------------------------------------------------------
@@ -216,13 +223,17 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     logarithm of the longest path. Each round's labels are written to the shared folder; the loop
     reads back one count a round, never links or labels.
     """
-    both = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
+    both = materialize(both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).select("a", "b"))
     label = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
-    for _ in range(rounds):
-        near = both.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        spread = label.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "m").alias("component"))
-        hop = label.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        nxt = materialize(spread.join(hop, "component", "left").select("node", "was", F.least("component", F.coalesce("far", "component")).alias("component")))
+    for turn in range(rounds):
+        near = both.join(label.select(F.col("node").alias("b"), "component"), "b").select(F.col("a").alias("node"), "component", F.lit(None).cast("long").alias("was"))
+        every = near.union(label.select("node", "component", F.col("component").alias("was")))
+        nxt = every.groupBy("node").agg(F.min("component").alias("component"), F.max("was").alias("was"))
+        if turn > 1:  # short paths have settled; long ones are halved
+            hop = nxt.select(F.col("node").alias("component"), F.col("component").alias("far"))
+            nxt = nxt.join(hop, "component", "left").select("node", F.least("component", F.coalesce("far", "component")).alias("component"), "was")
+        nxt = materialize(nxt.select("node", "component", "was"))
         label, changed = nxt.select("node", "component"), nxt.where("was <> component").limit(1).count()
         if not changed:
             return label

@@ -10,13 +10,14 @@ similarity 0.8 meets in some table but for 6 in 10,000, and a pair of 0.9 but fo
    Documents of equal fingerprints form one class, whose smallest doc_id stands for it.
 2. Class representatives are put in the tables; keys held by one document only are dropped.
 3. Star rounds: in each bucket whose members are not yet in one component, members of other
-   components are compared with a leader (first the smallest id, then a random one a round) on
-   full sets. No bucket emits its pairs, and a bucket that has become one component is done.
+   components are compared with a leader (first the smallest id, then a random one a round). No
+   bucket emits its pairs, and a bucket that has become one component is done.
 4. Documents left in buckets of several components are put in sharper tables (`sharp_side`,
-   `sharp_rows`), whose buckets are joined across components under a condition on 512-bit
-   sketches: one bit of a minhash each, of which sets of similarity s share (1 + s) / 2. Pairs
-   whose bits agree 4.5 standard deviations less than at the threshold are not made. So a link
-   is found whether or not its bucket's leaders are alike.
+   `sharp_rows`), whose buckets are joined across components. So a link is found whether or not its bucket's leaders are alike.
+
+Before a pair's full sets are compared, its odd sketches are: 1024 bits, each the parity of how
+many shingles hash to it. The bits in which two differ are at most the shingles that only one has,
+so a pair with more differing bits than the threshold allows is no link, and none is lost.
 
 Nulls: a null text has no words. A null doc_id is never linked, its component_id is null and it is
 kept. Without words a document links with nothing. Repeated rows (same doc_id) come out once each,
@@ -35,33 +36,32 @@ from pyspark.sql import functions as F
 from . import common as C
 
 U64 = np.uint64
+#: Bits of an odd sketch.
+SKETCH = 1024
 
 
-def signatures(docs: DataFrame, words: int, side: int, rows: int, seed: int, sketch: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, a[side], b[side], sketch[8] or null) of each row of docs (doc_id, text)."""
+def signatures(docs: DataFrame, words: int, side: int, rows: int, seed: int) -> DataFrame:
+    """(doc_id, n_shingles, f1, f2, a[side], b[side], sketch[16]) of each row of docs (doc_id, text)."""
     salts = C.mix(np.arange(1, 2 * side * rows + 1, dtype=U64) * C.ODD + U64(seed)) | U64(1)
 
-    bit_salts = C.mix(np.arange(1, 513, dtype=U64) * C.ODD + U64(seed + 99)) | U64(1)
-
     def sign(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
         n = len(off) - 1
         value, count = C.shingles(raw, off, words)
         size, f1, f2 = np.zeros(n, np.int64), np.zeros(n, U64), np.zeros(n, U64)
-        halves, bits = np.zeros((n, 2 * side), U64), np.zeros((n, 512 if sketch else 0), np.uint8)
+        halves, bits = np.zeros((n, 2 * side), U64), np.zeros((n, SKETCH), np.uint8)
         full = np.flatnonzero(count)
         if len(full):
             starts = np.concatenate(([0], np.cumsum(count)))
             for i in full:
                 own = np.unique(value[starts[i] : starts[i + 1]])
                 size[i], f1[i], f2[i] = len(own), C.mix(own).sum(), (own * (own >> U64(31))).sum()
+                bits[i] = np.bincount((own >> U64(17)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
             at = starts[:-1][full]
             for k in range(2 * side):
                 acc = np.full(len(full), k + 1, U64)
                 for r in range(rows):
                     acc = C.mix(acc * C.ODD + np.minimum.reduceat((value ^ (value >> U64(33))) * salts[k * rows + r] + salts[r * 2 * side + k], at))
                 halves[full, k] = acc
-            for k in range(bits.shape[1]):
-                bits[full, k] = (C.mix(np.minimum.reduceat((value ^ (value >> U64(29))) * bit_salts[k] + bit_salts[511 - k], at)) & U64(1)).astype(np.uint8)
         return size, f1, f2, halves, np.packbits(bits, axis=1)
 
     def longs(x: np.ndarray, n: int) -> pa.Array:
@@ -73,7 +73,7 @@ def signatures(docs: DataFrame, words: int, side: int, rows: int, seed: int, ske
             for lo, hi in C.pieces(off):
                 size, f1, f2, halves, bits = sign(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
                 both = [longs(x, side) for x in (halves[:, :side], halves[:, side:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), *both, longs(bits.view(np.int64), 8) if sketch else pa.nulls(hi - lo, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "f1", "f2", "a", "b", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), *both, longs(bits.view(np.int64), SKETCH // 64)], names=["doc_id", "n_shingles", "f1", "f2", "a", "b", "sketch"])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, a array<long>, b array<long>, sketch array<long>")
 
@@ -123,32 +123,36 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
 
 
 def shared_keys(halves: DataFrame) -> DataFrame:
-    """(key, node, n_shingles): the table keys of halves (node, n_shingles, a, b) that several nodes hold."""
+    """(key, node): the table keys of halves (node, a, b) that several nodes hold."""
     every = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(i, j, x, y))))
-    keyed = halves.select(F.explode(every).alias("key"), "node", "n_shingles")
-    shared = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
+    keyed = halves.select("node", F.explode(every).alias("key"))
+    # a node holds a key once
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     return keyed.join(shared, "key")
 
 
-def sharp_pairs(texts: DataFrame, label: DataFrame, words: int, percent: int, side: int, rows: int, seed: int) -> DataFrame:
-    """(a, b) of different components among texts (doc_id, text) that meet in a sharp table and whose sketches agree."""
-    sig = C.materialize(signatures(texts, words, side, rows, seed, sketch=True))
-    keys = shared_keys(sig.select(F.col("doc_id").alias("node"), "n_shingles", "a", "b"))
-    held = C.materialize(keys.join(label, "node").join(sig.select(F.col("doc_id").alias("node"), "sketch"), "node"))
-    l, r = held.alias("l"), held.alias("r")
-    share = (1 + percent / 100) / 2
-    most = int(512 * (1 - share) + 4.5 * (512 * share * (1 - share)) ** 0.5) + 1
-    apart = sum((F.bit_count(F.col("l.sketch")[i].bitwiseXOR(F.col("r.sketch")[i])) for i in range(8)), F.lit(0))
-    met = l.join(r, F.expr("l.key = r.key and l.component < r.component") & alike(F.col("l.n_shingles"), F.col("r.n_shingles"), percent) & (apart <= most))
-    return met.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-
-
 def alike(x: Column, y: Column, percent: int) -> Column:
     """Sets of more different sizes are never linked."""
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, side: int = 8, rows: int = 2, stars: int = 2, sharp_side: int = 16, sharp_rows: int = 4, seed: int = 7) -> DataFrame:
+def close(l: str, r: str, percent: int) -> Column:
+    """Whether the sizes and odd sketches of two sides allow a link; of linked sets they always do."""
+    n, m = F.col(f"{l}.n_shingles"), F.col(f"{r}.n_shingles")
+    apart = sum((F.bit_count(F.col(f"{l}.sketch")[i].bitwiseXOR(F.col(f"{r}.sketch")[i])) for i in range(SKETCH // 64)), F.lit(0))
+    return alike(n, m, percent) & (apart * (100 + percent) <= (n + m) * (100 - percent))
+
+
+def sharp_pairs(texts: DataFrame, label: DataFrame, words: int, percent: int, side: int, rows: int, seed: int) -> DataFrame:
+    """(a, b) of different components among texts (doc_id, text) that meet in a sharp table and are close."""
+    sig = C.materialize(signatures(texts, words, side, rows, seed).withColumnRenamed("doc_id", "node"))
+    held = C.materialize(shared_keys(sig).join(label, "node").join(sig.select("node", "n_shingles", "sketch"), "node"))
+    l, r = held.alias("l"), held.alias("r")
+    met = l.join(r, F.expr("l.key = r.key and l.component < r.component") & close("l", "r", percent))
+    return met.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, side: int = 8, rows: int = 2, stars: int = 1, sharp_side: int = 16, sharp_rows: int = 4, seed: int = 7) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text).
 
     words: words in a shingle. percent: least 100 * intersection / union of linked sets.
@@ -160,22 +164,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, side: in
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = C.materialize(signatures(docs, words, side, rows, seed))
     linked = sig.where("n_shingles > 0 and doc_id is not null")
-    reps = linked.groupBy("n_shingles", "f1", "f2").agg(F.min_by(F.struct("a", "b"), "doc_id").alias("s"), F.min("doc_id").alias("rep"))
-    member = C.materialize(shared_keys(reps.select(F.col("rep").alias("node"), "n_shingles", "s.a", "s.b")))
-    texts = C.materialize(docs.join(member.select(F.col("node").alias("doc_id")).distinct(), "doc_id").distinct())
+    reps = linked.groupBy("n_shingles", "f1", "f2").agg(F.min_by(F.struct("a", "b", "sketch"), "doc_id").alias("s"), F.min("doc_id").alias("rep"))
+    nodes = reps.select(F.col("rep").alias("node"), "n_shingles", "s.*")
+    member = C.materialize(shared_keys(nodes))
+    held = member.select("node").distinct()
+    info = C.materialize(nodes.select("node", "n_shingles", "sketch").join(held, "node"))
+    texts = C.materialize(docs.join(held.withColumnRenamed("node", "doc_id"), "doc_id").distinct())
 
     label, links, tested = member.select("node", F.col("node").alias("component")).distinct(), None, None
     for turn in range(stars + 1):
         here = member.join(label, "node")
-        by_key = here.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), *([F.min_by(F.struct("node", "component", "n_shingles"), F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("lead")] if turn < stars else []))
+        by_key = here.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), *([F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("lead")] if turn < stars else []))
         open_keys = by_key.where("c0 < c1")
         if turn < stars:
-            rays = here.join(open_keys, "key").where(F.col("component") != F.col("lead.component")).where(alike(F.col("n_shingles"), F.col("lead.n_shingles"), percent))
-            pairs = rays.select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
+            rays = here.join(open_keys, "key").where(F.col("component") != F.col("lead.component"))
+            pairs = rays.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct().alias("p")
+            pairs = pairs.join(info.alias("l"), F.expr("p.a = l.node")).join(info.alias("r"), F.expr("p.b = r.node")).where(close("l", "r", percent)).select("p.a", "p.b")
         else:
             rest = here.join(open_keys.select("key"), "key").select(F.col("node").alias("doc_id")).distinct()
             pairs = sharp_pairs(texts.join(rest, "doc_id"), label, words, percent, sharp_side, sharp_rows, seed + 1)
-        pairs = pairs.distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = C.materialize(pairs)
