@@ -129,12 +129,7 @@ def repeated_sentences(docs: DataFrame, run: int = 3) -> DataFrame:
         if not known:
             return
         r, s = (np.concatenate([x[k] for x in known]) for k in range(2))
-        ids, blobs = [], []
-        for part, (own,) in C.by_key(r, s):
-            ids.append(int(r[part[0]]))
-            blobs.append(own.astype(np.int32).tobytes())
-        for i in range(0, len(ids), C.BATCH_ROWS):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + C.BATCH_ROWS], pa.int64()), pa.array(blobs[i : i + C.BATCH_ROWS], pa.binary())], names=["rid", "marks"])
+        yield from C.by_id(r, s.astype(np.int32), ("rid", "marks"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,11 +1,12 @@
 """Removal of byte strings that repeat across documents, with suffix arrays built by two-stage sorting.
 
 A string of `window` bytes that starts in two documents has the same minimizer in both: the least
-hash of the 16-byte strings in it. So the texts are cut into runs of consecutive windows with one
+hash of the 24-byte strings in it. So the texts are cut into runs of consecutive windows with one
 minimizer, and only runs of one minimizer need be sorted together.
 
-1. Every document sends the hashes of its minimizers; those of two documents or more are told back.
-2. Every document sends its runs with such a minimizer. In each batch only the first holder (by
+1. Equal texts stand as one, the row with the smallest doc_id; the others are covered whole.
+   Every text sends the hashes of its minimizers; those of two texts or more are told back.
+2. Every such text sends its runs with such a minimizer. In each batch only the first holder (by
    doc_id) of a run sends it: what other documents of the batch hold is already known to repeat.
    So a passage of a million copies reaches its task once a batch.
 3. Each task sorts the suffixes of its runs in parts of bounded size. Suffixes smaller than their
@@ -31,10 +32,12 @@ from pyspark.sql import functions as F
 from . import common as C
 
 U64 = np.uint64
-GRAM = 16
+GRAM = 24
 #: Bytes whose suffixes are sorted at once.
 PART = 2 << 20
 NO_ID = (1 << 63) - 1
+#: The mark of a text that is covered whole: from 0 to -1.
+WHOLE = np.array([0, -1], np.int32).tobytes()
 
 
 def words8(t: np.ndarray, big: bool) -> np.ndarray:
@@ -56,7 +59,7 @@ def runs(raw: np.ndarray, off: np.ndarray, window: int) -> tuple[np.ndarray, ...
         z = np.zeros(0, np.int64)
         return z, z, z, z.astype(U64)
     x = words8(raw, False)
-    h = C.mix(x[: n - GRAM + 1] * C.ODD + x[GRAM // 2 : n - GRAM // 2 + 1] * U64(0xA0761D6478BD642F | 1))
+    h = C.mix(C.mix(x[: n - GRAM + 1] * C.ODD + x[8 : n - GRAM + 9]) + x[16 : n - GRAM + 17])
     wide, span = window - GRAM + 1, 1
     while span * 2 <= wide:
         h = np.minimum(h[:-span], h[span:])
@@ -182,17 +185,17 @@ def covered(contents: list[bytes], docs: np.ndarray, window: int) -> Iterator[tu
 def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     """(doc_id, n_bytes, spans array<struct<start,end>>, kept binary) for every row of docs (doc_id, text).
 
-    spans are the maximal removed byte runs in order, kept the bytes that remain. window >= 24.
+    spans are the maximal removed byte runs in order, kept the bytes that remain. window >= 32.
     """
     spark = docs.sparkSession
     C.prepare(spark)
     width = C.shuffle_width(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text")).withColumn("tid", F.xxhash64("text"))
 
     def send_minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rid = batch.column(0).to_numpy()
-            raw, off = C.buffers(batch.column(1))
+            tid, once = np.unique(batch.column(0).to_numpy(), return_index=True)
+            raw, off = C.buffers(batch.column(1).take(pa.array(once)))
             hs, rs = [], []
             for lo, hi in C.pieces(off):
                 row, _, _, h = runs(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], window)
@@ -209,29 +212,21 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
             for part in np.split(np.arange(len(h)), np.flatnonzero(np.diff(to)) + 1) if len(h) else ():
                 who, count = np.unique(r[part], return_counts=True)
                 names.append(int(to[part[0]]))
-                blobs.append(C.pack(rid=rid[who], n=count.astype(np.int32), h=h[part]))
+                blobs.append(C.pack(tid=tid[who], n=count.astype(np.int32), h=h[part]))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
 
     def find_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [C.unpack(b, np.int64, np.int32, U64) for batch in batches for b in batch.column(1).to_pylist()]
         if not got:
             return
-        rid, h = np.concatenate([np.repeat(r, n) for r, n, _ in got]), np.concatenate([x for _, _, x in got])
+        tid, h = np.concatenate([np.repeat(r, n) for r, n, _ in got]), np.concatenate([x for _, _, x in got])
         del got
         order = np.argsort(h, kind="stable")
-        rid, h = rid[order], h[order]
+        tid, h = tid[order], h[order]
         heads = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         sizes = np.diff(np.concatenate((heads, [len(h)])))
-        many = np.repeat(np.minimum.reduceat(rid, heads) != np.maximum.reduceat(rid, heads), sizes)
-        rid, h = rid[many], h[many]
-        ids, blobs = [], []
-        for part, (own,) in C.by_key(rid, h):
-            ids.append(int(rid[part[0]]))
-            blobs.append(np.unique(own).tobytes())
-            if len(ids) >= C.BATCH_ROWS:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["rid", "shared"])
-                ids, blobs = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["rid", "shared"])
+        many = np.repeat(np.minimum.reduceat(tid, heads) != np.maximum.reduceat(tid, heads), sizes)
+        yield from C.by_id(tid[many], h[many], ("tid", "shared"))
 
     def send_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -270,20 +265,13 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
                 blobs.append(C.pack(r=x[:, 0], a=x[:, 1].astype(np.int32), b=x[:, 2].astype(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "kind", "blob"])
 
-    def rows_of(r: np.ndarray, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
-        ids, blobs = [], []
-        for part, (x, y) in C.by_key(r, a, b):
-            ids.append(int(r[part[0]]))
-            blobs.append(np.stack((x, y), 1).astype(np.int32).tobytes())
-        for i in range(0, len(ids), C.BATCH_ROWS):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + C.BATCH_ROWS], pa.int64()), pa.array(blobs[i : i + C.BATCH_ROWS], pa.binary())], names=["rid", "marks"])
-
     def sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = []
         for batch in batches:
             for kind, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if kind:
-                    yield from rows_of(*C.unpack(b, np.int64, np.int32, np.int32))
+                    r, x, y = C.unpack(b, np.int64, np.int32, np.int32)
+                    yield from C.by_id(r, np.stack((x, y), 1), ("rid", "marks"))
                 else:
                     got.append(C.unpack(b, np.int32, U64, np.int64, np.int64, np.int32, np.uint8))
         if not got:
@@ -311,7 +299,7 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
                 marks += [(r[i], s[i] + x, s[i] + y) for i in owners[k] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
             if marks:
                 x = np.array(marks, np.int64)
-                yield from rows_of(x[:, 0], x[:, 1], x[:, 2])
+                yield from C.by_id(x[:, 0], x[:, 1:].astype(np.int32), ("rid", "marks"))
             lo = hi
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,17 +316,22 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
                 x = np.frombuffer(b"".join(own), np.int32).reshape(-1, 2)
                 step = np.zeros(len(text) + 1, np.int64)
                 np.add.at(step, x[:, 0], 1)
-                np.add.at(step, x[:, 1], -1)
+                np.add.at(step, np.where(x[:, 1] < 0, len(text), x[:, 1]), -1)
                 gone = np.cumsum(step[:-1]) > 0
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], gone, [0]))))
                 kept.append(text[~gone].tobytes())
                 spans.append([{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    sent = rows.select("rid", "text").mapInArrow(send_minimizers, "part int, blob binary")
-    shared = sent.repartitionById(width, "part").mapInArrow(find_shared, "rid long, shared binary").groupBy("rid").agg(F.collect_list("shared").alias("shared"))
-    # one row a text is enough to send its runs
-    some = rows.join(shared, "rid").select("doc_id", "rid", "text", "shared")
+    sent = rows.select("tid", "text").mapInArrow(send_minimizers, "part int, blob binary")
+    shared = sent.repartitionById(width, "part").mapInArrow(find_shared, "tid long, shared binary")
+    light = rows.select("rid", "doc_id", "tid", F.xxhash64(F.lit(1), "text").alias("tid2"), F.octet_length("text").alias("n"))
+    first = light.groupBy("tid", "tid2").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "rid")).alias("f")).select("tid", "tid2", F.col("f.doc_id").alias("first_doc"), F.col("f.rid").alias("first"))
+    # one row of each text sends its runs
+    asked = shared.join(first.select("tid", F.col("first").alias("rid")), "tid").groupBy("rid").agg(F.collect_list("shared").alias("shared"))
+    some = rows.select("doc_id", "rid", "text").join(asked, "rid").select("doc_id", "rid", "text", "shared")
     parts = some.mapInArrow(send_runs, "part int, kind int, blob binary").repartitionById(width, "part").mapInArrow(sort_runs, "rid long, marks binary")
-    marks = C.materialize(parts).groupBy("rid").agg(F.collect_list("marks").alias("marks"))
-    return rows.join(marks, "rid", "left").select("doc_id", "text", "marks").mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    copies = light.join(first, ["tid", "tid2"]).where("rid <> first").where(F.col("n") >= window)
+    whole = copies.where(F.coalesce("doc_id", F.lit(NO_ID)) > F.col("first_doc")).select("rid").distinct().withColumn("marks", F.lit(WHOLE))
+    marks = parts.union(whole).groupBy("rid").agg(F.collect_list("marks").alias("marks"))
+    return rows.select("doc_id", "rid", "text").join(marks, "rid", "left").select("doc_id", "text", "marks").mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
