@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import importlib
+import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -13,6 +14,38 @@ from . import common as C
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Where the public tokenizers' vocabulary files are.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+
+
+def op1_lang_ecoc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from four fifths of the labelled ones."""
+    from .lang_ecoc import identify, learn
+
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = learn(docs, ~held_out())
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op2_token_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of all documents."""
+    from .token_trie import token_counts
+
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts(docs, f"{TOKENIZERS}/piece_bpe_32k.model").select("doc_id", "n_pretokens", "n_tokens")
+
+
+def op3_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings."""
+    from .nn_descent import near_vectors
+
+    return near_vectors(C.table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents inside windows of benchmark items."""
     from .decontam import contamination, is_contaminated
@@ -74,7 +107,15 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.char_length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of corpus_pipeline.py over documents."""
+    return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
+    "op1_lang_ecoc": op1_lang_ecoc,
+    "op2_token_trie": op2_token_trie,
+    "op3_nn_descent": op3_nn_descent,
     "op4_decontamination": op4_decontamination,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mixing": op6_mixing,
@@ -82,10 +123,6 @@ QUERIES: dict[str, Query] = {
     "op8_span_dedup": op8_span_dedup,
     "op9_sharding": op9_sharding,
     "op10_chat_format": op10_chat_format,
+    "pipeline": pipeline,
 }
 ORACLES: dict[str, str] = {}
-
-
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages of corpus_pipeline.py over documents."""
-    return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
