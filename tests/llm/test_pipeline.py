@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline as P
 from treegauge.llm import common as C
+from treegauge.llm import queries as Q
 
 DATA = Path("/root/testdata/sf0.001")
 
@@ -33,3 +34,18 @@ def test_pipeline(spark):
     assert all(any(linked(d, o) for o in sets if o != d) for d in set(sets) - stays)
     assert {r.doc_id for r in kept["mixture"].collect()} == {r.doc_id for r in kept["benchmark"].collect()}
     assert kept["shards"].count() == kept["mixture"].count()
+
+
+@pytest.mark.skipif(not DATA.is_dir(), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(Q.ORACLES))
+def test_oracle(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for f in DATA.glob("*.parquet"):
+        con.sql(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
+    want = con.execute(Q.ORACLES[name])
+    columns = [c[0] for c in want.description]
+    got = Q.QUERIES[name](spark, str(DATA))
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(tuple(r) for r in got.select(columns).collect()) == sorted(want.fetchall())

@@ -125,4 +125,27 @@ QUERIES: dict[str, Query] = {
     "op10_chat_format": op10_chat_format,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {}
+_WORDS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
+_ESCAPED = r"replace(replace({0}, '\', '\\'), '<|', '<\|')"
+
+ORACLES: dict[str, str] = {
+    "op4_decontamination": f"""
+WITH item AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+gram AS (SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM (SELECT *, least(len(w), 13) AS k FROM item WHERE len(w) > 0)),
+doc AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+run AS (SELECT rid, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: {{'i': i, 'g': array_to_string(w[i:i + k - 1], ' ')}})) AS x FROM doc, (SELECT DISTINCT k FROM gram) WHERE len(w) >= k),
+hit AS (SELECT rid, run.k, x.i AS i, item_id FROM run JOIN gram ON gram.g = run.x.g AND gram.k = run.k),
+hits AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + k)) AS p FROM (SELECT DISTINCT rid, k, i FROM hit)) GROUP BY 1),
+items AS (SELECT rid, count(*) AS n, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS s FROM hit WHERE item_id IS NOT NULL) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hits.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+ coalesce(hits.n, 0) > 0 AND 20 * coalesce(hits.n, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN hits USING (rid) LEFT JOIN items USING (rid)""",
+    "op10_chat_format": f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ CAST(coalesce(sum(len(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum(24 + len({_ESCAPED.format("role")}) + len({_ESCAPED.format("text")})) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id""",
+}
