@@ -17,6 +17,7 @@ from treegauge.functions import text as T
 from treegauge.operators import files as O
 from treegauge.operators import graph as G
 from treegauge.operators import jobs as J
+from treegauge.operators import lexing as L
 from treegauge.plans import health, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -441,6 +442,93 @@ def digest(spark, d):
     return top.groupBy("repo_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.concat("severity", F.lit(": "), "id").alias("x")))), lambda s: s["x"]), "\n").alias("digest"))
 
 
+@query(f"SELECT repo_id, CAST(sum(len(regexp_extract_all(raw, '\\b([A-Z]{{2,}})\\b'))) AS BIGINT) AS marks, round(sum(len(regexp_extract_all(raw, '\\b([A-Z]{{2,}})\\b'))) / (sum(len(string_split(raw, chr(10)))) / 1000.0), 6) AS per_kloc FROM {SRC} WHERE raw <> '' GROUP BY 1")
+def marker_density(spark, d):
+    # the tables hold no work markers, so words in capitals stand in for them
+    n = F.regexp_count("raw", F.lit(T.java(r"\b([A-Z]{2,})\b")))
+    g = sources(spark, d).where("raw <> ''").groupBy("repo_id").agg(F.sum(n).alias("marks"), F.sum("lines").alias("loc"))
+    return g.select("repo_id", "marks", F.round(F.col("marks") / (F.col("loc") / 1000.0), 6).alias("per_kloc"))
+
+
+@query(f"SELECT regexp_extract(path, '^(.*)/', 1) AS dir, count(*) AS n FROM {PATHS} GROUP BY 1 HAVING count(*) >= 5")
+def dir_fanout(spark, d):
+    return paths(spark, d).groupBy(F.regexp_extract("path", "^(.*)/", 1).alias("dir")).agg(F.count(F.lit(1)).alias("n")).where("n >= 5")
+
+
+@query(f"SELECT page_id, array_to_string(list_filter(['installation', 'usage'], lambda x: NOT list_contains([CASE WHEN installation THEN 'installation' END, CASE WHEN usage THEN 'usage' END], x)), ',') AS missing FROM ({ORACLES['section_flags']})")
+def missing_sections(spark, d):
+    f = section_flags(spark, d)
+    held = F.array_compact(F.array(F.when(F.col("installation"), "installation"), F.when(F.col("usage"), "usage")))
+    return f.select("page_id", F.array_join(F.array_except(F.array(F.lit("installation"), F.lit("usage")), held), ",").alias("missing"))
+
+
+@query(f"SELECT category, score_a, score_b, rpad(repeat('#', CAST(score_a // 5 AS INTEGER)), 20, '.') AS bar_a, rpad(repeat('#', CAST(score_b // 5 AS INTEGER)), 20, '.') AS bar_b FROM {COMPARED}")
+def duel_rows(spark, d):
+    c = compare_categories(spark, d)
+    bar = lambda x: F.rpad(F.repeat(F.lit("#"), F.floor(F.col(x) / 5).cast("int")), 20, ".")
+    return c.select("category", "score_a", "score_b", bar("score_a").alias("bar_a"), bar("score_b").alias("bar_b"))
+
+
+@query(f"SELECT value_key, min(job_id) AS job_id, count(*) AS asked FROM (SELECT job_id % 50 AS value_key, job_id FROM {LATEST} WHERE status IN ('queued', 'running')) GROUP BY 1")
+def inflight_dedupe(spark, d):
+    j = _jobs(spark, d).where("status in ('queued', 'running')")
+    return j.groupBy((F.col("job_id") % 50).alias("value_key")).agg(F.min("job_id").alias("job_id"), F.count(F.lit(1)).alias("asked"))
+
+
+@query("SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
+def external_hosts(spark, d):
+    host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
+    return _t(spark, d, "pages").groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "host").limit(15)
+
+
+@query(f"SELECT repo_id, pattern, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, pattern ORDER BY page_id) AS k FROM ({ORACLES['pattern_lines']})) WHERE k <= 12 GROUP BY 1, 2")
+def pattern_findings(spark, d):
+    w = Window.partitionBy("repo_id", "pattern").orderBy("page_id")
+    return pattern_lines(spark, d).withColumn("k", F.row_number().over(w)).where("k <= 12").groupBy("repo_id", "pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, 'user' || CAST(user_id AS VARCHAR) || '/' || event_type AS slug, CASE WHEN len(event_type) > 5 THEN left(event_type, 4) || '…' ELSE event_type END AS short FROM events")
+def label_text(spark, d):
+    cut = F.when(F.length("event_type") > 5, F.concat(F.left("event_type", F.lit(4)), F.lit("…"))).otherwise(F.col("event_type"))
+    return _t(spark, d, "events").select("event_id", F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("slug"), cut.alias("short"))
+
+
+def _code(spark: SparkSession, d: str) -> DataFrame:
+    """pages as code: their scripts with a function in front, every other one in Python."""
+    js = F.concat(F.lit("function page"), "page_id", F.lit("(a) {\n  if (a && 'x') {\n    return /* none */ a;\n  }\n}\n"), F.regexp_extract("html", "<script>([^<]*)", 1))
+    py = F.concat(F.lit("import os, sys\ndef page"), "page_id", F.lit("(a):\n    if a or 'x':  # text\n        b = 1\n    return b\n"))
+    even = F.col("page_id") % 2 == 0
+    return _t(spark, d, "pages").select((F.col("page_id") % 10).alias("repo_id"), F.col("page_id").cast("string").alias("path"), F.when(even, js).otherwise(py).alias("raw"), F.when(even, "js").otherwise("python").alias("analysis"))
+
+
+@query(None)
+def lex_strip(spark, d):
+    return _code(spark, d).select("repo_id", "path", L.strip(F.col("raw"), F.col("analysis")).alias("code"))
+
+
+def _functions(spark: SparkSession, d: str) -> DataFrame:
+    f = _code(spark, d)
+    return L.functions(f.withColumn("code", L.strip(F.col("raw"), F.col("analysis"))))
+
+
+@query(None)
+def js_functions(spark, d):
+    return _functions(spark, d).where("path % 2 = 0")
+
+
+@query(None)
+def py_functions(spark, d):
+    return _functions(spark, d).where("path % 2 = 1")
+
+
+@query("SELECT page_id, unnest(['os', 'sys']) AS module FROM pages WHERE page_id % 2 = 1")
+def py_imports(spark, d):
+    code = _code(spark, d).where("analysis = 'python'")
+    found = F.regexp_extract_all("raw", F.lit(r"(?m)^\s*import\s+([A-Za-z0-9_., \t]+)"), F.lit(1))
+    each = F.explode(F.flatten(F.transform(found, lambda x: F.split(x, ","))))
+    return code.select(F.col("path").cast("long").alias("page_id"), each.alias("m")).select("page_id", F.trim("m").alias("module"))
+
+
 @query(None)
 def health_report(spark, d):
     """The flagship: findings of every repository, scored and graded."""
