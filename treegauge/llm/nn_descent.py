@@ -7,8 +7,8 @@ stands for it. Then
    projections, and consecutive blocks of `block` are compared: every vector has its best `k`.
 2. Descent, `rounds` times: lists are made mutual, every vector is sent to its neighbours, and what
    meets at a neighbour is compared: neighbours of neighbours. Long meetings are cut into blocks.
-   Lists keep the best `k` and everything at the threshold or above it.
-3. Saturated vectors, whose whole list is at the threshold, may have more links than a list holds.
+   Lists keep the best `k` and the first `k` by id at the threshold or above it.
+3. Saturated vectors, with `k` links or more, may have more links than a list holds.
    Their lists are enlarged to all of their component: the component's vectors are dealt as tiles
    of `tile` rows by `tile` columns, and only counts leave a tile.
 4. audit() measures the recall of links against brute force for every vector whose id is divisible
@@ -40,11 +40,12 @@ def _unit(rows: list) -> np.ndarray:
 
 
 def _best(ids: np.ndarray, x: np.ndarray, k: int, least: float) -> tuple[np.ndarray, ...]:
-    """(a, b, cosine): each row's best k others, and all at least or above."""
+    """(a, b, cosine): each row's best k others, and its first k by id at least or above; ids are sorted."""
     s = x @ x.T
     np.fill_diagonal(s, -2)
     n = len(ids)
     keep = s >= least
+    keep &= np.cumsum(keep, axis=1) <= k
     if n > 1:
         top = np.argpartition(-s, min(k, n - 1) - 1, axis=1)[:, : min(k, n - 1)]
         np.put_along_axis(keep, top, True, 1)
@@ -90,12 +91,17 @@ def _compare(dealt: DataFrame, keys: int, block: int, k: int, least: float) -> D
 
 
 def _trim(edges: DataFrame, k: int, least: float) -> DataFrame:
-    """Mutual lists (id, near array<struct<c,b>>, links): the best k of each, and all at least."""
+    """Mutual lists (id, near array<struct<c,b>>, links): the best k of each, and the first k by id at least or above.
+
+    links is how many at least or above were seen; below k, the list has them all. The first by id
+    tie a dense group to the same few vectors, so that its lists stay connected.
+    """
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
     once = both.groupBy("a", "b").agg(F.max("c").alias("c"))
     near = once.groupBy(F.col("a").alias("id")).agg(F.reverse(F.array_sort(F.collect_list(F.struct("c", "b")))).alias("all"))
-    links = F.size(F.filter("all", lambda x: x["c"] >= least))
-    return near.select("id", F.slice("all", F.lit(1), F.greatest(links, F.lit(k))).alias("near"), links.alias("links"))
+    near = near.withColumn("good", F.filter("all", lambda x: x["c"] >= least))
+    first = F.transform(F.slice(F.array_sort(F.transform("good", lambda x: F.struct(x["b"].alias("b"), x["c"].alias("c")))), 1, k), lambda x: F.struct(x["c"].alias("c"), x["b"].alias("b")))
+    return near.select("id", F.array_union(F.slice("all", 1, k), first).alias("near"), F.size("good").alias("links"))
 
 
 def neighbours(v: DataFrame, least: float, k: int, rounds: int, orders: int, block: int, seed: int, start: DataFrame | None = None) -> DataFrame:
@@ -131,11 +137,16 @@ def neighbours(v: DataFrame, least: float, k: int, rounds: int, orders: int, blo
     return lists
 
 
-def audit(v: DataFrame, lists: DataFrame, least: float, tile: int = 512) -> tuple[int, int]:
-    """(links found, links there are) of the vectors whose id is divisible by 20, against all rows of their label in tiles."""
+def audit(v: DataFrame, lists: DataFrame, least: float, k: int, tile: int = 512) -> tuple[int, int]:
+    """(links found, links there are) of the vectors whose id is divisible by 20, against all rows of their label in tiles.
+
+    A saturated vector, of k links or more, counts as found: its links are counted anew later.
+    """
     asked = v.where("id % 20 = 0")
-    found = lists.where("id % 20 = 0").agg(F.coalesce(F.sum("links"), F.lit(0))).first()[0]
-    there = _tiles(asked.select("id", "label", "v"), v.select("id", "label", "v", F.lit(1).cast("long").alias("weight")), least, tile).agg(F.coalesce(F.sum("links"), F.lit(0))).first()[0]
+    there = _tiles(asked.select("id", "label", "v"), v.select("id", "label", "v", F.lit(1).cast("long").alias("weight")), least, tile)
+    seen = there.withColumnRenamed("links", "there").join(lists.select("id", "links"), "id", "left")
+    row = seen.agg(F.coalesce(F.sum(F.when(F.col("links") >= k, F.col("there")).otherwise(F.least("links", "there"))), F.lit(0)), F.coalesce(F.sum("there"), F.lit(0))).first()
+    found, there = row[0], row[1]
     return found, there
 
 
@@ -194,7 +205,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, k: int = 16, rounds: i
     v = C.materialize(classes.select("id", "label", "v", "weight"))
     lists = neighbours(v, least, k, rounds, orders, block, seed)
     for _ in range(3):
-        found, there = audit(v, lists, least, tile)
+        found, there = audit(v, lists, least, k, tile)
         if found >= recall * there:
             break
         k *= 2
@@ -206,8 +217,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, k: int = 16, rounds: i
     component = C.components(edges)
     weights = v.select("id", "weight")
     direct = edges.join(weights.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("links"))
-    # a list whose end is at the threshold may go on: count in all of its component
-    full = lists.where(F.col("links") >= F.greatest(F.size("near"), F.lit(k))).select("id").join(component.withColumnRenamed("node", "id"), "id")
+    # a saturated list may go on: count in all of its component
+    full = lists.where(F.col("links") >= k).select("id").join(component.withColumnRenamed("node", "id"), "id")
     wide = v.join(component.withColumnRenamed("node", "id"), "id").join(full.select("component").distinct(), "component")
     group = F.concat_ws(":", "label", F.col("component").cast("string")).alias("label")
     recounted = _tiles(wide.join(full.select("id"), "id").select("id", group, "v"), wide.select("id", group, "v", "weight"), least, tile).withColumnRenamed("links", "more")
