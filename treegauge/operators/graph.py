@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from treegauge.workers import ship
+
 
 def edge_weights(refs: DataFrame) -> DataFrame:
     """(repo_id, src, dst, weight) of references (repo_id, src, dst); self references are dropped."""
@@ -80,6 +82,7 @@ def cycles(edges: DataFrame) -> DataFrame:
         found = strongly_connected([], list(zip(pdf["src"], pdf["dst"], strict=True)))
         return pd.DataFrame([(pdf["repo_id"].iloc[0], g[0], n) for g in found for n in g], columns=["repo_id", "cycle", "id"])
 
+    ship(edges.sparkSession)
     kind = dict(edges.dtypes)
     return edges.groupBy("repo_id").applyInPandas(of, f"repo_id {kind['repo_id']}, cycle {kind['src']}, id {kind['src']}")
 

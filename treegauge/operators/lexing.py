@@ -11,9 +11,11 @@ from collections.abc import Iterator
 from math import floor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treegauge.workers import ship
+
 # fixed values: characters after which a slash begins a regular expression
 BEFORE_REGEX = frozenset("( = : [ ! & | ? { } ; , < > + - * % ~ ^".split())
 JS_MARK = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|`|/", re.S)
@@ -69,6 +71,8 @@ def strip_python(src: str) -> str:
 def strip(raw: Column, analysis: Column) -> Column:
     """The code of raw for its kind of analysis."""
 
+    ship(SparkSession.active())
+
     @F.pandas_udf("string")
     def lexed(texts: pd.Series, kinds: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else strip_python(t) if k == "python" else strip_js(t) for t, k in zip(texts, kinds, strict=True)])
@@ -180,6 +184,8 @@ def js_functions(code: str) -> Iterator[tuple]:
 def functions(files: DataFrame) -> DataFrame:
     """(repo_id, path, line, name, complexity, length, nesting) for files (repo_id, path, code, analysis)."""
 
+    ship(files.sparkSession)
+
     @F.pandas_udf("array<struct<line:int,name:string,complexity:int,length:int,nesting:int>>")
     def found(code: pd.Series, kinds: pd.Series) -> pd.Series:
         keys = ("line", "name", "complexity", "length", "nesting")
