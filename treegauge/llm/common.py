@@ -6,19 +6,17 @@ for a text, and in pieces of bounded size, so that a worker's memory doesn't fol
 
 from __future__ import annotations
 
-import atexit
-import shutil
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treegauge.workers import ship
+
 #: Bytes of text a kernel handles at once; a longer text is handled alone.
 PIECE = 1 << 20
 #: Rows in an Arrow batch of texts or of packed arrays.
@@ -36,18 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prepare(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """For operators with Python workers: small Arrow batches, and this package on every worker's path."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    package = Path(__file__).resolve().parents[1]
-    sc = spark.sparkContext
-    if getattr(sc, "_treegauge_sent", False) or not package.is_dir():
-        return
-    # executors fetch the file from the driver, when they first need it
-    folder = Path(tempfile.mkdtemp(prefix="treegauge-")).resolve()
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    with zipfile.ZipFile(folder / "treegauge_workers.zip", "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    sc.addPyFile(str(folder / "treegauge_workers.zip"))
-    sc._treegauge_sent = True
+    ship(spark)
 
 
 def shuffle_width(spark: SparkSession) -> int:
