@@ -7,6 +7,7 @@ updates and findings, orders and line items for contributions and references bet
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from treegauge.operators import files as O
 from treegauge.operators import graph as G
 from treegauge.operators import jobs as J
 from treegauge.operators import lexing as L
-from treegauge.plans import health, scoring
+from treegauge.plans import audit, health, scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -533,3 +534,14 @@ def py_imports(spark, d):
 def health_report(spark, d):
     """The flagship: findings of every repository, scored and graded."""
     return health.report(sources(spark, d).withColumn("is_test", F.pmod(F.xxhash64("path"), F.lit(10)) == 0))
+
+
+@query(None)
+def audit_report(spark, d):
+    """All finding rules over pages as code, without facts of hosts and advisories."""
+    code = _code(spark, d)
+    tree = code.select(F.col("repo_id").cast("string").alias("repo_id"), F.concat(F.lit("src/page"), "path", F.when(F.col("analysis") == "js", ".js").otherwise(".py")).alias("path"), F.octet_length("raw").cast("long").alias("size"), "raw")
+    meta = spark.createDataFrame([], "repo_id string, license string, contributors int, bus_factor int, archived boolean, pushed_at timestamp, languages array<string>")
+    none = spark.createDataFrame([], "ecosystem string, name string, version string, vuln_id string")
+    known, loaded = audit.facts(tree, meta, none, datetime(2025, 1, 1))
+    return audit.report(known, audit.findings(known, loaded))
