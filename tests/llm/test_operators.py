@@ -314,6 +314,31 @@ def test_near_vectors(spark):
     assert near_vectors(df.limit(0)).count() == 0
 
 
+def brute_force(made, least=0.93):
+    """{vec_id: (links, smallest vec_id reachable)} of (vec_id, vector, label)."""
+    x = np.array([e for _, e, _ in made])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= least) & np.equal.outer(*[[k for _, _, k in made]] * 2)
+    np.fill_diagonal(near, False)
+    low = np.arange(len(made))
+    while True:
+        nxt = np.minimum(low, np.where(near, low[None, :], len(made)).min(axis=1))
+        if (nxt == low).all():
+            return {made[i][0]: (int(near[i].sum()), made[int(low[i])][0]) for i in range(len(made))}
+        low = nxt
+
+
+def test_near_vectors_one_link_between_dense_groups(spark):
+    rng = np.random.default_rng(4)
+    at = lambda degrees, noise: (np.append([np.cos(np.radians(degrees)), np.sin(np.radians(degrees))], np.zeros(14)) + rng.standard_normal(16) * noise).tolist()
+    # the ends of the link, at 18 and 37 degrees, are nearer to their own groups than to each other
+    made = [(i, at(0 if i < 40 else 55, 0.004), 0) for i in range(80)] + [(80, at(18, 0), 0), (81, at(37, 0), 0)]
+    want = brute_force(made)
+    assert want[80] == want[81] == (41, 0)
+    got = near_vectors(spark.createDataFrame(made, "vec_id long, embedding array<double>, label int"), tile=32).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.component for r in C.components(spark.createDataFrame(chain, "a long, b long")).collect()}

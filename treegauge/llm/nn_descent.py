@@ -8,11 +8,11 @@ stands for it. Then
 2. Descent, `rounds` times: lists are made mutual, every vector is sent to its neighbours, and what
    meets at a neighbour is compared: neighbours of neighbours. Long meetings are cut into blocks.
    Lists keep the best `k` and the first `k` by id at the threshold or above it.
-3. Saturated vectors, with `k` links or more, may have more links than a list holds.
-   Their lists are enlarged to all of their component: the component's vectors are dealt as tiles
-   of `tile` rows by `tile` columns, and only counts leave a tile.
-4. audit() measures the recall of links against brute force for every vector whose id is divisible
+3. audit() measures the recall of links against brute force for every vector whose id is divisible
    by 20, in blocks. While it is below `recall`, k doubles and the descent goes on.
+4. Saturated vectors, with `k` links or more, may have more links than a list holds. They are
+   compared with all rows of their label, dealt as tiles of `tile` rows by `tile` columns: counts
+   of both ends and pairs of components that a link joins leave a tile.
 
 Cosines are taken in double precision. Nulls: a null label, and a vector that is null, zero, or has
 null or non-finite components or another length than its block's, links with nothing. A null vec_id
@@ -140,10 +140,10 @@ def neighbours(v: DataFrame, least: float, k: int, rounds: int, orders: int, blo
 def audit(v: DataFrame, lists: DataFrame, least: float, k: int, tile: int = 512) -> tuple[int, int]:
     """(links found, links there are) of the vectors whose id is divisible by 20, against all rows of their label in tiles.
 
-    A saturated vector, of k links or more, counts as found: its links are counted anew later.
+    A saturated vector, of k links or more, counts as found: it is compared with its whole label later.
     """
-    asked = v.where("id % 20 = 0")
-    there = _tiles(asked.select("id", "label", "v"), v.select("id", "label", "v", F.lit(1).cast("long").alias("weight")), least, tile)
+    every = v.select("id", "label", "v", F.lit(1).cast("long").alias("weight"), F.lit(0).cast("long").alias("node"), F.lit(True).alias("full"))
+    there = _tiles(every.where("id % 20 = 0"), every, least, tile).groupBy("id").agg(F.sum("links").alias("links"))
     seen = there.withColumnRenamed("links", "there").join(lists.select("id", "links"), "id", "left")
     row = seen.agg(F.coalesce(F.sum(F.when(F.col("links") >= k, F.col("there")).otherwise(F.least("links", "there"))), F.lit(0)), F.coalesce(F.sum("there"), F.lit(0))).first()
     found, there = row[0], row[1]
@@ -151,18 +151,22 @@ def audit(v: DataFrame, lists: DataFrame, least: float, k: int, tile: int = 512)
 
 
 def _tiles(rows: DataFrame, columns: DataFrame, least: float, tile: int) -> DataFrame:
-    """(id, links): for each of rows (id, label, v), the weights of columns (id, label, v, weight) of its label at least so near, itself left out.
+    """Rows against columns (both id, label, v, weight, node, full) of their label, itself left out.
 
-    Rows and columns of a label are dealt by hash into parts of about tile, and every pair of parts is a task's group.
+    (id, links): weights of the columns at least so near to a row, and of the rows so near to a
+    column that is not full, to be summed by id. (a, b), with a null id: nodes of a row and a
+    column so near, if they differ. Rows and columns of a label are dealt by hash into parts of
+    about tile, and every pair of parts is a task's group.
     """
     n = columns.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select("label", F.ceil(F.col("n") / tile).cast("int").alias("q"))
     m = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select("label", F.ceil(F.col("n") / tile).cast("int").alias("p"))
     grid = n.join(m, "label")
     part = lambda of: F.pmod(F.xxhash64("id"), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    l = rows.join(grid, "label").select("label", part("p").alias("i"), "q", "id", "v").select("label", "i", every("q").alias("j"), F.lit(0).alias("side"), "id", "v", F.lit(0).cast("long").alias("weight"))
-    r = columns.join(grid, "label").select("label", "p", part("q").alias("j"), "id", "v", "weight").select("label", every("p").alias("i"), "j", F.lit(1).alias("side"), "id", "v", "weight")
-    dealt = l.union(r.select("label", "i", "j", "side", "id", "v", "weight")).repartition(C.shuffle_width(rows.sparkSession), "label", "i", "j").sortWithinPartitions("label", "i", "j", "side")
+    held = ["id", "v", "weight", "node", "full"]
+    l = rows.join(grid, "label").select("label", part("p").alias("i"), "q", *held).select("label", "i", every("q").alias("j"), F.lit(0).alias("side"), *held)
+    r = columns.join(grid, "label").select("label", "p", part("q").alias("j"), *held).select("label", every("p").alias("i"), "j", F.lit(1).alias("side"), *held)
+    dealt = l.union(r).repartition(C.shuffle_width(rows.sparkSession), "label", "i", "j").sortWithinPartitions("label", "i", "j", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -171,9 +175,16 @@ def _tiles(rows: DataFrame, columns: DataFrame, least: float, tile: int) -> Data
             for size in {len(r[5]) for r in held}:
                 a, b = ([r for r in held if r[3] == side and len(r[5]) == size] for side in (0, 1))
                 if a and b:
-                    ids, cols = np.array([r[4] for r in a]), np.array([r[4] for r in b])
+                    (ids, w, own), (cols, u, other) = (np.array([(r[4], r[6], r[7]) for r in x], np.int64).T for x in (a, b))
                     near = (_unit([r[5] for r in a]) @ _unit([r[5] for r in b]).T >= least) & (ids[:, None] != cols[None, :])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near @ np.array([r[6] for r in b], np.int64))], names=["id", "links"])
+                    links = np.concatenate((near @ u, w @ near))
+                    told = np.concatenate((np.ones(len(ids), bool), ~np.array([r[8] for r in b]) & near.any(axis=0)))
+                    i, j = np.nonzero(near & (own[:, None] != other[None, :]))
+                    pairs = np.unique(np.stack((own[i], other[j]), axis=1), axis=0)
+                    none = lambda k: pa.nulls(k, pa.int64())
+                    at = np.concatenate((ids, cols))[told]
+                    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(links[told]), none(len(at)), none(len(at))], names=["id", "links", "a", "b"])
+                    yield pa.RecordBatch.from_arrays([none(len(pairs)), none(len(pairs)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["id", "links", "a", "b"])
 
         for batch in batches:
             for row in zip(*(col.to_pylist() for col in batch.columns), strict=True):
@@ -184,7 +195,7 @@ def _tiles(rows: DataFrame, columns: DataFrame, least: float, tile: int) -> Data
         if held:
             yield from count()
 
-    return dealt.mapInArrow(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    return dealt.mapInArrow(run, "id long, links long, a long, b long")
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.93, k: int = 16, rounds: int = 2, orders: int = 4, block: int = 128, tile: int = 512, recall: float = 0.98, seed: int = 5) -> DataFrame:
@@ -214,16 +225,17 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, k: int = 16, rounds: i
 
     edges = lists.select(F.col("id").alias("a"), F.explode("near").alias("x")).where(F.col("x.c") >= least).select("a", "x.b")
     edges = C.materialize(edges)
-    component = C.components(edges)
-    weights = v.select("id", "weight")
-    direct = edges.join(weights.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("links"))
-    # a saturated list may go on: count in all of its component
-    full = lists.where(F.col("links") >= k).select("id").join(component.withColumnRenamed("node", "id"), "id")
-    wide = v.join(component.withColumnRenamed("node", "id"), "id").join(full.select("component").distinct(), "component")
-    group = F.concat_ws(":", "label", F.col("component").cast("string")).alias("label")
-    recounted = _tiles(wide.join(full.select("id"), "id").select("id", group, "v"), wide.select("id", group, "v", "weight"), least, tile).withColumnRenamed("links", "more")
-    node = v.select("id", "label", "v", "weight").join(direct, "id", "left").join(recounted, "id", "left").join(component.withColumnRenamed("node", "id"), "id", "left")
-    node = node.select("label", "v", (F.coalesce(F.greatest("links", "more"), F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    # a saturated list may go on: compare with all of its label
+    full = lists.select("id", (F.col("links") >= k).alias("full"))
+    placed = v.join(C.components(edges).withColumnRenamed("node", "id"), "id", "left").join(full, "id", "left")
+    placed = C.materialize(placed.select("id", "label", "v", "weight", F.coalesce("component", "id").alias("node"), F.coalesce("full", F.lit(False)).alias("full")))
+    tiles = C.materialize(_tiles(placed.where("full"), placed, least, tile))
+    more = tiles.where("id is not null").groupBy("id").agg(F.sum("links").alias("more"))
+    joined = C.components(tiles.where("a is not null").select("a", "b").distinct())
+    direct = edges.join(placed.where("not full").select(F.col("id").alias("b"), "weight"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("weight").alias("direct"))
+    node = placed.join(direct, "id", "left").join(more, "id", "left").join(joined, "node", "left")
+    links = F.coalesce("more", F.lit(0)) + F.when(F.col("full"), 0).otherwise(F.coalesce("direct", F.lit(0)))
+    node = node.select("label", "v", (links + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     linked = packed.join(node, ["label", "v"]).select("vec_id", "n_links", "component_id").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = x.select("vec_id").join(linked, "vec_id", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
