@@ -339,6 +339,14 @@ def test_near_vectors_one_link_between_dense_groups(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
 
 
+def test_near_vectors_compares_all_where_the_audit_never_passes(spark):
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((4, 16))
+    made = [(i, (base[i % 4] + rng.standard_normal(16) * 0.16).tolist(), 0) for i in range(240)]
+    got = near_vectors(spark.createDataFrame(made, "vec_id long, embedding array<double>, label int"), k=2, rounds=0, orders=1, block=2, tile=64, recall=1.0).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute_force(made)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.component for r in C.components(spark.createDataFrame(chain, "a long, b long")).collect()}
