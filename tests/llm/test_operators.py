@@ -16,6 +16,7 @@ from treegauge.llm.lang_ecoc import codewords, identify, learn
 from treegauge.llm.minhash_tensor import near_duplicates
 from treegauge.llm.mixing import blocks, mix
 from treegauge.llm.nn_descent import near_vectors
+from treegauge.llm.queries import op8_span_dedup
 from treegauge.llm.sharding import sharded
 from treegauge.llm.span_dedup import repeated_sentences
 from treegauge.llm.suffix_dedup import long_prefixes, repeated_spans, suffix_order
@@ -116,6 +117,31 @@ def test_span_dedup(docs, rows, empty):
     assert repeated_sentences(empty).count() == 0
 
 
+def test_span_dedup_fewer_sentences(spark):
+    long = " ".join(f"w{i}" for i in range(60)) + "."
+    half = [" ".join(f"{c}{i}" for i in range(30)) + "." for c in "pq"]
+    texts = [
+        "Some start. " + long + " Its end. And more.",
+        "Another. Thing. " + long.upper() + "\nThen this. That.",
+        "Before. " + " ".join(half) + " After. More.",
+        " ".join(half),
+        "Two here. Only two.",
+        "two  here.\nonly two.",
+        "Well. Two here. Only two. Indeed.",
+        long,
+        half[0] + " Not " + half[1] + " But longer. On.",
+        "Two here.",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in repeated_sentences(df, words=50, short=True).collect()}
+    assert {d: r.removed for d, r in got.items() if r.removed} == {1: [2], 3: [0, 1], 5: [0, 1], 7: [0]}
+    assert got[7].kept_text == "" and got[1].kept_text == "Another. Thing. Then this. That."
+    # what the query gives
+    path = spark.conf.get("spark.checkpoint.dir") + "/short"
+    df.write.mode("overwrite").parquet(f"{path}/documents.parquet")
+    assert {r.doc_id: r.removed for r in op8_span_dedup(spark, path).collect() if r.n_removed} == {1: "2", 3: "0,1", 5: "0,1", 7: "0"}
+
+
 def shingles(text, n):
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
     return frozenset([tuple(w)] if 0 < len(w) < n else zip(*(w[i:] for i in range(n)), strict=False)) if w else frozenset()

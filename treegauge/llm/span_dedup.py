@@ -2,15 +2,17 @@
 
 A sentence ends at a newline, or at `.`, `!` or `?` before white space. Every run of `run`
 consecutive sentences of a document is hashed (128 bits, of the sentences with A-Z lower-cased and
-without white space). The first holder of a run by (doc_id, place) keeps it; every sentence that a
-non-first run covers is removed.
+without white space). With `words`, fewer consecutive sentences count as a run too if they hold more
+than `words` words; with `short`, so do all the sentences of a document of fewer than `run`. The
+first holder of a run by (doc_id, place) keeps it; every sentence that a non-first run covers is
+removed.
 
 Each batch sends one holder of a run, its first, to the task of the run's hash; its other holders
 are known at once not to be first. So a run that a third of the corpus holds reaches its task once
 a batch.
 
-Nulls: a null text has no sentences. A null doc_id counts as larger than all others. Documents of
-fewer than `run` sentences lose nothing. Repeated rows come out once each, alike. Extra columns are
+Nulls: a null text has no sentences. A null doc_id counts as larger than all others. Without
+`words` and `short`, documents of fewer than `run` sentences lose nothing. Repeated rows come out once each, alike. Extra columns are
 ignored. An empty table gives an empty result.
 """
 
@@ -33,7 +35,7 @@ CODES = (C.BYTE_CODES, C.mix(C.BYTE_CODES + U64(77)))
 
 
 def sentences(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(row, first byte, end byte in the piece) of the sentences, and two hashes of each."""
+    """(row, first byte, end byte in the piece) of the sentences, two hashes and the words of each."""
     space = C.SPACE[raw]
     ends = raw == 10
     ends[:-1] |= STOP[raw[:-1]] & space[1:]
@@ -44,31 +46,37 @@ def sentences(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
     kept = np.flatnonzero(~space)
     if not len(kept):
         z = np.zeros(0, np.int64)
-        return z, z, z, z.astype(U64), z.astype(U64)
+        return z, z, z, z.astype(U64), z.astype(U64), z
     of = part[kept]
     a = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
     b = np.concatenate((a[1:], [len(kept)]))
     low = C.LOWER[raw[kept]]
     h1, h2 = (C.span_hash(C.prefix_sums(codes[low]), a, b) for codes in CODES)
-    return np.searchsorted(off, kept[a], "right") - 1, kept[a], kept[b - 1] + 1, h1, h2
+    begins = np.ones(len(kept), np.int64)
+    begins[1:] = (kept[1:] != kept[:-1] + 1) | (of[1:] != of[:-1])
+    return np.searchsorted(off, kept[a], "right") - 1, kept[a], kept[b - 1] + 1, h1, h2, np.add.reduceat(begins, a)
 
 
-def spans(raw: np.ndarray, off: np.ndarray, run: int) -> tuple[np.ndarray, ...]:
-    """(row, place of the first sentence in its row, two hashes) of all runs of sentences."""
-    row, _, _, h1, h2 = sentences(raw, off)
-    n = len(row) - run + 1
-    if n <= 0:
-        z = np.zeros(0, np.int64)
-        return z, z, z.astype(U64), z.astype(U64)
+def spans(raw: np.ndarray, off: np.ndarray, run: int, words: int | None, short: bool) -> tuple[np.ndarray, ...]:
+    """(row, place, two hashes) of all runs: place is run times that of the first sentence in its row, plus the sentences after it."""
+    row, _, _, h1, h2, held = sentences(raw, off)
+    z = np.zeros(0, np.int64)
+    out = [(z, z, z.astype(U64), z.astype(U64))]
     place = np.arange(len(row)) - np.searchsorted(row, row)
-    x, y = h1[:n], h2[:n]
-    for t in range(1, run):
-        x, y = C.mix(x * C.ODD + h1[t : t + n]), C.mix(y * C.ODD + h2[t : t + n])
-    one = row[:n] == row[run - 1 :]
-    return row[:n][one], place[:n][one], x[one], y[one]
-
-
-def repeated_sentences(docs: DataFrame, run: int = 3) -> DataFrame:
+    size = np.bincount(row, minlength=1)[row]
+    x, y, n_words = h1, h2, held
+    for t in range(min(run, len(row))):
+        n = len(row) - t
+        if t:
+            x, y, n_words = C.mix(x[:n] * C.ODD + h1[t:]), C.mix(y[:n] * C.ODD + h2[t:]), n_words[:n] + held[t:]
+        one = row[:n] == row[t:]
+        if t + 1 < run:
+            one &= ((n_words > words) if words is not None else False) | ((size[:n] == t + 1) & short)
+        out.append((row[:n][one], place[:n][one] * run + t, x[one], y[one]))
+    return tuple(np.concatenate(k) for k in zip(*out, strict=True))
+
+
+def repeated_sentences(docs: DataFrame, run: int = 3, words: int | None = None, short: bool = False) -> DataFrame:
     """(doc_id, n_sentences, removed array<int>, kept_text) for every row of docs (doc_id, text).
 
     removed: places, from 0, of the sentences removed; kept_text: the text without them and the
@@ -93,7 +101,7 @@ def repeated_sentences(docs: DataFrame, run: int = 3) -> DataFrame:
         for batch in batches:
             doc, rid = batch.column(0).fill_null(NO_ID).to_numpy(), batch.column(1).to_numpy()
             raw, off = C.buffers(batch.column(2))
-            got = [[x[0] + lo, *x[1:]] for lo, hi in C.pieces(off) for x in [spans(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], run)]]
+            got = [[x[0] + lo, *x[1:]] for lo, hi in C.pieces(off) for x in [spans(raw[off[lo] : off[hi]], off[lo : hi + 1] - off[lo], run, words, short)]]
             row, s, h1, h2 = (np.concatenate([x[k] for x in got]) for k in range(4)) if got else (np.zeros(0, np.int64),) * 4
             if not len(row):
                 continue
@@ -138,7 +146,7 @@ def repeated_sentences(docs: DataFrame, run: int = 3) -> DataFrame:
             count, removed, kept = [], [], []
             for lo, hi in C.pieces(off):
                 base = off[lo]
-                row, start, _, _, _ = sentences(raw[base : off[hi]], off[lo : hi + 1] - base)
+                row, start, _, _, _, _ = sentences(raw[base : off[hi]], off[lo : hi + 1] - base)
                 at = np.searchsorted(row, np.arange(hi - lo + 1))
                 for i in range(lo, hi):
                     own = start[at[i - lo] : at[i - lo + 1]] + base
@@ -148,7 +156,7 @@ def repeated_sentences(docs: DataFrame, run: int = 3) -> DataFrame:
                     if marks[i]:
                         s = np.unique(np.frombuffer(b"".join(marks[i]), np.int32))
                         for t in range(run):
-                            gone[s + t] = True
+                            gone[s[s % run >= t] // run + t] = True
                     removed.append(np.flatnonzero(gone).tolist())
                     if gone.any():
                         edge = np.append(own, off[i + 1]) - off[i]
