@@ -495,9 +495,10 @@ def label_text(spark, d):
 
 
 def _code(spark: SparkSession, d: str) -> DataFrame:
-    """pages as code: their scripts with a function in front, every other one in Python."""
-    js = F.concat(F.lit("function page"), "page_id", F.lit("(a) {\n  if (a && 'x') {\n    return /* none */ a;\n  }\n}\n"), F.regexp_extract("html", "<script>([^<]*)", 1))
-    py = F.concat(F.lit("import os, sys\ndef page"), "page_id", F.lit("(a):\n    if a or 'x':  # text\n        b = 1\n    return b\n"))
+    """pages as code: their whole html with a function in front, every other one as Python."""
+    html = F.coalesce("html", F.lit(""))
+    js = F.concat(F.lit("function page"), "page_id", F.lit("(a) {\n  if (a && 'x') {\n    return /* none */ a;\n  }\n}\n"), html)
+    py = F.concat(F.lit("import os, sys\ndef page"), "page_id", F.lit("(a):\n    if a or 'x':  # text\n        b = 1\n    return b\n"), html)
     even = F.col("page_id") % 2 == 0
     return _t(spark, d, "pages").select((F.col("page_id") % 10).alias("repo_id"), F.col("page_id").cast("string").alias("path"), F.when(even, js).otherwise(py).alias("raw"), F.when(even, "js").otherwise("python").alias("analysis"))
 
