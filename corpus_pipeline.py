@@ -18,7 +18,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose text can't be told to be of a learned language, go."""
+    """Documents without a letter go, and all where no language is learned; ambiguous texts, and texts of unlearned languages, stay."""
     model = learn(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     return identify(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
 
