@@ -36,3 +36,9 @@ def test_functions_of_whole_pages(spark, pages):
 def test_imports_of_whole_pages(spark, pages):
     got = catalog.py_imports(spark, pages).groupBy("page_id").agg(F.array_sort(F.collect_list("module")).alias("m")).collect()
     assert {r.page_id: r.m for r in got} == {1: ["os", "sys"], 3: ["os", "sys"]}
+
+
+def test_hosts_are_repositories(spark, pages):
+    got = {(r.repo_id, r.path) for r in catalog.lex_strip(spark, pages).collect()}
+    assert got == {(f"h{i % 2}.example", str(i)) for i in HTML}
+    assert {(r.repo_id, r.files) for r in catalog.audit_report(spark, pages).collect()} == {("h0.example", 2), ("h1.example", 2)}

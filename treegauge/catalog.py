@@ -500,7 +500,8 @@ def _code(spark: SparkSession, d: str) -> DataFrame:
     js = F.concat(F.lit("function page"), "page_id", F.lit("(a) {\n  if (a && 'x') {\n    return /* none */ a;\n  }\n}\n"), html)
     py = F.concat(F.lit("import os, sys\ndef page"), "page_id", F.lit("(a):\n    if a or 'x':  # text\n        b = 1\n    return b\n"), html)
     even = F.col("page_id") % 2 == 0
-    return _t(spark, d, "pages").select((F.col("page_id") % 10).alias("repo_id"), F.col("page_id").cast("string").alias("path"), F.when(even, js).otherwise(py).alias("raw"), F.when(even, "js").otherwise("python").alias("analysis"))
+    host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
+    return _t(spark, d, "pages").select(F.coalesce(host, F.lit("")).alias("repo_id"), F.col("page_id").cast("string").alias("path"), F.when(even, js).otherwise(py).alias("raw"), F.when(even, "js").otherwise("python").alias("analysis"))
 
 
 @query(None)
