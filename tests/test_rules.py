@@ -11,6 +11,7 @@ from treegauge.functions import text as T
 from treegauge.operators import files as O
 from treegauge.operators import graph as G
 from treegauge.operators import jobs as J
+from treegauge.operators import secrets as S
 from treegauge.plans import health, scoring
 
 
@@ -41,7 +42,7 @@ def test_entropy(spark, value, want):
 def test_secrets_and_test_path_downgrade(spark):
     key = "AK" + "IA" + "Q7RTZ2MN5PLW9XKC"  # made at run time: no token stands in the source
     rows = [(1, "src/a.ts", f'k = "{key}"'), (1, "tests/a.ts", 'token = "zT9q-LmW4v-xR7bN"'), (1, "src/b.ts", 'password = "changeme-now"'), (1, "src/c.ts", 'secret = "zT9qLmW4vxR7bN" || process.env.S')]
-    found = O.secret_findings(O.secret_matches(spark.createDataFrame(rows, "repo_id int, path string, raw string"))).collect()
+    found = S.secret_findings(S.secret_matches(spark.createDataFrame(rows, "repo_id int, path string, raw string"))).collect()
     assert {(r.pattern, r.n, r.severity) for r in found} == {("security.awskeys", 1, "critical"), ("security.generic", 1, "minor")}
 
 

@@ -18,8 +18,13 @@ from treegauge.functions import text as T
 from treegauge.operators import files as O
 from treegauge.operators import graph as G
 from treegauge.operators import jobs as J
+from treegauge.operators import imports as I
 from treegauge.operators import lexing as L
+from treegauge.operators import secrets as S
 from treegauge.plans import audit, health, scoring
+from treegauge.sources import landed
+
+from .catalog_trees import secret_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,10 +69,22 @@ def lang_stats(spark, d):
     return sources(spark, d).groupBy("lang").agg(F.count(F.lit(1)).alias("files"), F.sum("lines").alias("loc"))
 
 
-@query("SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)/([^/?#]+)', 1) AS owner, regexp_extract(url, '^[a-z]+://([^/?#]+)/([^/?#]+)', 2) AS repo, regexp_extract(url, '^[a-z]+://[^/?#]+/[^/?#]+/([^/?#]+)', 1) AS ref FROM pages")
+ADDRESS = "CASE page_id % 6 WHEN 0 THEN 'https://github.com/owner' || page_id || '/repo.x.git' WHEN 1 THEN ' www.github.com/o_' || page_id || '/r/tree/dev/x ' WHEN 2 THEN 'o.' || page_id || '/r-x' WHEN 3 THEN url WHEN 4 THEN 'http://github.com/o/' || page_id || '?tab=x' ELSE 'github.com/' || page_id END"
+TRIMMED = f"regexp_replace(trim({ADDRESS}), '\\.git$', '')"
+LONG = "^(?:https?://)?(?:www\\.)?github\\.com/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+)(?:/tree/([^/]+))?"
+
+
+@query(f"SELECT page_id, CASE WHEN long THEN regexp_extract(x, '{LONG}', 1) WHEN short THEN split_part(x, '/', 1) END AS owner, CASE WHEN long THEN regexp_extract(x, '{LONG}', 2) WHEN short THEN split_part(x, '/', 2) END AS repo, CASE WHEN long THEN nullif(regexp_extract(x, '{LONG}', 3), '') END AS ref FROM (SELECT page_id, x, regexp_matches(x, '{LONG}') AS long, regexp_full_match(x, '[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+') AS short FROM (SELECT page_id, {TRIMMED} AS x FROM pages))")
 def url_parse(spark, d):
-    pattern = r"^[a-z]+://([^/?#]+)/([^/?#]+)"
-    return _t(spark, d, "pages").select("page_id", F.regexp_extract("url", pattern, 1).alias("owner"), F.regexp_extract("url", pattern, 2).alias("repo"), F.regexp_extract("url", r"^[a-z]+://[^/?#]+/[^/?#]+/([^/?#]+)", 1).alias("ref"))
+    """Whole and short addresses, and texts that are none."""
+    return _t(spark, d, "pages").selectExpr("page_id", f"{ADDRESS} AS x").select("page_id", landed.parsed_address(F.col("x")).alias("a")).select("page_id", "a.owner", "a.repo", "a.ref")
+
+
+@query("SELECT status, remaining, CASE WHEN status IS NULL THEN 'unreachable' WHEN status IN (403, 429) AND remaining = 0 THEN 'limit' WHEN status IN (403, 429) THEN 'refused' WHEN status = 404 THEN 'missing' WHEN status // 100 <> 2 THEN 'failed' END AS error, count(*) AS n FROM (SELECT [200, 204, 403, 429, 404, 500, NULL][event_id % 7 + 1] AS status, event_id % 2 AS remaining FROM events) GROUP BY 1, 2, 3")
+def answer_errors(spark, d):
+    code = F.get(F.array(*[F.lit(x) for x in (200, 204, 403, 429, 404, 500, None)]), (F.col("event_id") % 7).cast("int"))
+    e = _t(spark, d, "events").select(code.alias("status"), (F.col("event_id") % 2).alias("remaining"))
+    return e.select("status", "remaining", landed.answer_error(F.col("status"), F.col("remaining")).alias("error")).groupBy("status", "remaining", "error").agg(F.count(F.lit(1)).alias("n"))
 
 
 EXTS = ".ts .js .py .go .min.js .lock .md .png .snap .test.ts".split()
@@ -117,36 +134,25 @@ def file_cap(spark, d):
     return O.file_cap(sources(spark, d), 20).select("repo_id", "path")
 
 
-@query(f"SELECT repo_id, path, CAST(b AS BIGINT) AS before FROM (SELECT *, coalesce(sum(size) OVER (PARTITION BY repo_id ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM {SRC}) WHERE b <= 60000")
-def text_budget(spark, d):
-    return O.text_budget(sources(spark, d), 60000).select("repo_id", "path", "before")
+UNITS = "(len(raw) + len(regexp_replace(raw, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')))"
 
 
-def _secret_sql() -> str:
-    part = []
-    for name, p, group in R.SECRETS:
-        pattern = p[4:] if p.startswith("(?i)") else p
-        flag = "(?i)" if p.startswith("(?i)") else ""
-        pattern = pattern.replace("'", "''")
-        whole = f"{flag}(?:{pattern})[^\\n]*"
-        part.append(f"SELECT repo_id, path, '{name}' AS pattern, unnest(regexp_extract_all(raw, '{whole}', {group})) AS value, unnest(regexp_extract_all(raw, '{whole}', 0)) AS rest FROM {SRC}")
-    entropy = "(SELECT -sum(n / len(value) * log2(n / len(value))) FROM (SELECT count(*)::DOUBLE AS n FROM unnest(string_split(value, '')) u(c) GROUP BY c))"
-    entropy = "list_sum(list_transform(list_distinct(string_split(value, '')), lambda c: -(len(list_filter(string_split(value, ''), lambda x: x = c)) / len(value)) * log2(len(list_filter(string_split(value, ''), lambda x: x = c)) / len(value))))"
-    kept = f"SELECT repo_id, path, pattern, value, {entropy} AS entropy FROM ({' UNION ALL '.join(part)}) WHERE NOT regexp_matches(value, '{R.PLACEHOLDER}') AND NOT regexp_matches(rest, '{R.ENV_CONTEXT}')"
-    return f"(SELECT * FROM ({kept}) WHERE pattern <> 'security.generic' OR (len(value) >= 10 AND entropy >= 3.0))"
+@query(f"SELECT repo_id, path, CAST(b AS BIGINT) AS before FROM (SELECT *, coalesce(sum({UNITS}) OVER (PARTITION BY repo_id ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM {SRC}) WHERE b <= 60000")
+def text_budget(spark, d):
+    return O.text_budget(sources(spark, d), 60000).select("repo_id", "path", "before")
 
 
-SECRET_ROWS = _secret_sql()
+SECRET_ROWS = secret_sql(SRC)
 
 
-@query(f"SELECT repo_id, path, pattern, value, round(entropy, 6) AS entropy FROM {SECRET_ROWS}")
+@query(f"SELECT repo_id, path, pattern, nth, line, value, round(entropy, 6) AS entropy FROM {SECRET_ROWS}")
 def secret_matches(spark, d):
-    return O.secret_matches(sources(spark, d)).withColumn("entropy", F.round("entropy", 6))
+    return S.secret_matches(sources(spark, d)).withColumn("entropy", F.round("entropy", 6))
 
 
-@query(f"SELECT repo_id, pattern, count(*) AS n, CASE WHEN pattern = 'security.generic' THEN 'major' ELSE 'critical' END AS severity FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, pattern ORDER BY path, value) AS k FROM {SECRET_ROWS}) WHERE k <= 12 GROUP BY 1, 2")
+@query(f"SELECT repo_id, pattern, count(*) AS n, CASE WHEN pattern = 'security.generic' THEN 'major' ELSE 'critical' END AS severity FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, pattern ORDER BY path, nth) AS k FROM {SECRET_ROWS}) WHERE k <= 12 GROUP BY 1, 2")
 def secret_severity(spark, d):
-    return O.secret_findings(O.secret_matches(sources(spark, d)))
+    return S.secret_findings(S.secret_matches(sources(spark, d)))
 
 
 CODE = "(SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'x = eval(input())' WHEN 1 THEN 'requests.get(u, verify=False)' WHEN 2 THEN 'pickle.load (f)' ELSE html END || chr(10) || html AS raw, CASE page_id % 3 WHEN 0 THEN 'js' ELSE 'python' END AS analysis, page_id % 10 AS repo_id FROM pages)"
@@ -179,10 +185,9 @@ def dup_ratio(spark, d):
     return O.clone_ratio(sources(spark, d)).withColumn("ratio", F.round("ratio", 6))
 
 
-@query(f"SELECT * FROM (SELECT repo_id, key, n, row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, key) AS place FROM {GROUPS}) WHERE place <= 6")
+@query(f"SELECT * FROM (SELECT repo_id, key, n, row_number() OVER (PARTITION BY repo_id ORDER BY least(n, 4) DESC, f.path, f.line, key) AS place FROM {GROUPS}) WHERE place <= 6")
 def dup_top_groups(spark, d):
-    w = Window.partitionBy("repo_id").orderBy(F.desc("n"), "key")
-    return O.clone_groups(sources(spark, d)).select("repo_id", "key", "n", F.row_number().over(w).cast("long").alias("place")).where("place <= 6")
+    return O.top_clone_groups(O.clone_groups(sources(spark, d))).select("repo_id", "key", "n", F.col("place").cast("long").alias("place"))
 
 
 @query(f"SELECT repo_id, CAST(sum(CASE WHEN regexp_matches(t, '^(//|/\\*|\\*|#)') AND NOT regexp_matches(t, '^#!') AND len(t) > 2 THEN 1 ELSE 0 END) AS BIGINT) AS comments, count(*) AS loc FROM (SELECT repo_id, regexp_replace(text, '^[ \\t\\n\\v\\f\\r]+', '') AS t FROM {LINES}) GROUP BY 1")
@@ -253,9 +258,9 @@ def dep_dedupe(spark, d):
     return _t(spark, d, "part").select(F.col("p_type").alias("ecosystem"), F.col("p_name").alias("name"), F.col("p_size").alias("version")).distinct()
 
 
-@query("SELECT p_partkey AS dep, least(count(*), 8) AS shown, count(*) AS vulns FROM part JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R') v ON p_partkey = l_partkey GROUP BY 1")
+@query("SELECT p_partkey AS dep, least(count(*), 8) AS shown, count(*) AS vulns FROM part JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) v ON p_partkey = l_partkey GROUP BY 1")
 def vuln_join(spark, d):
-    adv = _t(spark, d, "lineitem").where("l_returnflag = 'R'").select("l_partkey", "l_suppkey").distinct()
+    adv = _t(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
     return _t(spark, d, "part").join(adv, F.col("p_partkey") == F.col("l_partkey")).groupBy(F.col("p_partkey").alias("dep")).agg(F.least(F.count(F.lit(1)), F.lit(8)).alias("shown"), F.count(F.lit(1)).alias("vulns"))
 
 
@@ -268,7 +273,7 @@ def link_targets(spark, d):
     return l.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("page_id").alias("pages"))
 
 
-SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", "/index.ts", "/index.tsx", "/index.js", "/index.jsx", "/index.mjs")
+SUFFIXES = R.JS_TAILS
 KNOWN = "(SELECT DISTINCT lower(target) || CASE WHEN len(target) % 3 = 0 THEN '.js' WHEN len(target) % 3 = 1 THEN '.ts' ELSE '/index.js' END AS path FROM " + HREF + ")"
 
 
@@ -323,14 +328,15 @@ def scc_members(spark, d):
 
 CATEGORY = "CASE event_id % 4 WHEN 0 THEN 'security' WHEN 1 THEN 'quality' WHEN 2 THEN 'documentation' ELSE 'maintainability' END"
 SEVERITY = "CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'major' WHEN 'signup' THEN 'minor' ELSE 'info' END"
-FINDINGS = f"(SELECT user_id AS repo_id, event_id, {CATEGORY} || '.' || event_type || CAST(event_id % 7 AS VARCHAR) AS id, {CATEGORY} AS category, {SEVERITY} AS severity, CASE event_type WHEN 'error' THEN 30 WHEN 'purchase' THEN 10 WHEN 'signup' THEN 4 ELSE 1 END AS penalty FROM events WHERE value < 4.0)"
+# ten consecutive events are the findings of one repository, so that their penalties stay apart at every size
+FINDINGS = f"(SELECT event_id - event_id % 10 AS repo_id, event_id, {CATEGORY} || '.' || event_type AS id, {CATEGORY} AS category, {SEVERITY} AS severity, CASE event_type WHEN 'error' THEN 30 WHEN 'purchase' THEN 10 WHEN 'signup' THEN 4 ELSE 1 END AS penalty FROM events)"
 SCORES = f"(SELECT repo_id, category, CAST(sum(penalty) AS BIGINT) AS penalty, CAST(CASE WHEN sum(CASE WHEN severity = 'critical' THEN 1 ELSE 0 END) >= 2 THEN least(100 - least(100, sum(penalty)), 35) WHEN sum(CASE WHEN severity = 'critical' THEN 1 ELSE 0 END) = 1 THEN least(100 - least(100, sum(penalty)), 55) ELSE 100 - least(100, sum(penalty)) END AS BIGINT) AS score FROM {FINDINGS} GROUP BY 1, 2)"
 
 
 def _findings(spark, d):
-    e = _t(spark, d, "events").where("value < 4.0")
-    f = e.select(F.col("user_id").alias("repo_id"), "event_id", F.expr(CATEGORY).alias("category"), F.expr(SEVERITY).alias("severity"), "event_type")
-    return f.withColumn("id", F.concat("category", F.lit("."), "event_type", (F.col("event_id") % 7).cast("string"))).withColumn("penalty", T.penalty(F.col("severity")))
+    e = _t(spark, d, "events")
+    f = e.select((F.col("event_id") - F.col("event_id") % 10).alias("repo_id"), "event_id", F.expr(CATEGORY).alias("category"), F.expr(SEVERITY).alias("severity"), "event_type")
+    return f.withColumn("id", F.concat("category", F.lit("."), "event_type")).withColumn("penalty", T.penalty(F.col("severity")))
 
 
 @query(f"SELECT repo_id, event_id, id, category, severity, penalty FROM {FINDINGS}")
@@ -362,29 +368,29 @@ def findings_filtered(spark, d):
     return _findings(spark, d).where("severity = 'critical'").select("repo_id", "event_id", "id")
 
 
-COMPARED = f"(SELECT category, x.score AS score_a, y.score AS score_b, x.score - y.score AS diff, CASE WHEN x.score > y.score THEN 'a' WHEN x.score < y.score THEN 'b' ELSE 'tie' END AS winner FROM (SELECT * FROM {SCORES} WHERE repo_id = 1) x JOIN (SELECT * FROM {SCORES} WHERE repo_id = 2) y USING (category))"
+COMPARED = f"(SELECT category, x.score AS score_a, y.score AS score_b, x.score - y.score AS diff, CASE WHEN x.score > y.score THEN 'a' WHEN x.score < y.score THEN 'b' ELSE 'tie' END AS winner FROM (SELECT * FROM {SCORES} WHERE repo_id = 0) x JOIN (SELECT * FROM {SCORES} WHERE repo_id = 30) y USING (category))"
 
 
 @query(f"SELECT * FROM {COMPARED}")
 def compare_categories(spark, d):
-    return scoring.compare(scoring.category_scores(_findings(spark, d)), 1, 2)
+    return scoring.compare(scoring.category_scores(_findings(spark, d)), 0, 30)
 
 
 @query(f"SELECT winner, count(*) AS categories FROM {COMPARED} GROUP BY 1")
 def compare_verdict(spark, d):
-    return scoring.compare(scoring.category_scores(_findings(spark, d)), 1, 2).groupBy("winner").agg(F.count(F.lit(1)).alias("categories"))
+    return scoring.compare(scoring.category_scores(_findings(spark, d)), 0, 30).groupBy("winner").agg(F.count(F.lit(1)).alias("categories"))
 
 
-@query(f"SELECT DISTINCT id FROM {FINDINGS} WHERE repo_id = 1 AND id NOT IN (SELECT id FROM {FINDINGS} WHERE repo_id = 2)")
+@query(f"SELECT DISTINCT id FROM {FINDINGS} WHERE repo_id = 0 AND id NOT IN (SELECT id FROM {FINDINGS} WHERE repo_id = 30)")
 def only_in_a(spark, d):
     f = _findings(spark, d)
-    return f.where("repo_id = 1").select("id").distinct().join(f.where("repo_id = 2").select("id"), "id", "left_anti")
+    return f.where("repo_id = 0").select("id").distinct().join(f.where("repo_id = 30").select("id"), "id", "left_anti")
 
 
-@query(f"SELECT DISTINCT id FROM {FINDINGS} WHERE repo_id = 1 AND id IN (SELECT id FROM {FINDINGS} WHERE repo_id = 2)")
+@query(f"SELECT DISTINCT id FROM {FINDINGS} WHERE repo_id = 0 AND id IN (SELECT id FROM {FINDINGS} WHERE repo_id = 30)")
 def shared_findings(spark, d):
     f = _findings(spark, d)
-    return f.where("repo_id = 1").select("id").distinct().join(f.where("repo_id = 2").select("id"), "id", "left_semi")
+    return f.where("repo_id = 0").select("id").distinct().join(f.where("repo_id = 30").select("id"), "id", "left_semi")
 
 
 @query(f"SELECT repo_id, id, place FROM (SELECT repo_id, id, row_number() OVER (PARTITION BY repo_id ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'major' THEN 1 WHEN 'minor' THEN 2 ELSE 3 END, id) AS place FROM (SELECT DISTINCT repo_id, id, severity FROM {FINDINGS})) WHERE place <= 12")
@@ -425,8 +431,8 @@ def recent_results(spark, d):
 
 @query(f"SELECT job_id FROM {LATEST} WHERE status = 'done' AND finished > (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")
 def fresh_cache(spark, d):
-    last = _t(spark, d, "events").agg(F.max("ts").alias("now")).first()["now"]
-    return J.fresh(_jobs(spark, d), F.lit(str(last)).cast("timestamp_ntz")).select("job_id")
+    last = _t(spark, d, "events").agg(F.max("ts").alias("now"))  # one row
+    return J.fresh(_jobs(spark, d).join(F.broadcast(last)), F.col("now")).select("job_id")
 
 
 @query(f"SELECT repo_id, 'health ' || grade || ' ' || CAST(overall AS VARCHAR) AS label, CAST(len('health ' || grade || ' ' || CAST(overall AS VARCHAR)) * 7.0 - 2 * 3.5 AS DOUBLE) AS width FROM ({ORACLES['overall_grade']})")
@@ -524,6 +530,15 @@ def py_functions(spark, d):
     return _functions(spark, d).where("path % 2 = 1")
 
 
+PAGES = "(SELECT page_id, 'import os, sys' || chr(10) || 'def page' || page_id || '(a):' || chr(10) || '    if a or ' || chr(39) || 'x' || chr(39) || ':  # text' || chr(10) || '        b = 1' || chr(10) || '    return b' || chr(10) || coalesce(html, '') AS raw FROM pages WHERE page_id % 2 = 1)"
+
+
+@query(f"SELECT page_id, trim(unnest(string_split(x, ',')), ' ' || chr(9) || chr(10) || chr(13)) AS module FROM (SELECT page_id, unnest(regexp_extract_all(raw, '{R.PY_IMPORT}', 2)) AS x FROM {PAGES}) UNION ALL SELECT page_id, m FROM (SELECT page_id, unnest(regexp_extract_all(raw, '{R.PY_IMPORT}', 1)) AS m FROM {PAGES}) WHERE m <> ''")
+def py_imports_raw(spark, d):
+    """Imports of every other page as Python, as the operator gives them: a match goes on over line ends."""
+    return I.imported(_code(spark, d).where("analysis = 'python'")).select(F.col("path").cast("long").alias("page_id"), F.col("spec").alias("module"))
+
+
 @query("SELECT page_id, unnest(['os', 'sys']) AS module FROM pages WHERE page_id % 2 = 1")
 def py_imports(spark, d):
     code = _code(spark, d).where("analysis = 'python'")

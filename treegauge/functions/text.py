@@ -14,6 +14,16 @@ def java(pattern: str) -> str:
     return pattern.replace(r"\b", edge)
 
 
+def units(text: Column) -> Column:
+    """Length in UTF-16 units."""
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("long")
+
+
+def file_order(path: str = "path") -> Column:
+    """Files go by their path, as words are sorted: without regard to case first."""
+    return F.collate(F.col(path), "UNICODE")
+
+
 def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
@@ -36,7 +46,7 @@ def is_binary(ext: Column) -> Column:
 
 
 def is_ignored(path: Column) -> Column:
-    """By the default rules: a parent directory, the base name, or its suffix."""
+    """By the default rules: a parent directory, the base name, or its suffix. See operators/ignore.py for a tree's own rules."""
     parts = F.split(F.lower(path), "/")
     parents = F.slice(parts, F.lit(1), F.size(parts) - 1)
     base = F.element_at(parts, -1)
@@ -56,7 +66,7 @@ def module_of(path: Column) -> Column:
 def entropy(value: Column) -> Column:
     """Shannon entropy of the characters over the length in UTF-16 units."""
     chars = F.split(value, "")
-    n = (F.octet_length(F.encode(value, "UTF-16BE")) / 2).cast("double")
+    n = units(value).cast("double")
     share = lambda c: (F.size(F.filter(chars, lambda x: x == c)) / n).cast("double")
     return F.when(n > 0, F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda acc, c: acc - share(c) * F.log2(share(c)))).otherwise(0.0)
 
@@ -88,6 +98,39 @@ def penalty(severity: Column) -> Column:
     return out
 
 
+def diagnosis(score: Column) -> Column:
+    """What an overall score means, in words."""
+    return F.when(score >= 85, "healthy").when(score >= 70, "manageable").when(score >= 50, "needs attention").otherwise("critical")
+
+
+def band(value: Column, scale: str) -> Column:
+    """The colour of a grade ("badge", "card") or of a score ("donut", "bar") on one of the fixed scales."""
+    steps, rest = R.BANDS[scale]
+    test = (lambda least: value == least) if isinstance(steps[0][0], str) else (lambda least: value >= least)
+    out = None
+    for least, colour in steps:
+        out = F.when(test(least), colour) if out is None else out.when(test(least), colour)
+    return out.otherwise(rest)
+
+
+def shortened(text: Column, most: int) -> Column:
+    """At most so many characters, the last an ellipsis where some were cut."""
+    return F.when(F.char_length(text) > most, F.concat(F.left(text, F.lit(most - 1)), F.lit("…"))).otherwise(text)
+
+
+def thousands(n: Column) -> Column:
+    """1234 as 1.2k."""
+    return F.when(n >= 1000, F.concat(F.format_string("%.1f", n / 1000), F.lit("k"))).otherwise(n.cast("string"))
+
+
+def xml(text: Column) -> Column:
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def plural(n: Column, one: str, many: str) -> Column:
+    return F.concat(n.cast("string"), F.lit(" "), F.when(n == 1, one).otherwise(many))
+
+
 def severity_rank(severity: Column) -> Column:
     out = None
     for i, name in enumerate(R.PENALTY):

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from treegauge.functions import rules as R
+from treegauge.workers import ship
 
-REQUIREMENTS = r"^requirements[A-Za-z0-9_.-]*\.txt\z"
+REQUIREMENTS = R.REQUIREMENTS.replace("$", r"\z")
+PAIRS = "array<struct<name:string,version:string>>"
 
 
 def direct_count(manifests: DataFrame) -> DataFrame:
     """(repo_id, direct): entries of all manifests of a repository."""
     keys = lambda x: F.coalesce(F.size(F.from_json(F.get_json_object("content", x), "map<string,string>")), F.lit(0))
     found = lambda pattern: F.regexp_count("content", F.lit(pattern))
-    block = F.regexp_extract("content", r"require\s*\(([\s\S]*?)\)", 1)
-    go = F.when(F.col("content").rlike(r"require\s*\([\s\S]*?\)"), F.regexp_count(block, F.lit(r"(?m)^\s*\S+\s+v"))).otherwise(found(r"(?m)^\s*require\s+\S+\s+v"))
+    block = F.regexp_extract("content", R.GO_BLOCK, 1)
+    go = F.when(F.col("content").rlike(R.GO_BLOCK), F.regexp_count(block, F.lit(R.GO_BLOCK_LINE))).otherwise(found(R.GO_LINE))
     n = F.when(F.col("path") == "package.json", F.greatest(keys("$.dependencies"), F.lit(0)) + F.greatest(keys("$.devDependencies"), F.lit(0)))
-    n = n.when(F.col("path").rlike(REQUIREMENTS), found(r"(?m)^\s*[A-Za-z0-9_.\-]+\s*[><=~!]=?")).when(F.col("path") == "go.mod", go).when(F.col("path") == "pom.xml", found("<dependency>")).otherwise(0)
+    n = n.when(F.col("path").rlike(REQUIREMENTS), found(R.REQUIRED)).when(F.col("path") == "go.mod", go).when(F.col("path") == "pom.xml", found("<dependency>")).otherwise(0)
     return manifests.groupBy("repo_id").agg(F.sum(n).cast("long").alias("direct"))
 
 
@@ -24,34 +32,86 @@ def _pairs(pattern: str) -> Column:
     return F.transform(both, lambda x: F.struct(x["name"].alias("name"), x["version"].alias("version")))
 
 
-def pinned(manifests: DataFrame) -> DataFrame:
+def nested_versions(text: str | None) -> list[dict[str, str]]:
+    """All (name, version) of a lock file whose entries hold entries of their own."""
+    try:
+        waiting, out = [json.loads(text or "")["dependencies"]], []
+        while waiting:
+            for name, entry in waiting.pop().items():
+                if isinstance(entry.get("version"), str):
+                    out.append({"name": name, "version": entry["version"]})
+                if isinstance(entry.get("dependencies"), dict):
+                    waiting.append(entry["dependencies"])
+    except (ValueError, KeyError, TypeError, AttributeError):
+        return []
+    return out
+
+
+def pinned(manifests: DataFrame, fixed: bool = False) -> DataFrame:
     """(repo_id, ecosystem, name, version): distinct exact versions, which begin with a digit.
 
-    Yarn and Go locks give nothing, as in the rules' compatible mode.
+    Yarn and Go locks give nothing in the rules' compatible mode; with fixed, they are read too.
     """
-    none = F.array().cast("array<struct<name:string,version:string>>")
+    ship(manifests.sparkSession)
+
+    @F.pandas_udf(PAIRS)
+    def nested(content: pd.Series) -> pd.Series:
+        return content.map(nested_versions)
+
+    none = F.array().cast(PAIRS)
     lock = F.map_entries(F.from_json(F.get_json_object("content", "$.packages"), "map<string,struct<version:string>>"))
     plain = F.filter(lock, lambda e: ~e["key"].isin("", "node_modules") & ~F.regexp_replace(e["key"], "^node_modules/", "").contains("/node_modules/"))
     npm = F.transform(plain, lambda e: F.struct(F.regexp_replace(e["key"], "^node_modules/", "").alias("name"), e["value"]["version"].alias("version")))
-    kind = "array<struct<name:string,version:string>>"
-    php = F.concat(*[F.coalesce(F.from_json(F.get_json_object("content", f"$['{s}']"), kind), none) for s in ("packages", "packages-dev")])
+    php = F.concat(*[F.coalesce(F.from_json(F.get_json_object("content", f"$['{s}']"), PAIRS), none) for s in ("packages", "packages-dev")])
     php = F.transform(php, lambda x: F.struct(x["name"].alias("name"), F.regexp_replace(x["version"], "^v", "").alias("version")))
     calm = lambda xs: F.transform(xs, lambda x: F.struct(F.regexp_replace(F.lower(x["name"]), "[-_.]+", "-").alias("name"), x["version"].alias("version")))
     of = F.col("path")
     rows = (
         F.when(of == "package-lock.json", npm)
-        .when(of == "pnpm-lock.yaml", _pairs(r"(?m)^\s{2,}/?((?:@[^/\s]+/)?[^@\s(]+)@([^(:\s]+)"))
-        .when(of.rlike(REQUIREMENTS), calm(_pairs(r"(?m)^\s*([A-Za-z0-9_.\-]+)\s*==\s*([^;\s]+)")))
-        .when(of == "poetry.lock", calm(_pairs(r'name\s*=\s*"([^"]+)"\s*\nversion\s*=\s*"([^"]+)"')))
-        .when(of == "Cargo.lock", _pairs(r'\[\[package\]\]\s*\nname\s*=\s*"([^"]+)"\s*\nversion\s*=\s*"([^"]+)"'))
+        .when(of == "pnpm-lock.yaml", _pairs(R.PINS["pnpm"]))
+        .when(of.rlike(REQUIREMENTS), calm(_pairs(R.PINS["requirements"])))
+        .when(of == "poetry.lock", calm(_pairs(R.PINS["poetry"])))
+        .when(of == "Cargo.lock", _pairs(R.PINS["cargo"]))
         .when(of == "composer.lock", php)
     )
-    ecosystem = F.when(of.isin("package-lock.json", "pnpm-lock.yaml"), "npm").when(of == "Cargo.lock", "cargo").when(of == "composer.lock", "composer").otherwise("pip")
-    out = manifests.select("repo_id", ecosystem.alias("ecosystem"), F.explode(F.coalesce(rows, none)).alias("x")).select("repo_id", "ecosystem", "x.*")
+    if fixed:
+        yarn = _pairs(r'(?m)^"?(@?[^@"\s,]+)@[^\n]*:\r?\n\s+version:? "?([^"\s]+)"?')
+        go = _pairs(r"(?m)^(\S+) v([^\s/]+) h1:")
+        rows = rows.when(of == "yarn.lock", yarn).when(of == "go.sum", go)
+    ecosystem = F.when(of.isin("package-lock.json", "pnpm-lock.yaml", "yarn.lock"), "npm").when(of == "Cargo.lock", "cargo").when(of == "composer.lock", "composer").when(of == "go.sum", "go").otherwise("pip")
+    read = manifests.select("repo_id", ecosystem.alias("ecosystem"), F.explode(F.coalesce(rows, none)).alias("x"))
+    # the older form of this lock file nests; those few files alone go to Python
+    older = manifests.where((of == "package-lock.json") & (F.coalesce(F.size(lock), F.lit(0)) <= 0) & F.get_json_object("content", "$.dependencies").isNotNull())
+    read = read.unionByName(older.select("repo_id", F.lit("npm").alias("ecosystem"), F.explode(nested("content")).alias("x")))
+    out = read.select("repo_id", "ecosystem", "x.*")
     return out.where((F.col("name") != "") & F.col("version").rlike("^[0-9]") & ~F.col("version").contains("*")).distinct()
 
 
+def _advice_name(ecosystem: Column) -> Column:
+    names = F.create_map(*[F.lit(x) for pair in R.ECOSYSTEMS.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, ecosystem), ecosystem)
+
+
 def vulnerable(deps: DataFrame, advisories: DataFrame, most: int = 8) -> DataFrame:
-    """(repo_id, ecosystem, name, version, vulns): dependencies with advisories (ecosystem, name, version, vuln_id)."""
-    ids = advisories.groupBy("ecosystem", "name", "version").agg(F.slice(F.array_sort(F.collect_set("vuln_id")), 1, most).alias("vulns"))
-    return deps.join(ids, ["ecosystem", "name", "version"])
+    """(repo_id, ecosystem, name, version, vulns): dependencies with advisories (ecosystem, name, version, vuln_id).
+
+    Advisories may name ecosystems as the advisory service does, or as we do; ours stay in the result.
+    """
+    w = Window.partitionBy("ecosystem", "name", "version").orderBy("vuln_id")
+    few = advisories.withColumn("ecosystem", _advice_name(F.col("ecosystem"))).distinct().withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
+    ids = few.groupBy("ecosystem", "name", "version").agg(F.array_sort(F.collect_list("vuln_id")).alias("vulns")).withColumnRenamed("ecosystem", "service")
+    return deps.withColumn("service", _advice_name(F.col("ecosystem"))).join(ids, ["service", "name", "version"]).select("repo_id", "ecosystem", "name", "version", "vulns")
+
+
+def top_vulnerable(bad: DataFrame, most: int = 8) -> DataFrame:
+    """vulnerable() with place: those with the most advisories first."""
+    w = Window.partitionBy("repo_id").orderBy(F.desc(F.size("vulns")), "ecosystem", "name", "version")
+    return bad.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+
+
+def advice_requests(deps: DataFrame, size: int = 100) -> DataFrame:
+    """(repo_id, request, n, body): what to send to an advisory service, `size` exact versions a request."""
+    w = Window.partitionBy("repo_id").orderBy("ecosystem", "name", "version")
+    each = F.struct("place", F.struct(F.struct("name", _advice_name(F.col("ecosystem")).alias("ecosystem")).alias("package"), "version").alias("q"))
+    dealt = deps.withColumn("place", F.row_number().over(w) - 1).groupBy("repo_id", F.floor(F.col("place") / size).cast("int").alias("request")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(each)).alias("qs"))
+    return dealt.select("repo_id", "request", "n", F.to_json(F.struct(F.transform("qs", lambda x: x["q"]).alias("queries"))).alias("body"))

@@ -1,8 +1,8 @@
-"""Operators over files (repo_id, path, raw): classification, lines, budgets, secrets, clones."""
+"""Operators over files (repo_id, path, raw): classification, lines, budgets, dangerous lines, clones."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,47 +24,26 @@ def classify(files: DataFrame) -> DataFrame:
 
 
 def file_cap(files: DataFrame, most: int) -> DataFrame:
-    """The first files of each repository by path."""
-    w = Window.partitionBy("repo_id").orderBy("path")
-    return files.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    """The first files of each repository in file order.
 
-
-def text_budget(files: DataFrame, bytes_: int) -> DataFrame:
-    """Files of each repository by path until the budget was passed; the crossing file is kept."""
-    w = Window.partitionBy("repo_id").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    return files.withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0))).where(F.col("before") <= bytes_)
-
-
-def lines(files: DataFrame) -> DataFrame:
-    """(repo_id, path, line from 1, text) of every line."""
-    return files.where(F.length("raw") > 0).select("repo_id", "path", F.posexplode(F.split("raw", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
-
-
-def secret_matches(files: DataFrame) -> DataFrame:
-    """(repo_id, path, pattern, value, entropy) of surviving secret matches.
-
-    The patterns are literal expressions over one pass of the texts: no join with a pattern table.
+    Only keys are ranked; whole rows then follow them, so no task sorts a repository's texts.
     """
+    w = Window.partitionBy("repo_id").orderBy(T.file_order())
+    first = files.select("repo_id", "path").withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+    return files.join(first.drop("place"), ["repo_id", "path"], "left_semi")
 
-    def of(name: str, pattern: str, group: int) -> Column:
-        whole = rf"(?:{T.java(pattern)})[^\n]*" if not pattern.startswith("(?i)") else rf"(?i)(?:{T.java(pattern[4:])})[^\n]*"
-        # one scan of the text; the value is taken again from the few lines that match
-        rest = F.regexp_extract_all("raw", F.lit(whole), F.lit(0))
-        return F.transform(rest, lambda x: F.struct(F.lit(name).alias("pattern"), F.regexp_extract(x, whole, group).alias("value"), x.alias("rest")))
 
-    found = files.select("repo_id", "path", F.explode(F.concat(*[of(*s) for s in R.SECRETS])).alias("x")).select("repo_id", "path", "x.*")
-    found = found.where(~F.col("value").rlike(T.java(R.PLACEHOLDER)) & ~F.col("rest").rlike(T.java(R.ENV_CONTEXT)))
-    found = found.withColumn("entropy", T.entropy(F.col("value"))).drop("rest")
-    return found.where((F.col("pattern") != "security.generic") | ((F.length("value") >= 10) & (F.col("entropy") >= 3.0)))
+def text_budget(files: DataFrame, most: int) -> DataFrame:
+    """Files in file order until the units of their texts pass `most`; the crossing file is kept. before: the units until then."""
+    w = Window.partitionBy("repo_id").orderBy(T.file_order()).rowsBetween(Window.unboundedPreceding, -1)
+    light = files.select("repo_id", "path", T.units(F.col("raw")).alias("units"))
+    kept = light.select("repo_id", "path", F.coalesce(F.sum("units").over(w), F.lit(0)).alias("before")).where(F.col("before") <= most)
+    return files.join(kept, ["repo_id", "path"])
 
 
-def secret_findings(matches: DataFrame, shown: int = 12) -> DataFrame:
-    """(repo_id, pattern, n, severity): at most `shown` locations a pattern; one step down if any is in a test path."""
-    w = Window.partitionBy("repo_id", "pattern").orderBy("path", "value")
-    top = matches.withColumn("place", F.row_number().over(w)).where(F.col("place") <= shown)
-    severity = F.when(F.col("pattern") == "security.generic", "major").otherwise("critical")
-    out = top.groupBy("repo_id", "pattern").agg(F.count(F.lit(1)).alias("n"), F.bool_or(T.is_test(F.col("path"))).alias("tested"))
-    return out.select("repo_id", "pattern", "n", F.when(F.col("tested"), T.one_step_down(severity)).otherwise(severity).alias("severity"))
+def lines(files: DataFrame, text: str = "raw") -> DataFrame:
+    """(repo_id, path, line from 1, text) of every line."""
+    return files.where(F.length(text) > 0).select("repo_id", "path", F.posexplode(F.split(text, "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
 
 
 def pattern_lines(files: DataFrame) -> DataFrame:
@@ -77,27 +56,48 @@ def pattern_lines(files: DataFrame) -> DataFrame:
     return rows.select("repo_id", "path", (F.col("line") + 1).alias("line"), F.explode(checks).alias("x")).select("repo_id", "path", "line", "x.pattern", "x.severity")
 
 
-def clone_lines(files: DataFrame) -> DataFrame:
+def first_lines(found: DataFrame, shown: int = 12) -> DataFrame:
+    """pattern_lines with place: the first `shown` of each pattern of a repository, in file order."""
+    w = Window.partitionBy("repo_id", "pattern").orderBy(T.file_order(), "line")
+    return found.withColumn("place", F.row_number().over(w)).where(F.col("place") <= shown)
+
+
+def clone_lines(files: DataFrame, text: str = "raw") -> DataFrame:
     """(repo_id, path, line, text) of the lines that clone detection compares."""
-    return lines(files).withColumn("text", T.squeezed(F.col("text"))).where((F.length("text") >= R.CLONE_LEAST) & ~F.col("text").rlike(R.CLONE_SKIP.replace("$", r"\z")))
+    return lines(files, text).withColumn("text", T.squeezed(F.col("text"))).where((F.length("text") >= R.CLONE_LEAST) & ~F.col("text").rlike(R.CLONE_SKIP.replace("$", r"\z")))
 
 
-def clone_windows(files: DataFrame) -> DataFrame:
+def clone_windows(files: DataFrame, text: str = "raw") -> DataFrame:
     """(repo_id, path, line, key): every run of seven compared lines, by its last line."""
     w = Window.partitionBy("repo_id", "path").orderBy("line")
-    held = clone_lines(files).withColumn("run", F.collect_list("text").over(w.rowsBetween(1 - R.CLONE_LINES, 0)))
+    held = clone_lines(files, text).withColumn("run", F.collect_list("text").over(w.rowsBetween(1 - R.CLONE_LINES, 0)))
     return held.where(F.size("run") == R.CLONE_LINES).select("repo_id", "path", "line", F.md5(F.array_join("run", "\n")).alias("key"))
 
 
-def clone_groups(files: DataFrame) -> DataFrame:
+def clone_groups(files: DataFrame, text: str = "raw") -> DataFrame:
     """(repo_id, key, n, first_path, first_line) of windows that a repository holds twice or more."""
-    g = clone_windows(files).groupBy("repo_id", "key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("path", "line")).alias("first"))
+    first = F.min(F.struct(T.file_order().alias("order"), "line", "path"))
+    g = clone_windows(files, text).groupBy("repo_id", "key").agg(F.count(F.lit(1)).alias("n"), first.alias("first"))
     return g.where("n > 1").select("repo_id", "key", "n", F.col("first.path").alias("first_path"), (F.col("first.line") - (R.CLONE_LINES - 1)).alias("first_line"))
 
 
-def clone_ratio(files: DataFrame) -> DataFrame:
+def clone_ratio(files: DataFrame, text: str = "raw") -> DataFrame:
     """(repo_id, eligible, duplicated, ratio); overlapping windows count at full weight."""
-    eligible = clone_lines(files).groupBy("repo_id").agg(F.count(F.lit(1)).alias("eligible"))
-    dup = clone_groups(files).groupBy("repo_id").agg(F.sum((F.col("n") - 1) * R.CLONE_LINES).alias("duplicated"))
+    eligible = clone_lines(files, text).groupBy("repo_id").agg(F.count(F.lit(1)).alias("eligible"))
+    dup = clone_groups(files, text).groupBy("repo_id").agg(F.sum((F.col("n") - 1) * R.CLONE_LINES).alias("duplicated"))
     out = eligible.join(dup, "repo_id", "left").withColumn("duplicated", F.coalesce("duplicated", F.lit(0)).cast("long"))
     return out.withColumn("ratio", F.try_divide("duplicated", "eligible"))
+
+
+def top_clone_groups(groups: DataFrame, most: int = 6, shown: int = 4) -> DataFrame:
+    """clone_groups with place: those with the most places first, counted up to `shown`; then in file order."""
+    w = Window.partitionBy("repo_id").orderBy(F.desc(F.least("n", F.lit(shown))), T.file_order("first_path"), "first_line", "key")
+    return groups.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+
+
+def clone_places(files: DataFrame, most: int = 6, shown: int = 4, text: str = "raw") -> DataFrame:
+    """(repo_id, key, n, place, k, path, line): the first `shown` places of a repository's top groups; line is where a window begins."""
+    top = top_clone_groups(clone_groups(files, text), most, shown).select("repo_id", "key", "n", "place")
+    w = Window.partitionBy("repo_id", "key").orderBy(T.file_order(), "line")
+    each = clone_windows(files, text).join(top, ["repo_id", "key"]).withColumn("k", F.row_number().over(w)).where(F.col("k") <= shown)
+    return each.select("repo_id", "key", "n", "place", "k", "path", (F.col("line") - (R.CLONE_LINES - 1)).alias("line"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from treegauge.functions import text as T
 from treegauge.operators import files as O
+from treegauge.operators import secrets as S
 
 from . import scoring
 
@@ -14,7 +15,7 @@ from . import scoring
 def findings(files: DataFrame) -> DataFrame:
     """(repo_id, id, category, severity, penalty) for files (repo_id, path, raw, lines, is_test)."""
     kept = lambda df, id_, category, severity: df.select("repo_id", (F.lit(id_) if isinstance(id_, str) else id_).alias("id"), F.lit(category).alias("category"), (F.lit(severity) if isinstance(severity, str) else severity).alias("severity"))
-    secret = O.secret_findings(O.secret_matches(files))
+    secret = S.secret_findings(S.secret_matches(files))
     secret = kept(secret, F.col("pattern"), "security", F.col("severity"))
     ratio = O.clone_ratio(files).where("ratio > 0.05")
     clone = kept(ratio, "quality.duplication", "quality", F.when(F.col("ratio") > 0.20, "major").otherwise("minor"))

@@ -21,11 +21,15 @@ def category_scores(findings: DataFrame) -> DataFrame:
     return g.select("repo_id", "category", F.col("points").cast("long").alias("penalty"), score.cast("long").alias("score"))
 
 
-def testing_score(test_loc: str = "test_loc", source_loc: str = "source_loc") -> Column:
-    """The testing category's score before other penalties: full from six tenths of the source lines on."""
+def test_curve(test_loc: str = "test_loc", source_loc: str = "source_loc") -> Column:
+    """Points that testing loses by its share of test lines: none from six tenths of the source lines on."""
     ratio = F.try_divide(F.col(test_loc), F.col(source_loc))
-    curve = F.when(F.col(source_loc) == 0, 0).otherwise(F.greatest(F.lit(0), 100 - F.least(F.lit(100), F.floor(ratio / 0.6 * 100 + 0.5))))
-    return F.greatest(F.lit(5), F.least(F.lit(100), 100 - curve)).cast("long")
+    return F.when(F.col(source_loc) == 0, 0).otherwise(F.greatest(F.lit(0), 100 - F.least(F.lit(100), F.floor(ratio / 0.6 * 100 + 0.5))))
+
+
+def testing_score(test_loc: str = "test_loc", source_loc: str = "source_loc") -> Column:
+    """The testing category's score before other penalties."""
+    return F.greatest(F.lit(5), F.least(F.lit(100), 100 - test_curve(test_loc, source_loc))).cast("long")
 
 
 def overall(scores: DataFrame) -> DataFrame:
