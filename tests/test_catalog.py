@@ -5,9 +5,10 @@ from pathlib import Path
 
 import pytest
 
-from treegauge import catalog
+from treegauge import catalog, catalog_trees
 
 DATA = Path("/root/testdata/sf0.001")
+ORACLES, QUERIES = catalog.ORACLES | catalog_trees.ORACLES, catalog.QUERIES | catalog_trees.QUERIES
 
 
 def rows(columns, values):
@@ -17,15 +18,15 @@ def rows(columns, values):
 
 
 @pytest.mark.skipif(not DATA.is_dir(), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_against_duckdb(spark, name):
     import duckdb
 
     con = duckdb.connect()
     for f in DATA.glob("*.parquet"):
         con.sql(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
-    want = con.execute(catalog.ORACLES[name])
+    want = con.execute(ORACLES[name])
     columns = [c[0] for c in want.description]
-    got = catalog.QUERIES[name](spark, str(DATA))
+    got = QUERIES[name](spark, str(DATA))
     assert sorted(got.columns) == sorted(columns)
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(columns, want.fetchall())

@@ -47,7 +47,7 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def sources(spark: SparkSession, d: str) -> DataFrame:
     """documents as files (repo_id, path, raw, size, lines)."""
-    doc = _t(spark, d, "documents").select(F.col("source").alias("repo_id"), F.format_string("doc_%08d.txt", "doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("raw"), "lang")
+    doc = O.spread(_t(spark, d, "documents")).select(F.col("source").alias("repo_id"), F.format_string("doc_%08d.txt", "doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("raw"), "lang")
     return doc.withColumn("size", F.octet_length("raw").cast("long")).withColumn("lines", T.line_count(F.col("raw")))
 
 
@@ -482,6 +482,70 @@ def inflight_dedupe(spark, d):
     return j.groupBy((F.col("job_id") % 50).alias("value_key")).agg(F.min("job_id").alias("job_id"), F.count(F.lit(1)).alias("asked"))
 
 
+@query(f"SELECT job_id, seq, status FROM (SELECT * FROM {LATEST} ORDER BY seq DESC LIMIT 200)")
+def job_saved(spark, d):
+    """Stored jobs after a second half of updates: an upsert that keeps the last 200."""
+    e = _t(spark, d, "events").select((F.col("user_id") * 100 + F.col("event_id") % 100).alias("job_id"), F.col("event_id").alias("seq"), F.expr(STATUS).alias("status"))
+    return J.saved(J.latest(e.where("seq % 2 = 0")), e.where("seq % 2 = 1")).select("job_id", "seq", "status")
+
+
+@query(f"SELECT job_id, seq FROM (SELECT *, row_number() OVER (ORDER BY finished, job_id) AS k FROM {LATEST} WHERE status = 'queued') WHERE k <= 40 - least(40, (SELECT count(*) FROM {LATEST} WHERE status = 'running' AND job_id % 97 = 0))")
+def job_started(spark, d):
+    """What the free ones of forty workers take; only some of the running jobs are theirs."""
+    j = _jobs(spark, d).withColumn("status", F.when((F.col("status") == "running") & (F.col("job_id") % 97 != 0), "done").otherwise(F.col("status")))
+    return J.started(j, 40).select("job_id", "seq")
+
+
+@query(f"SELECT status, count(*) AS n FROM (SELECT CASE WHEN status IN ('queued', 'running') THEN 'error' ELSE status END AS status FROM {LATEST}) GROUP BY 1")
+def job_recovered(spark, d):
+    return J.recovered(_jobs(spark, d)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT job_id, seq, was, status, coalesce((was IS NULL AND status IN ('queued', 'done')) OR was || '>' || status IN ('queued>running', 'queued>error', 'running>done', 'running>error'), false) AS allowed FROM (SELECT job_id, seq, status, lag(status) OVER (PARTITION BY job_id ORDER BY seq) AS was FROM {JOBS}) WHERE was IS DISTINCT FROM status")
+def job_transitions(spark, d):
+    e = _t(spark, d, "events").select((F.col("user_id") * 100 + F.col("event_id") % 100).alias("job_id"), F.col("event_id").alias("seq"), F.expr(STATUS).alias("status"))
+    return J.transitions(e)
+
+
+QUEUE_KEY = "CASE WHEN regexp_matches({0}, 'github\\.com/[A-Za-z0-9_.-]+/[A-Za-z0-9_.-]+') THEN regexp_extract({0}, 'github\\.com/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+)', 1) || '/' || regexp_replace(regexp_extract({0}, 'github\\.com/([A-Za-z0-9_.-]+)/([A-Za-z0-9_.-]+)', 2), '\\.git$', '') ELSE 'unknown/unknown' END"
+ASKED_KEYS = f"(SELECT page_id AS request_id, {QUEUE_KEY.format('x')} AS key FROM (SELECT page_id, {ADDRESS.replace('page_id ||', '(page_id % 50) ||').replace('|| page_id END', '|| (page_id % 50) END')} AS x FROM pages))"
+KEYED = f"(SELECT *, CASE WHEN job_id % 9 = 0 THEN 'unknown/unknown' ELSE 'o/' || (job_id % 70) END AS key FROM {LATEST})"
+
+
+@query(f"""WITH f AS (SELECT key, min(job_id) AS flight FROM {KEYED} WHERE status IN ('queued', 'running') AND job_id % 5 = 0 GROUP BY 1), c AS (SELECT key, arg_max(job_id, struct_pack(f := finished, j := job_id)) AS cached FROM {KEYED} WHERE status = 'done' AND finished > TIMESTAMP '2024-01-01' - INTERVAL 24 HOUR GROUP BY 1)
+SELECT a.request_id, a.key, coalesce(flight, cached) AS job_id, CASE WHEN flight IS NOT NULL THEN 'attached' WHEN cached IS NOT NULL THEN 'cached' WHEN a.request_id = (SELECT min(b.request_id) FROM {ASKED_KEYS} b WHERE b.key = a.key) THEN 'new' ELSE 'attached' END AS how FROM {ASKED_KEYS} a LEFT JOIN f USING (key) LEFT JOIN c USING (key)""")
+def job_enqueued(spark, d):
+    """Requests by address: attached to a job in flight, served from a result, or a new job."""
+    address = ADDRESS.replace("page_id ||", "(page_id % 50) ||").replace("|| page_id END", "|| (page_id % 50) END")
+    asked = _t(spark, d, "pages").selectExpr("page_id AS request_id", f"{address} AS address")
+    key = F.when(F.col("job_id") % 9 == 0, "unknown/unknown").otherwise(F.concat(F.lit("o/"), (F.col("job_id") % 70).cast("string")))
+    jobs = _jobs(spark, d).withColumn("key", key).where("job_id % 5 = 0 or status not in ('queued', 'running')")
+    return J.enqueued(asked, jobs, F.expr("TIMESTAMP_NTZ '2024-01-01'"))
+
+
+@query(f"SELECT i.id, coalesce(r.o_orderkey, x.o_orderkey) AS result_id FROM (SELECT DISTINCT event_id AS id FROM events) i LEFT JOIN orders r ON r.o_orderkey = i.id LEFT JOIN (SELECT job_id, seq // 2 AS result FROM {LATEST} WHERE status = 'done') j ON j.job_id = i.id LEFT JOIN orders x ON x.o_orderkey = j.result")
+def job_resolved(spark, d):
+    """Ids that are of a result or of a job with one."""
+    ids = _t(spark, d, "events").select(F.col("event_id").alias("id")).distinct()
+    jobs = _jobs(spark, d).where("status = 'done'").select("job_id", F.expr("seq div 2").alias("result_id"))
+    return J.resolved(ids, _t(spark, d, "orders").select(F.col("o_orderkey").alias("result_id")), jobs)
+
+
+@query("SELECT p_partkey AS key, CASE WHEN len(p_name) > 12 THEN left(p_name, 11) || '…' ELSE p_name END AS short, replace(replace(replace(p_name || '<&>', '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS xml, p_size || ' ' || CASE WHEN p_size = 1 THEN 'place' ELSE 'places' END AS counted FROM part")
+def label_forms(spark, d):
+    x = F.concat("p_name", F.lit("<&>"))
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("key"), T.shortened(F.col("p_name"), 12).alias("short"), T.xml(x).alias("xml"), T.plural(F.col("p_size"), "place", "places").alias("counted"))
+
+
+@query(f"SELECT category, id, severity, k FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'major' THEN 1 WHEN 'minor' THEN 2 ELSE 3 END, id) AS k FROM (SELECT DISTINCT category, id, severity FROM {FINDINGS} WHERE repo_id = 0 AND id NOT IN (SELECT id FROM {FINDINGS} WHERE repo_id = 30))) WHERE k <= 8")
+def only_in_a_first(spark, d):
+    """Findings of one side only, the most severe first, eight a category."""
+    f = _findings(spark, d)
+    own = f.where("repo_id = 0").select("category", "id", "severity").distinct().join(f.where("repo_id = 30").select("id"), "id", "left_anti")
+    w = Window.partitionBy("category").orderBy(T.severity_rank(F.col("severity")), "id")
+    return own.select("category", "id", "severity", F.row_number().over(w).cast("long").alias("k")).where("k <= 8")
+
+
 @query("SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, count(*) AS n FROM pages GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
 def external_hosts(spark, d):
     host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)

@@ -16,6 +16,12 @@ def language_dim(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "ext string, lang string, analysis string")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, where it has fewer: a table of few row groups would keep the others idle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def classify(files: DataFrame) -> DataFrame:
     """files with ext, is_binary, is_test, is_lock, lang, analysis."""
     ext = files.withColumn("ext", T.extension(F.col("path")))
@@ -67,11 +73,16 @@ def clone_lines(files: DataFrame, text: str = "raw") -> DataFrame:
     return lines(files, text).withColumn("text", T.squeezed(F.col("text"))).where((F.length("text") >= R.CLONE_LEAST) & ~F.col("text").rlike(R.CLONE_SKIP.replace("$", r"\z")))
 
 
-def clone_windows(files: DataFrame, text: str = "raw") -> DataFrame:
-    """(repo_id, path, line, key): every run of seven compared lines, by its last line."""
+def _runs(files: DataFrame, text: str) -> DataFrame:
+    """(repo_id, path, line, key) of the compared lines; key is of the seven lines up to this one, null where there are fewer."""
     w = Window.partitionBy("repo_id", "path").orderBy("line")
     held = clone_lines(files, text).withColumn("run", F.collect_list("text").over(w.rowsBetween(1 - R.CLONE_LINES, 0)))
-    return held.where(F.size("run") == R.CLONE_LINES).select("repo_id", "path", "line", F.md5(F.array_join("run", "\n")).alias("key"))
+    return held.select("repo_id", "path", "line", F.when(F.size("run") == R.CLONE_LINES, F.md5(F.array_join("run", "\n"))).alias("key"))
+
+
+def clone_windows(files: DataFrame, text: str = "raw") -> DataFrame:
+    """(repo_id, path, line, key): every run of seven compared lines, by its last line."""
+    return _runs(files, text).where("key is not null")
 
 
 def clone_groups(files: DataFrame, text: str = "raw") -> DataFrame:
@@ -82,10 +93,10 @@ def clone_groups(files: DataFrame, text: str = "raw") -> DataFrame:
 
 
 def clone_ratio(files: DataFrame, text: str = "raw") -> DataFrame:
-    """(repo_id, eligible, duplicated, ratio); overlapping windows count at full weight."""
-    eligible = clone_lines(files, text).groupBy("repo_id").agg(F.count(F.lit(1)).alias("eligible"))
-    dup = clone_groups(files, text).groupBy("repo_id").agg(F.sum((F.col("n") - 1) * R.CLONE_LINES).alias("duplicated"))
-    out = eligible.join(dup, "repo_id", "left").withColumn("duplicated", F.coalesce("duplicated", F.lit(0)).cast("long"))
+    """(repo_id, eligible, duplicated, ratio); overlapping windows count at full weight. One pass over the lines gives both."""
+    n = _runs(files, text).groupBy("repo_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    again = F.when(F.col("key").isNotNull(), (F.col("n") - 1) * R.CLONE_LINES).otherwise(0)
+    out = n.groupBy("repo_id").agg(F.sum("n").alias("eligible"), F.sum(again).alias("duplicated"))
     return out.withColumn("ratio", F.try_divide("duplicated", "eligible"))
 
 

@@ -162,14 +162,13 @@ def known(p: Parts, meta: DataFrame, now: datetime, fixed: bool = False) -> Data
     each = p.code.where(F.contains("path", F.lit("/"))).groupBy("repo_id", folder.alias("dir")).agg(F.count(F.lit(1)).alias("n"))
     crowded = each.groupBy("repo_id").agg(F.max("n").alias("crowd"), F.sum(F.when(F.col("n") >= 50, 1).otherwise(0)).alias("crowds"))
     script = p.code.where(F.col("analysis").isin("js", "python"))
-    eligible = O.clone_lines(script, "code").groupBy("repo_id").agg(F.count(F.lit(1)).alias("eligible"))
-    twice = p.clones.groupBy("repo_id").agg(F.sum((F.col("n") - 1) * R.CLONE_LINES).alias("twice"), F.count(F.lit(1)).alias("blocks"))
+    twice = O.clone_ratio(script, "code").select("repo_id", F.col("ratio").alias("clones"))
+    blocks = p.clones.groupBy("repo_id").agg(F.count(F.lit(1)).alias("blocks"))
     loops = _loops(p).groupBy("repo_id").agg(F.count_distinct("cycle").alias("cycles"))
     about = meta.select("repo_id", "license", "contributors", "bus_factor", "archived", "pushed_at", "languages")
     out = _file_facts(p.files, fixed)
-    for more in (_code_facts(p.code), f, p.direct, bad, crowded, eligible, twice, loops, A.unresolved(p.links), about):
+    for more in (_code_facts(p.code), f, p.direct, bad, crowded, twice, blocks, loops, A.unresolved(p.links), about):
         out = out.join(more, "repo_id", "left")
-    out = out.withColumn("clones", F.coalesce(F.try_divide("twice", "eligible"), F.lit(0.0)))
     months = (F.lit(now.timestamp()) - F.unix_timestamp("pushed_at")) / (86400 * 30)
     out = out.withColumn("idle_months", months).withColumn("ratio", F.coalesce(F.try_divide("test_loc", "source_loc"), F.lit(0.0)))
     if fixed:
@@ -178,7 +177,7 @@ def known(p: Parts, meta: DataFrame, now: datetime, fixed: bool = False) -> Data
     else:
         out = out.withColumn("documented", F.lit(0).cast("long"))
     zero = ["analysed", "loc", "comments", "test_loc", "source_loc", "test_files", "longest", "very_long", "rather_long", "markers", "credentials", "credential", "functions", "complex", "most_complex", "nesting", "deep", "direct", "vulns", "bad_deps", "crowd", "crowds", "blocks", "cycles", "unresolved", "contributors", "bus_factor", "documented"]
-    return written(out.fillna(0, zero).fillna(0.0, ["mean_complex"]).fillna(False, ["has_js", "archived"]))
+    return written(out.fillna(0, zero).fillna(0.0, ["mean_complex", "clones"]).fillna(False, ["has_js", "archived"]))
 
 
 def _loops(p: Parts) -> DataFrame:
