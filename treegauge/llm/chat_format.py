@@ -12,7 +12,8 @@ of the roles that are learned.
 
 Nulls: a null text or role is empty; a null part or an unknown kind of part is a text part of what
 text it has. Turns go by turn (nulls first), then role and text; repeated rows are turns of their
-own. A null conv_id is a conversation. Extra columns are ignored. An empty table gives an empty result.
+own. A null conv_id is a conversation. A conversation is one string of one task, however long. Extra
+columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def formatted(turns: DataFrame, learned: tuple[str, ...] = ("assistant",), rates
     tokens = lambda p: F.coalesce(p["units"], F.lit(1)) * F.coalesce(F.create_map(*[F.lit(x) for kv in rates.items() for x in kv])[kind(p)], F.lit(0)) if rates else F.lit(0)
     visit = lambda p, i: F.when(F.coalesce(attached(p), F.lit(False)), F.concat(F.lit("<|"), kind(p), F.lit(":"), i.cast("string"), F.lit("|>"))).otherwise(escape(p["text"]))
     parts = F.coalesce("parts", F.array().cast("array<struct<kind:string,text:string,ref:string,units:bigint>>"))
-    t = turns.withColumn("parts", parts).withColumn("role", F.coalesce("role", F.lit("")))
+    t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts"))
     t = t.withColumn("body", F.array_join(F.transform("parts", visit), ""))
     own = F.transform("parts", lambda p, i: F.struct(F.coalesce(attached(p), F.lit(False)).alias("is"), i.alias("place"), kind(p).alias("kind"), p["ref"].alias("ref"), tokens(p).cast("long").alias("tokens")))
     t = t.withColumn("attached", F.filter(own, lambda x: x["is"]))

@@ -6,15 +6,15 @@ for a text, and in pieces of bounded size, so that a worker's memory doesn't fol
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treegauge.scratch import forget
+from treegauge.scratch import written as materialize
 from treegauge.workers import ship
 
 #: Bytes of text a kernel handles at once; a longer text is handled alone.
@@ -32,8 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """For operators with Python workers: small Arrow batches, and this package on every worker's path."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """For operators with Python workers: Arrow batches of so many rows at most, and this package on every worker's path.
+
+    The setting is read when a result is computed, so it stays lowered for the session; a lower one is left alone.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
     ship(spark)
 
 
@@ -41,25 +46,25 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set, as in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get()
-    made = tempfile.mkdtemp(prefix="treegauge-")
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+def kept_names(columns: list[str], added: tuple[str, ...]) -> list[str]:
+    """Names for the columns of an input beside added ones: where they clash, those of the input get a _ behind."""
+    taken, out = {x.lower() for x in added}, []
+    for c in columns:
+        while c.lower() in taken:
+            c += "_"
+        taken.add(c.lower())
+        out.append(c)
+    return out
+
+
+def row_of(docs: DataFrame) -> Column:
+    """A whole row as one struct column, so that no column of it meets an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and returns the written table: its lineage ends there."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/treegauge/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def unpacked(docs: DataFrame, added: tuple[str, ...]) -> list[Column]:
+    """The columns of row_of(docs) beside added ones; see kept_names."""
+    return [F.col("row_")[c].alias(name) for c, name in zip(docs.columns, kept_names(docs.columns, added), strict=True)]
 
 
 # ---- byte kernels -------------------------------------------------------------------------
@@ -99,13 +104,15 @@ _POWERS: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """ODD**j and its inverse modulo 2**64 for j < n at least."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, PIECE + 64)
+        size = max(n, PIECE + 64)  # those of a longer text aren't kept
         inverse = U64(pow(int(ODD), -1, 1 << 64))
         both = []
         for base in (ODD, inverse):
             p = np.full(size, base, U64)
             p[0] = 1
             both.append(np.multiply.accumulate(p))
+        if size > PIECE + 64:
+            return both[0], both[1]
         _POWERS[:] = both
     return _POWERS[0], _POWERS[1]
 
@@ -185,19 +192,19 @@ def unpack(b: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-def by_id(ids: np.ndarray, values: np.ndarray, names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
-    """A row for each distinct id with the bytes of its values, in their order."""
-    order = np.argsort(ids, kind="stable")
-    ids, values = ids[order], np.ascontiguousarray(values[order])
-    heads = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1]))) if len(ids) else np.zeros(0, np.int64)
+def by_row(ids: np.ndarray, docs: np.ndarray, values: np.ndarray, names: tuple[str, str, str]) -> Iterator[pa.RecordBatch]:
+    """A row for each distinct (id, doc) with the bytes of its values, in their order."""
+    order = np.lexsort((docs, ids))
+    ids, docs, values = ids[order], docs[order], np.ascontiguousarray(values[order])
+    heads = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (docs[1:] != docs[:-1])))) if len(ids) else np.zeros(0, np.int64)
     ends = np.append(heads[1:], len(ids))
     width = values.itemsize * (values.shape[1] if values.ndim > 1 else 1)
     for lo in range(0, len(heads), BATCH_ROWS):
         a, b = heads[lo : lo + BATCH_ROWS], ends[lo : lo + BATCH_ROWS]
         off = np.append(a, b[-1:]).astype(np.int64) - a[0]
         data = pa.py_buffer(values[a[0] : b[-1]].tobytes())
-        blobs = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer((off * width).astype(np.int32).tobytes()), data])
-        yield pa.RecordBatch.from_arrays([pa.array(ids[a]), blobs], names=list(names))
+        blobs = pa.Array.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer((off * width).tobytes()), data]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(docs[a]), blobs], names=list(names))
 
 
 # ---- components ---------------------------------------------------------------------------
@@ -208,11 +215,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Labels spread along links and then jump to their own label's label, so the rounds follow the
     logarithm of the longest path. Each round's labels are written to the shared folder; the loop
-    reads back one count a round, never links or labels.
+    reads back one count a round, never links or labels, and the labels of the round before are deleted.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
     both = materialize(both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).select("a", "b"))
-    label = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
+    label = held = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
     for turn in range(rounds):
         near = both.join(label.select(F.col("node").alias("b"), "component"), "b").select(F.col("a").alias("node"), "component", F.lit(None).cast("long").alias("was"))
         every = near.union(label.select("node", "component", F.col("component").alias("was")))
@@ -221,7 +228,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
             hop = nxt.select(F.col("node").alias("component"), F.col("component").alias("far"))
             nxt = nxt.join(hop, "component", "left").select("node", F.least("component", F.coalesce("far", "component")).alias("component"), "was")
         nxt = materialize(nxt.select("node", "component", "was"))
+        forget(held)
+        held = nxt
         label, changed = nxt.select("node", "component"), nxt.where("was <> component").limit(1).count()
         if not changed:
+            forget(both)
             return label
     raise RuntimeError("components did not settle")

@@ -5,12 +5,14 @@ consecutive words of a benchmark item, or all of an item that has fewer, but som
 is read once: its windows of each length that the benchmark has are hashed and looked up in the
 benchmark's windows; a hit is verified by its words. A word inside a verified window is hit.
 
-The windows are broadcast while they take at most `broadcast_bytes`, which is measured first, else
-joined by their hash.
+The windows are broadcast while they take at most `broadcast_bytes`, which is measured first. Beyond
+it the documents' words are written once, only (row, place, hash) is shuffled to the windows, and
+what meets comes back to its document to be verified.
 
 Nulls: a null text has no words. A null item_id hits, but isn't counted or listed. Repeated rows and
 null doc_ids come out once a row. Documents without words come out with zeros. Extra columns of
-either table are ignored. With no benchmark nothing is contaminated.
+either table are ignored, or kept by decontaminate(), whatever their names. A very long text is one
+task's work, at some hundred bytes of memory a word. With no benchmark nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, row_of, unpacked
+
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A word in any case with what stands before the first and after each.
 WORD_AND_GAP = r"(?:^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+)?[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
@@ -52,9 +56,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, broadca
     windows = benchmark_windows(benchmark, size)
     fact = windows.agg(F.sum(F.octet_length("gram") + 32 + 8 * F.size("items")).alias("bytes"), F.sort_array(F.collect_set("len")).alias("lens")).first()
     lens = fact["lens"] or [size]
-    if (fact["bytes"] or 0) <= broadcast_bytes:
-        windows = F.broadcast(windows)
-
+    small = (fact["bytes"] or 0) <= broadcast_bytes
     d = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(F.col("doc_id"), *keep).alias("own"), words_of(F.col("text")).alias("w")).withColumn("n", F.size("w"))
     count = {k: F.greatest(F.col("n") - (k - 1), F.lit(0)) for k in lens}
 
@@ -62,9 +64,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, broadca
         every = F.transform(F.sequence(F.lit(1), count[k]), lambda i: F.xxhash64(F.slice("w", i, F.lit(k))))
         return F.when(count[k] > 0, every).otherwise(F.array().cast("array<bigint>"))
 
+    if not small:
+        # the ids of rows must hold for the two joins that follow
+        d = materialize(d)
     # a lambda in the generator itself would keep it, and the join after it, out of code generation
-    d = d.withColumn("hashes", F.concat(*map(hashes_of, lens)))
-    each = d.select("row", "own", "n", "w", F.posexplode_outer("hashes").alias("g", "h"))
+    words, d = d, d.withColumn("hashes", F.concat(*map(hashes_of, lens)))
+    held = ["row", "own", "n", "w"] if small else ["row", "n"]
+    each = d.select(*held, (F.posexplode_outer if small else F.posexplode)("hashes").alias("g", "h"))
     # of which length the g-th hash is, and where it starts
     edges, total = [], F.lit(0)
     for k in lens:
@@ -75,8 +81,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, broadca
         length, start = F.when(F.col("g") >= edge, k).otherwise(length), F.when(F.col("g") >= edge, F.col("g") - edge).otherwise(start)
     each = each.withColumn("len_", length).withColumn("start", start)
     hit = F.col("gram").isNotNull() & (window_text(F.col("w"), F.col("start") + 1, F.col("len_")) == F.col("gram"))
-    met = each.join(windows.withColumnRenamed("h", "bh"), (F.col("h") == F.col("bh")) & (F.col("len_") == F.col("len")), "left").withColumn("hit", hit)
-    met = met.where(F.col("hit") | F.coalesce(F.col("g") == 0, F.lit(True))).select("row", "own", "n", F.when(F.col("hit"), F.struct(F.col("start").alias("s"), (F.col("start") + F.col("len_")).alias("e"))).alias("span"), F.when(F.col("hit"), F.col("items")).alias("items"))
+    windows = windows.withColumnRenamed("h", "bh")
+    same = (F.col("h") == F.col("bh")) & (F.col("len_") == F.col("len"))
+    if small:
+        met = each.join(F.broadcast(windows), same, "left")
+    else:
+        found = each.join(windows, same).select("row", "g", "start", "len_", "gram", "items")
+        met = words.join(found, "row", "left").withColumn("g", F.coalesce("g", F.lit(0)))
+    met = met.withColumn("hit", hit)
+    met = (met.where(F.col("hit") | F.coalesce(F.col("g") == 0, F.lit(True))) if small else met).select("row", "own", "n", F.when(F.col("hit"), F.struct(F.col("start").alias("s"), (F.col("start") + F.col("len_")).alias("e"))).alias("span"), F.when(F.col("hit"), F.col("items")).alias("items"))
     doc = met.groupBy("row").agg(F.first("own").alias("own"), F.first("n").alias("n"), F.array_sort(F.collect_set("span")).alias("hits"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     # intervals in order of their starts are merged into the last run, or begin a new one
     none = F.array().cast("array<struct<start:int,end:int>>")
@@ -96,13 +109,14 @@ def is_contaminated(n_hit: Column, n_words: Column, share: int = 20) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, how: str = "documents", size: int = 13, share: int = 20) -> DataFrame:
     """docs with all its columns, without contaminated documents, or ("spans") without their hit words."""
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    flagged = contamination(docs, benchmark, size, keep=others)
+    row = docs.select("doc_id", "text", row_of(docs))
+    flagged = contamination(row, benchmark, size, keep=("row_",) if how == "documents" else ("row_", "text"))
     bad = is_contaminated(F.col("n_hit"), F.col("n_words"), share)
     if how == "documents":
-        return flagged.where(~bad).select(*docs.columns)
+        return flagged.where(~bad).select(*unpacked(docs, ()))
     if how != "spans":
         raise ValueError(how)
     parts = F.regexp_extract_all("text", F.lit(WORD_AND_GAP), F.lit(0))
     rest = F.array_join(F.filter(parts, lambda x, i: ~F.exists("spans", lambda s: (i >= s["start"]) & (i < s["end"]))), "")
-    return flagged.withColumn("text", F.when(bad, rest).otherwise(F.col("text"))).select(*docs.columns)
+    kept = F.when(bad, rest).otherwise(F.col("text"))
+    return flagged.select(*[kept.alias(c) if c.lower() == "text" else x for c, x in zip(docs.columns, unpacked(docs, ()), strict=True)])

@@ -7,13 +7,16 @@ bit weighted by its classifier's accuracy on the training rows; the nearest code
 the softmax share of the winner's loss; a text is ambiguous if the runner-up is within `margin`.
 
 Up to 7 languages have the exhaustive code (2 ** (k - 1) - 1 bits), more have seeded random codes
-of 10 * log2(k) bits. The classifiers are fitted on at most `sample` rows, taken by a hash of
-doc_id in equal parts of the languages, and on whole texts: this is the operator's documented
-bound. Prediction reads only the text.
+of 10 * log2(k) bits. The classifiers are fitted on at most `sample` rows, taken by the least hashes
+of doc_id in equal parts of the languages, and on whole texts: this is the operator's documented
+bound. Of more than `sample` languages, the most frequent ones are learned. Prediction reads only
+the text.
 
 Nulls: a null text, or one without a letter, is `und` with score 0. Rows with a null text or lang
 aren't learned from. With one language learned, it is the answer to every text with a letter; with
-none, `und`. Repeated rows, null doc_ids and extra columns pass through.
+none, `und`. Repeated rows, null doc_ids and extra columns pass through; a column with the name of a
+result (lang_pred, score, ambiguous) gets a _ behind. A very long text is one worker's work, at some
+ten bytes of memory a byte.
 """
 
 from __future__ import annotations
@@ -96,20 +99,26 @@ def fit(texts: list[str], langs: list[str], steps: int = 150, rate: float = 40.0
 
 def learn(docs: DataFrame, training: Column, sample: int = 2000) -> Model:
     """Fits on at most sample of the rows of docs (doc_id, text, lang) for which training holds."""
-    rows = docs.where(training & F.col("text").isNotNull() & F.col("lang").isNotNull()).where(F.col("text").rlike(r"\p{L}"))
-    # so many rows of a language at most, by the least hashes of their ids
-    kinds = [r[0] for r in docs.where(training & F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max(1, sample)).collect()]
-    if not kinds:
+    d = docs.select("doc_id", "text", "lang", training.alias("training")).where("training and lang is not null and text is not null").drop("training")
+    counts = {r[0]: r[1] for r in d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max(1, sample)).collect()}
+    if not counts:
         return fit([], [])
-    each = max(1, sample // len(kinds))
-    order = F.xxhash64(F.lit(17), "doc_id")
-    ids = rows.select("lang", order.alias("h")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= each)
-    top = {r["lang"]: r["top"] for r in ids.groupBy("lang").agg(F.max("h").alias("top")).collect()}
-    keep = F.lit(False)
-    for lang, h in top.items():
-        keep = keep | ((F.col("lang") == lang) & (order <= h))
-    got = rows.where(keep).select("lang", "text", order.alias("h")).orderBy("lang", "h", "text").limit(sample).collect()
-    return fit([r["text"] for r in got], [r["lang"] for r in got])
+    each, order = max(1, sample // len(counts)), F.xxhash64(F.lit(17), "doc_id")
+    # a row is a candidate if its hash is below its language's part of all hashes: so few that their texts can be looked at
+    part, want, got = {k: min(1.0, (2 * each + 30) / n) for k, n in counts.items()}, list(counts), {}
+    while want:
+        low = F.lit(False)
+        for lang in want:
+            below = -(1 << 63) + int(part[lang] * 2**64)
+            low = low | ((F.col("lang") == lang) & ((order < F.lit(below)) if part[lang] < 1 else F.lit(True)))
+        first = Window.partitionBy("lang").orderBy("h", "text")
+        seen = d.where(low).where(F.col("text").rlike(r"\p{L}")).select("lang", "text", order.alias("h")).withColumn("k", F.row_number().over(first)).where(F.col("k") <= each)
+        for r in seen.orderBy("lang", "k").collect():
+            got.setdefault(r["lang"], {})[r["k"]] = r["text"]
+        want = [k for k in want if len(got.get(k, ())) < each and part[k] < 1]
+        part.update({k: min(1.0, 4 * part[k]) for k in want})
+    rows = [(text, lang) for lang in sorted(got) for _, text in sorted(got[lang].items())]
+    return fit([x for x, _ in rows], [x for _, x in rows])
 
 
 def identify(docs: DataFrame, model: Model, margin: float = 0.15) -> DataFrame:
@@ -117,8 +126,9 @@ def identify(docs: DataFrame, model: Model, margin: float = 0.15) -> DataFrame:
     spark = docs.sparkSession
     C.prepare(spark)
     held = spark.sparkContext.broadcast((model.langs, model.codes, model.weights, model.trust))
+    at, added = docs.columns.index("text"), ("lang_pred", "score", "ambiguous")
+    docs = docs.toDF(*C.kept_names(docs.columns, added))
     names = docs.columns
-    at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*held.value)
@@ -135,7 +145,7 @@ def identify(docs: DataFrame, model: Model, margin: float = 0.15) -> DataFrame:
                     order = np.sort(share, 1)
                     for i, best, top, second in zip(known, loss.argmin(1), order[:, -1], order[:, -2] if len(m.langs) > 1 else np.zeros(len(known)), strict=True):
                         lang[i], score[i], ambiguous[i] = m.langs[best], float(top), bool(top - second < margin)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang), pa.array(score), pa.array(ambiguous)], names=[*names, "lang_pred", "score", "ambiguous"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang), pa.array(score), pa.array(ambiguous)], names=[*names, *added])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{kinds}, lang_pred string, score double, ambiguous boolean")

@@ -21,7 +21,8 @@ so a pair with more differing bits than the threshold allows is no link, and non
 
 Nulls: a null text has no words. A null doc_id is never linked, its component_id is null and it is
 kept. Without words a document links with nothing. Repeated rows (same doc_id) come out once each,
-with the same component. Extra columns are ignored. An empty table gives an empty result.
+with the same component. A very long text is one worker's work, at some hundred bytes of memory a byte.
+Extra columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations

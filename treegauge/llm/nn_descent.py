@@ -9,7 +9,7 @@ stands for it. Then
    meets at a neighbour is compared: neighbours of neighbours. Long meetings are cut into blocks.
    Lists keep the best `k` and the first `k` by id at the threshold or above it.
 3. audit() measures the recall of links against brute force for every vector whose id is divisible
-   by 20, in blocks. While it is below `recall`, k doubles and the descent goes on, three times.
+   by 20, in blocks, and logs it. While it is below `recall`, k doubles and the descent goes on, three times.
 4. Saturated vectors, with `k` links or more, may have more links than a list holds. They are
    compared with all rows of their label, dealt as tiles of `tile` rows by `tile` columns: counts
    of both ends and pairs of components that a link joins leave a tile. If the audit never
@@ -18,11 +18,12 @@ stands for it. Then
 Cosines are taken in double precision. Nulls: a null label, and a vector that is null, zero, or has
 null or non-finite components or another length than its block's, links with nothing. A null vec_id
 is never linked; its component_id is null and it is kept. Repeated rows come out once each; rows of
-one vec_id are one node. Extra columns are ignored. An empty table gives an empty result.
+one vec_id are one node. Extra columns are ignored, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -220,6 +221,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, k: int = 16, rounds: i
     for turn in range(4):
         found, there = audit(v, lists, least, k, tile)
         passed = found >= recall * there
+        logging.getLogger(__name__).info("k %d: %d of %d links of the audited vectors found", k, found, there)
         if passed or turn == 3:
             break
         k *= 2

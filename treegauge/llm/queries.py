@@ -79,10 +79,14 @@ def op7_minhash_tensor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of documents that repeated runs cover: of three sentences, of over 50 words, or whole shorter documents."""
+    """Sentences of documents that repeated runs cover: of three sentences, of one or two with over 15 words, or whole shorter documents.
+
+    Passages of over 50 words that repeat inside other text keep such runs, whatever their first and
+    last sentence run into; lines of a few words that many documents share stay.
+    """
     from .span_dedup import repeated_sentences
 
-    d = repeated_sentences(C.table(spark, sf_dir, "documents"), run=3, words=50, short=True)
+    d = repeated_sentences(C.table(spark, sf_dir, "documents"), run=3, words=15, short=True)
     return d.select("doc_id", "n_sentences", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

@@ -1,16 +1,20 @@
 """Range partitioning of documents into shards of near equal bytes by sampled splitters.
 
-A row's key has 40 bits of a hash of its text and 24 of its doc_id, so equal texts are neighbours.
-Splitters are keys sampled with probability in proportion to size; the exact sizes of the ranges
-between them give the ranges in which the shards' quantiles fall. Those are sampled again, and so
-on; once a range is one group of equal texts and still overfull, it is subdivided by doc_id. So a
-small group stays in one shard, and one that holds a third of all bytes is spread.
+A row's key has 40 bits of a hash of its text and 24 of its doc_id, so equal texts are neighbours: a
+group. Splitters are keys sampled with probability in proportion to size; the exact sizes of the
+ranges between them give the ranges in which the shards' quantiles fall. Those are sampled again,
+and so on, until a quantile is met within `slack` of a shard, or lies inside one group. A group is
+overfull if it alone is larger than `whole` of a shard: then it is subdivided by doc_id. Any other
+group stays in one shard, whose size is off by half that group at most.
 
 Each round brings at most about 2 * `samples` keys and sizes to the driver, whatever the input.
-Slots are counted within the ranges, whose counts are then added up: no task numbers a whole shard.
+Slots are counted within ranges, also inside large groups, whose counts are then added up: no task
+numbers a whole shard.
 
 Nulls: a null text has size 1; a null doc_id hashes like any value. Equal rows are neighbours and
-come out once each. Extra columns stay. Shards may be empty if there are few rows or groups.
+come out once each. Extra columns stay; one with the name of a result (size, text_crc32, shard, slot)
+gets a _ behind. A very long text is one row of one task. Shards may be empty if there are few rows
+or groups.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, unpacked
 
 LOW = (1 << 24) - 1
 
@@ -55,23 +59,19 @@ def _sampled(light: DataFrame, total: int, samples: int, turn: int) -> list[int]
     return [r[0] for r in light.where(drawn).select("key").distinct().collect()]
 
 
-def splitters(light: DataFrame, shards: int, samples: int = 1024, slack: float = 0.001) -> tuple[list[int], list[int]]:
-    """For light (key, size): the shards' lowest keys from the second on, and all bounds that were drawn.
-
-    A quantile is met within slack of a shard's size, or to a single key.
-    """
+def splitters(light: DataFrame, shards: int, samples: int = 1024, slack: float = 0.001, whole: float = 0.01) -> tuple[list[int], list[int]]:
+    """For light (key, size): the shards' lowest keys from the second on, and all bounds that were drawn."""
     total = light.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    if not total:
+        return [], []
     aims = [total * i / shards for i in range(1, shards)]
-    inside, inside_size, bounds, cut = light, total, set(), []
-    for turn in range(8):
-        fresh = _sampled(inside, inside_size, samples, turn)
-        # groups stay whole in the first rounds; after them a range is one group, or few rows
-        fresh = {k & ~LOW for k in fresh} if turn < 3 else set(fresh)
-        bounds |= fresh
+    group = F.col("key").bitwiseAND(F.lit(~LOW))
+    inside, inside_size, bounds, split = light, total, set(), set()
+    for turn in range(60):
+        # bounds are the first keys of groups, but inside a group that is to be split
+        bounds |= {k if k & ~LOW in split else k & ~LOW for k in _sampled(inside, inside_size, samples, turn)}
         order = sorted(bounds)
         sizes = {r[0]: r[1] for r in light.groupBy(place(F.col("key"), order).alias("p")).agg(F.sum("size")).collect()}
-        if not sizes:
-            break
         edges, run = [], 0  # edges[i]: the size below order[i]
         for i in range(len(order)):
             run += sizes.get(i, 0)
@@ -80,28 +80,41 @@ def splitters(light: DataFrame, shards: int, samples: int = 1024, slack: float =
         for aim in aims:
             i = bisect_left(edges, aim)
             near = min((j for j in (i - 1, i) if 0 <= j < len(order)), key=lambda j: abs(edges[j] - aim), default=None)
-            if near is not None:
-                cut.append(order[near])
+            cut.append(None if near is None else order[near])
             if near is None or abs(edges[near] - aim) > slack * total / shards:
                 wide.add(i)
-        if not wide or turn == 7:
-            break
-        inside = light.where(place(F.col("key"), order).isin(*wide))
+        # a range of one key, or of one group that isn't overfull, can't be cut
+        lows, highs = (lambda i: order[i - 1] if i else -(1 << 63)), (lambda i: order[i] if i < len(order) else 1 << 63)
+        wide = {i for i in wide if highs(i) - lows(i) > (1 if lows(i) & ~LOW in split else LOW + 1)}
+        if not wide:
+            return sorted({c for c in cut if c is not None}), order
+        inside = light.withColumn("p", place(F.col("key"), order)).where(F.col("p").isin(*wide))
         inside_size = sum(sizes.get(i, 0) for i in wide) or 1
-    return sorted(set(cut)) if total else [], sorted(bounds)
+        if turn >= 2:
+            # the largest group of each range that is left gets bounds of its own, and is split if overfull
+            top = inside.groupBy("p", group.alias("g")).agg(F.sum("size").alias("s"), F.min("key").alias("a"), F.max("key").alias("b"))
+            for r in top.groupBy("p").agg(F.max(F.struct("s", "g", "a", "b")).alias("x")).select("x.*").collect():
+                bounds |= {r["g"], min(r["g"] + LOW + 1, (1 << 63) - 1)}
+                if r["a"] == r["b"]:  # one key
+                    bounds |= {r["a"], min(r["b"] + 1, (1 << 63) - 1)}
+                if r["s"] > whole * total / shards:
+                    split.add(r["g"])
+    raise RuntimeError("splitters did not settle")
 
 
 def sharded(docs: DataFrame, shards: int = 8, keep: tuple[str, ...] | None = None, samples: int = 1024) -> DataFrame:
     """keep (default: all columns) of each row with size, text_crc32, shard from 0, and slot, gapless from 0 in its shard."""
-    keep = tuple(docs.columns) if keep is None else keep
-    keyed = docs.select(F.struct(*keep).alias("own"), F.col("doc_id"), size_of(F.col("text")).alias("size"), crc_of(F.col("text")).alias("text_crc32"), key_of(F.col("doc_id"), F.col("text")).alias("key"))
+    kept = docs if keep is None else docs.select(*keep)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row_"), F.col("doc_id"), size_of(F.col("text")).alias("size"), crc_of(F.col("text")).alias("text_crc32"), key_of(F.col("doc_id"), F.col("text")).alias("key"))
     light = materialize(keyed.select("key", "size"))
     cuts, bounds = splitters(light, shards, samples)
-    bounds = sorted({*bounds, *cuts})
+    # slots are counted in finer ranges, which large groups share too
+    finer = _sampled(light, light.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], samples, -1)
+    bounds = sorted({*bounds, *cuts, *finer})
     spot = lambda df: df.withColumn("range", place(F.col("key"), bounds)).withColumn("shard", place(F.col("key"), cuts))
     counts = spot(light).groupBy("shard", "range").agg(F.count(F.lit(1)).alias("n"))
     base = counts.select("shard", "range", (F.sum("n").over(Window.partitionBy("shard").orderBy("range")) - F.col("n")).alias("base"))
     # a row for each range at most: as many as there are bounds
     out = spot(keyed).withColumn("n", F.row_number().over(Window.partitionBy("shard", "range").orderBy("key", "doc_id", "text_crc32", "size")))
     out = out.join(F.broadcast(base), ["shard", "range"])
-    return out.select("own.*", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("base") + F.col("n") - 1).cast("long").alias("slot"))
+    return out.select(*unpacked(kept, ("size", "text_crc32", "shard", "slot")), "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("base") + F.col("n") - 1).cast("long").alias("slot"))

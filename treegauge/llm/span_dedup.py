@@ -11,9 +11,15 @@ Each batch sends one holder of a run, its first, to the task of the run's hash;
 are known at once not to be first. So a run that a third of the corpus holds reaches its task once
 a batch.
 
-Nulls: a null text has no sentences. A null doc_id counts as larger than all others. Without
-`words` and `short`, documents of fewer than `run` sentences lose nothing. Repeated rows come out once each, alike. Extra columns are
-ignored. An empty table gives an empty result.
+What stays of a repeated passage: a first or last sentence that runs on into the text around it, and,
+with `words`, runs of fewer than `run` sentences of `words` words or fewer. A stretch without a stop
+is one sentence, however long.
+
+A row is known by its doc_id and a hash of both its columns. Nulls: a null text has no sentences. A
+null doc_id counts as larger than all others. Without `words` and `short`, documents of fewer than
+`run` sentences lose nothing. Repeated rows come out once each, alike. A very long text is one
+worker's work, at some hundred bytes of memory a byte. Extra columns are ignored, whatever their
+names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -94,7 +100,7 @@ def repeated_sentences(docs: DataFrame, run: int = 3, words: int | None = None,
         a, b = order[1:], order[:-1]
         head[1:] = (h1[a] != h1[b]) | (h2[a] != h2[b])
         lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
-        other = ~head & ((r[order] != r[lead]) | (s[order] != s[lead]))
+        other = ~head & ((r[order] != r[lead]) | (d[order] != d[lead]) | (s[order] != s[lead]))
         return order[head], order[other]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +125,7 @@ def repeated_sentences(docs: DataFrame, run: int = 3, words: int | None = None,
             if len(other):
                 names.append(int(rid[0] % width))
                 kinds.append(1)
-                blobs.append(C.pack(r=r[other], s=s[other].astype(np.int32)))
+                blobs.append(C.pack(r=r[other], d=d[other], s=s[other].astype(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "kind", "blob"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,17 +133,17 @@ def repeated_sentences(docs: DataFrame, run: int = 3, words: int | None = None,
         for batch in batches:
             for kind, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if kind:
-                    known.append(C.unpack(b, np.int64, np.int32))
+                    known.append(C.unpack(b, np.int64, np.int64, np.int32))
                 else:
                     got.append(C.unpack(b, np.int64, np.int64, np.int32, U64, U64))
         if got:
             d, r, s, h1, h2 = (np.concatenate([x[k] for x in got]) for k in range(5))
             other = firsts(d, r, s, h1, h2)[1]
-            known.append([r[other], s[other]])
+            known.append([r[other], d[other], s[other]])
         if not known:
             return
-        r, s = (np.concatenate([x[k] for x in known]) for k in range(2))
-        yield from C.by_id(r, s.astype(np.int32), ("rid", "marks"))
+        r, d, s = (np.concatenate([x[k] for x in known]) for k in range(3))
+        yield from C.by_row(r, d, s.astype(np.int32), ("rid", "did", "marks"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,6 +170,6 @@ def repeated_sentences(docs: DataFrame, run: int = 3, words: int | None = None,
                     kept.append(text.decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(removed, pa.list_(pa.int32())), pa.array(kept, pa.string())], names=["doc_id", "n_sentences", "removed", "kept_text"])
 
-    found = rows.select("doc_id", "rid", "text").mapInArrow(send, "part int, kind int, blob binary").repartitionById(width, "part").mapInArrow(settle, "rid long, marks binary")
-    marks = found.groupBy("rid").agg(F.collect_list("marks").alias("marks"))
-    return rows.join(marks, "rid", "left").select("doc_id", "text", "marks").mapInArrow(cut, "doc_id long, n_sentences long, removed array<int>, kept_text string")
+    found = rows.select("doc_id", "rid", "text").mapInArrow(send, "part int, kind int, blob binary").repartitionById(width, "part").mapInArrow(settle, "rid long, did long, marks binary")
+    marks = found.groupBy("rid", "did").agg(F.collect_list("marks").alias("marks"))
+    return rows.withColumn("did", F.coalesce("doc_id", F.lit(NO_ID))).join(marks, ["rid", "did"], "left").select("doc_id", "text", "marks").mapInArrow(cut, "doc_id long, n_sentences long, removed array<int>, kept_text string")

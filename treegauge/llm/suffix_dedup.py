@@ -5,7 +5,8 @@ hash of the 24-byte strings in it. So the texts are cut into runs of consecutive
 minimizer, and only runs of one minimizer need be sorted together.
 
 1. Equal texts stand as one, the row with the smallest doc_id; the others are covered whole.
-   Every text sends the hashes of its minimizers; those of two texts or more are told back.
+   Every batch sends the hashes of its minimizers, each with one text that holds it; those of two
+   texts or more are told back. Other texts of the batch with one know at once that it is shared.
 2. Every such text sends its runs with such a minimizer. In each batch only the first holder (by
    doc_id) of a run sends it: what other documents of the batch hold is already known to repeat.
    So a passage of a million copies reaches its task once a batch.
@@ -15,9 +16,13 @@ minimizer, and only runs of one minimizer need be sorted together.
    strings. A string whose class has a smaller doc_id is covered.
 4. The covered intervals go back to their documents.
 
+A row is known by its doc_id and a hash of both its columns. A very long text is one worker's work,
+at some hundred bytes of memory a byte; runs of one minimizer are sorted together, however many.
+
 Nulls: a null text is empty. A null doc_id counts as larger than all others, so it can lose bytes
 to them and they lose none to it; equal doc_ids lose none to each other. Repeated rows come out
-once each, alike. Texts shorter than the window are left whole. Extra columns are ignored.
+once each, alike. Texts shorter than the window are left whole. Extra columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -202,31 +207,49 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
                 hs.append(h)
                 rs.append(row + lo)
             h, r = np.concatenate(hs or [np.zeros(0, U64)]), np.concatenate(rs or [np.zeros(0, np.int64)])
-            to = (h % U64(width)).astype(np.int64)
-            order = np.lexsort((h, r, to))
-            h, r, to = h[order], r[order], to[order]
-            if len(h):
-                new = np.concatenate(([True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])))
-                h, r, to = h[new], r[new], to[new]
-            names, blobs = [], []
-            for part in np.split(np.arange(len(h)), np.flatnonzero(np.diff(to)) + 1) if len(h) else ():
-                who, count = np.unique(r[part], return_counts=True)
+            order = np.lexsort((r, h))
+            h, r = h[order], r[order]
+            if not len(h):
+                continue
+            head = np.concatenate(([True], h[1:] != h[:-1]))
+            # others of the batch that hold the hash of the row before: known to be shared
+            more = ~head & np.concatenate(([False], r[1:] != r[:-1]))
+            many = np.add.reduceat(more, np.flatnonzero(head)) > 0
+            lead_h, lead_t = h[head], tid[r[head]]
+            to = (lead_h % U64(width)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            lead_h, lead_t, many, to = lead_h[order], lead_t[order], many[order], to[order]
+            names, kinds, blobs = [], [], []
+            for part in np.split(np.arange(len(to)), np.flatnonzero(np.diff(to)) + 1):
                 names.append(int(to[part[0]]))
-                blobs.append(C.pack(tid=tid[who], n=count.astype(np.int32), h=h[part]))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+                kinds.append(0)
+                blobs.append(C.pack(tid=lead_t[part], many=many[part].astype(np.uint8), h=lead_h[part]))
+            if more.any():
+                names.append(int(tid[0] % width))
+                kinds.append(1)
+                blobs.append(C.pack(tid=tid[r[more]], h=h[more]))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "kind", "blob"])
 
     def find_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [C.unpack(b, np.int64, np.int32, U64) for batch in batches for b in batch.column(1).to_pylist()]
+        got = []
+        for batch in batches:
+            for kind, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if kind:
+                    tid, h = C.unpack(b, np.int64, U64)
+                    yield from C.by_row(tid, tid, h, ("tid", "same", "shared"))
+                else:
+                    got.append(C.unpack(b, np.int64, np.uint8, U64))
         if not got:
             return
-        tid, h = np.concatenate([np.repeat(r, n) for r, n, _ in got]), np.concatenate([x for _, _, x in got])
+        tid, flag, h = (np.concatenate([x[k] for x in got]) for k in range(3))
         del got
         order = np.argsort(h, kind="stable")
-        tid, h = tid[order], h[order]
+        tid, flag, h = tid[order], flag[order], h[order]
         heads = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         sizes = np.diff(np.concatenate((heads, [len(h)])))
-        many = np.repeat(np.minimum.reduceat(tid, heads) != np.maximum.reduceat(tid, heads), sizes)
-        yield from C.by_id(tid[many], h[many], ("tid", "shared"))
+        shared = (np.minimum.reduceat(tid, heads) != np.maximum.reduceat(tid, heads)) | (np.maximum.reduceat(flag, heads) > 0)
+        many = np.repeat(shared, sizes)
+        yield from C.by_row(tid[many], tid[many], h[many], ("tid", "same", "shared"))
 
     def send_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,7 +267,7 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
                     for s, n, m in zip(start[part].tolist(), size[part].tolist(), h[part].tolist(), strict=True):
                         first.setdefault(text[s : s + n], [m]).append((docs_[i], rid[i], s))
             held: dict[int, list] = {}
-            marks: list[tuple[int, int, int]] = []
+            marks: list[tuple[int, int, int, int]] = []
             for content, (m, *at) in first.items():
                 least = min(x[0] for x in at)
                 keep = held.setdefault(m % width, [])
@@ -252,7 +275,7 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
                     if d == least:
                         keep.append((content, m, d, r, s))
                     else:
-                        marks.append((r, s, s + len(content)))
+                        marks.append((r, d, s, s + len(content)))
             names, blobs = [], []
             for to, keep in held.items():
                 names.append(to)
@@ -262,7 +285,7 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
                 x = np.array(marks, np.int64)
                 names.append(int(x[0, 0] % width))
                 kinds.append(1)
-                blobs.append(C.pack(r=x[:, 0], a=x[:, 1].astype(np.int32), b=x[:, 2].astype(np.int32)))
+                blobs.append(C.pack(r=x[:, 0], d=x[:, 1], a=x[:, 2].astype(np.int32), b=x[:, 3].astype(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "kind", "blob"])
 
     def sort_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,8 +293,8 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
         for batch in batches:
             for kind, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if kind:
-                    r, x, y = C.unpack(b, np.int64, np.int32, np.int32)
-                    yield from C.by_id(r, np.stack((x, y), 1), ("rid", "marks"))
+                    r, d, x, y = C.unpack(b, np.int64, np.int64, np.int32, np.int32)
+                    yield from C.by_row(r, d, np.stack((x, y), 1), ("rid", "did", "marks"))
                 else:
                     got.append(C.unpack(b, np.int32, U64, np.int64, np.int64, np.int32, np.uint8))
         if not got:
@@ -294,12 +317,12 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
             least = np.array([d[who[0]] for who in held.values()], np.int64)
             owners = [[i for i in who if d[i] == d[who[0]]] for who in held.values()]
             for c, who in held.items():
-                marks += [(r[i], s[i], s[i] + len(c)) for i in who if d[i] != d[who[0]]]
+                marks += [(r[i], d[i], s[i], s[i] + len(c)) for i in who if d[i] != d[who[0]]]
             for k, a, b in covered(contents, least, window):
-                marks += [(r[i], s[i] + x, s[i] + y) for i in owners[k] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                marks += [(r[i], d[i], s[i] + x, s[i] + y) for i in owners[k] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
             if marks:
                 x = np.array(marks, np.int64)
-                yield from C.by_id(x[:, 0], x[:, 1:].astype(np.int32), ("rid", "marks"))
+                yield from C.by_row(x[:, 0], x[:, 1], x[:, 2:].astype(np.int32), ("rid", "did", "marks"))
             lo = hi
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,15 +346,16 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
                 spans.append([{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(off)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
-    sent = rows.select("tid", "text").mapInArrow(send_minimizers, "part int, blob binary")
-    shared = sent.repartitionById(width, "part").mapInArrow(find_shared, "tid long, shared binary")
-    light = rows.select("rid", "doc_id", "tid", F.xxhash64(F.lit(1), "text").alias("tid2"), F.octet_length("text").alias("n"))
-    first = light.groupBy("tid", "tid2").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "rid")).alias("f")).select("tid", "tid2", F.col("f.doc_id").alias("first_doc"), F.col("f.rid").alias("first"))
+    sent = rows.select("tid", "text").mapInArrow(send_minimizers, "part int, kind int, blob binary")
+    shared = sent.repartitionById(width, "part").mapInArrow(find_shared, "tid long, same long, shared binary").drop("same")
+    id_ = F.coalesce("doc_id", F.lit(NO_ID))
+    light = rows.select("rid", id_.alias("did"), "tid", F.xxhash64(F.lit(1), "text").alias("tid2"), F.octet_length("text").alias("n"))
+    first = light.groupBy("tid", "tid2").agg(F.min(F.struct("did", "rid")).alias("f")).select("tid", "tid2", F.col("f.did").alias("first_doc"), F.col("f.rid").alias("first"))
     # one row of each text sends its runs
-    asked = shared.join(first.select("tid", F.col("first").alias("rid")), "tid").groupBy("rid").agg(F.collect_list("shared").alias("shared"))
-    some = rows.select("doc_id", "rid", "text").join(asked, "rid").select("doc_id", "rid", "text", "shared")
-    parts = some.mapInArrow(send_runs, "part int, kind int, blob binary").repartitionById(width, "part").mapInArrow(sort_runs, "rid long, marks binary")
-    copies = light.join(first, ["tid", "tid2"]).where("rid <> first").where(F.col("n") >= window)
-    whole = copies.where(F.coalesce("doc_id", F.lit(NO_ID)) > F.col("first_doc")).select("rid").distinct().withColumn("marks", F.lit(WHOLE))
-    marks = parts.union(whole).groupBy("rid").agg(F.collect_list("marks").alias("marks"))
-    return rows.select("doc_id", "rid", "text").join(marks, "rid", "left").select("doc_id", "text", "marks").mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    asked = shared.join(first.select("tid", F.col("first").alias("rid"), F.col("first_doc").alias("did")), "tid").groupBy("rid", "did").agg(F.collect_list("shared").alias("shared"))
+    some = rows.select("doc_id", "rid", "text", id_.alias("did")).join(asked, ["rid", "did"]).select("doc_id", "rid", "text", "shared")
+    parts = some.mapInArrow(send_runs, "part int, kind int, blob binary").repartitionById(width, "part").mapInArrow(sort_runs, "rid long, did long, marks binary")
+    copies = light.join(first, ["tid", "tid2"]).where("rid <> first or did <> first_doc").where(F.col("n") >= window)
+    whole = copies.where(F.col("did") > F.col("first_doc")).select("rid", "did").distinct().withColumn("marks", F.lit(WHOLE))
+    marks = parts.union(whole).groupBy("rid", "did").agg(F.collect_list("marks").alias("marks"))
+    return rows.select("doc_id", "rid", "text", id_.alias("did")).join(marks, ["rid", "did"], "left").select("doc_id", "text", "marks").mapInArrow(cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")

@@ -4,7 +4,8 @@ A pre-token is a run of white space's complement, with one word mark before it.
 go into a trie; the forward score of a node is the best score of its path over all segmentations
 into vocabulary pieces, so words share the work of their common prefix. Where a word ends its token
 count is stored, and each later sight of the word is one look-up. The trie is kept by a worker
-between batches and begun anew at `nodes` nodes, so its memory is bounded.
+between batches and begun anew at `nodes` nodes; a word of more than `LONG` characters is scored
+beside it, with the scores of the last few places only. So a worker's memory is bounded.
 
 Scores: pieces score the logarithm of their share under Zipf's law of their rank in the vocabulary,
 since the public vocabularies hold no unigram probabilities. A character that no piece covers costs
@@ -12,7 +13,9 @@ since the public vocabularies hold no unigram probabilities. A character that no
 else as one token. Of equally good segmentations the one whose last piece is longest is taken, at
 every node.
 
-Nulls: a null or blank text has no tokens. Repeated rows, null ids and extra columns pass through.
+Nulls: a null or blank text has no tokens. Repeated rows, null ids and extra columns pass through; a
+column with the name of a result (n_pretokens, n_tokens) gets a _ behind. A very long text is one
+worker's work, at some hundred bytes of memory a word.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from pyspark.sql import DataFrame
 from . import common as C
 
 MARK = "▁"
+LONG = 200
 
 
 def zipf_pieces(model_file: str) -> tuple[dict[str, float], bool]:
@@ -56,6 +60,8 @@ class Trie:
         found = self.counts.get(word)
         if found is not None:
             return found
+        if len(word) > LONG:
+            return self.along(word)
         if self.size >= self.limit:
             self.begin()
         scores, longest = self.scores, self.longest
@@ -80,6 +86,21 @@ class Trie:
         return path[-1][1]
 
 
+    def along(self, word: str) -> int:
+        """What count() gives, without the trie: only the scores from which a piece can still begin are held."""
+        path = [(0.0, 0)]
+        for end, c in enumerate(word, 1):
+            best, tokens = None, 0
+            for back in range(len(path), 0, -1):
+                s = self.scores.get(word[end - back : end])
+                if s is not None and (best is None or path[-back][0] + s > best):
+                    best, tokens = path[-back][0] + s, path[-back][1] + 1
+            if c not in self.scores and (best is None or path[-1][0] + self.unknown > best):
+                best, tokens = path[-1][0] + self.unknown, path[-1][1] + (len(c.encode("utf-8", "replace")) if self.bytes else 1)
+            path = [*path[max(0, len(path) - self.longest + 1) :], (best, tokens)]
+        return path[-1][1]
+
+
 _TRIES: dict = {}
 
 
@@ -88,7 +109,9 @@ def token_counts(docs: DataFrame, model_file: str, nodes: int = 500_000) -> Data
     spark = docs.sparkSession
     C.prepare(spark)
     held = spark.sparkContext.broadcast(zipf_pieces(model_file))
-    names, at, key = docs.columns, docs.columns.index("text"), (model_file, nodes)
+    at, key, added = docs.columns.index("text"), (model_file, nodes), ("n_pretokens", "n_tokens")
+    docs = docs.toDF(*C.kept_names(docs.columns, added))
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _TRIES:
@@ -108,7 +131,7 @@ def token_counts(docs: DataFrame, model_file: str, nodes: int = 500_000) -> Data
                     total += n
                 words.append(len(own))
                 tokens.append(total)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=[*names, "n_pretokens", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, pa.int64()), pa.array(tokens, pa.int64())], names=[*names, *added])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{kinds}, n_pretokens long, n_tokens long")
