@@ -82,6 +82,11 @@ def runs(raw: np.ndarray, off: np.ndarray, window: int) -> tuple[np.ndarray, ...
     return row, first - off[row], last - first + window, h[first]
 
 
+def half(h: np.ndarray) -> np.ndarray:
+    """The upper half of minimizers, the lower of which deals them out: two that are alike in it only cost a run sent in vain."""
+    return (h >> U64(32)).astype(np.uint32)
+
+
 def suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of t in order; those alike for depth bytes stand together in any order."""
     n = len(t)
@@ -217,17 +222,20 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
             many = np.add.reduceat(more, np.flatnonzero(head)) > 0
             lead_h, lead_t = h[head], tid[r[head]]
             to = (lead_h % U64(width)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
+            order = np.lexsort((lead_t, to))
             lead_h, lead_t, many, to = lead_h[order], lead_t[order], many[order], to[order]
             names, kinds, blobs = [], [], []
             for part in np.split(np.arange(len(to)), np.flatnonzero(np.diff(to)) + 1):
+                who, count = np.unique(lead_t[part], return_counts=True)
                 names.append(int(to[part[0]]))
                 kinds.append(0)
-                blobs.append(C.pack(tid=lead_t[part], many=many[part].astype(np.uint8), h=lead_h[part]))
+                blobs.append(C.pack(tid=who, n=count.astype(np.int32), many=np.packbits(many[part]), h=half(lead_h[part])))
             if more.any():
+                order = np.argsort(tid[r[more]], kind="stable")
+                who, count = np.unique(tid[r[more]], return_counts=True)
                 names.append(int(tid[0] % width))
                 kinds.append(1)
-                blobs.append(C.pack(tid=tid[r[more]], h=h[more]))
+                blobs.append(C.pack(tid=who, n=count.astype(np.int32), h=half(h[more])[order]))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "kind", "blob"])
 
     def find_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,10 +243,12 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
         for batch in batches:
             for kind, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if kind:
-                    tid, h = C.unpack(b, np.int64, U64)
+                    who, n, h = C.unpack(b, np.int64, np.int32, np.uint32)
+                    tid = np.repeat(who, n)
                     yield from C.by_row(tid, tid, h, ("tid", "same", "shared"))
                 else:
-                    got.append(C.unpack(b, np.int64, np.uint8, U64))
+                    who, n, many, h = C.unpack(b, np.int64, np.int32, np.uint8, np.uint32)
+                    got.append((np.repeat(who, n), np.unpackbits(many)[: len(h)], h))
         if not got:
             return
         tid, flag, h = (np.concatenate([x[k] for x in got]) for k in range(3))
@@ -261,8 +271,8 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
                 base = off[lo]
                 row, start, size, h = runs(raw[base : off[hi]], off[lo : hi + 1] - base, window)
                 for i, part in zip(range(lo, hi), np.split(np.arange(len(row)), np.searchsorted(row, np.arange(1, hi - lo))), strict=True):
-                    own = np.frombuffer(b"".join(shared[i]), U64)
-                    part = part[np.isin(h[part], own)]
+                    own = np.frombuffer(b"".join(shared[i]), np.uint32)
+                    part = part[np.isin(half(h[part]), own)]
                     text = raw[off[i] : off[i + 1]].tobytes()
                     for s, n, m in zip(start[part].tolist(), size[part].tolist(), h[part].tolist(), strict=True):
                         first.setdefault(text[s : s + n], [m]).append((docs_[i], rid[i], s))
