@@ -489,7 +489,7 @@ def job_saved(spark, d):
     return J.saved(J.latest(e.where("seq % 2 = 0")), e.where("seq % 2 = 1")).select("job_id", "seq", "status")
 
 
-@query(f"SELECT job_id, seq FROM (SELECT *, row_number() OVER (ORDER BY finished, job_id) AS k FROM {LATEST} WHERE status = 'queued') WHERE k <= 40 - least(40, (SELECT count(*) FROM {LATEST} WHERE status = 'running' AND job_id % 97 = 0))")
+@query(f"SELECT job_id, seq FROM (SELECT *, row_number() OVER (ORDER BY finished, job_id) AS nth FROM {LATEST} WHERE status = 'queued') WHERE nth <= 40 - least(40, (SELECT count(*) FROM {LATEST} WHERE status = 'running' AND job_id % 97 = 0))")
 def job_started(spark, d):
     """What the free ones of forty workers take; only some of the running jobs are theirs."""
     j = _jobs(spark, d).withColumn("status", F.when((F.col("status") == "running") & (F.col("job_id") % 97 != 0), "done").otherwise(F.col("status")))
