@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from treegauge.functions import text as T
 from treegauge.operators import files as O
 from treegauge.operators import secrets as S
+from treegauge.scratch import written
 
 from . import scoring
 
@@ -31,8 +32,12 @@ def findings(files: DataFrame) -> DataFrame:
 
 
 def report(files: DataFrame) -> DataFrame:
-    """(repo_id, files, loc, findings, overall, grade), one row a repository."""
-    found = findings(files)
+    """(repo_id, files, loc, findings, overall, grade), one row a repository.
+
+    Files are written once to the shared folder, since every rule reads them, and so are the findings.
+    """
+    files = written(files.select("repo_id", "path", "raw", "lines", "is_test"))
+    found = written(findings(files))
     scores = scoring.category_scores(found.where("category <> 'testing'"))
     tests = files.groupBy("repo_id").agg(F.sum(F.when(F.col("is_test"), F.col("lines")).otherwise(0)).alias("test_loc"), F.sum(F.when(F.col("is_test"), 0).otherwise(F.col("lines"))).alias("source_loc"), F.count(F.lit(1)).alias("files"), F.sum("lines").alias("loc"))
     testing = tests.select("repo_id", F.lit("testing").alias("category"), (100 - scoring.testing_score()).alias("penalty"), scoring.testing_score().alias("score"))
