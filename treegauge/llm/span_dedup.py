@@ -143,7 +143,17 @@ def repeated_sentences(docs: DataFrame, run: int = 3, words: int | None = None,
         if not known:
             return
         r, d, s = (np.concatenate([x[k] for x in known]) for k in range(3))
-        yield from C.by_row(r, d, s.astype(np.int32), ("rid", "did", "marks"))
+        to = r % width
+        order = np.argsort(to, kind="stable")
+        r, d, s, to = r[order], d[order], s[order], to[order]
+        # one row for each task that gathers marks, however many rows they belong to
+        for part in np.split(np.arange(len(to)), np.flatnonzero(np.diff(to)) + 1) if len(to) else ():
+            yield pa.RecordBatch.from_arrays([pa.array([int(to[part[0]])], pa.int32()), pa.array([C.pack(r=r[part], d=d[part], s=s[part].astype(np.int32))], pa.binary())], names=["part", "blob"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [C.unpack(b, np.int64, np.int64, np.int32) for batch in batches for b in batch.column(1).to_pylist()]
+        if got:
+            yield from C.by_row(*(np.concatenate([x[k] for x in got]) for k in range(3)), ("rid", "did", "marks"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +170,7 @@ def repeated_sentences(docs: DataFrame, run: int = 3, words: int | None = None,
                     count.append(len(own))
                     gone = np.zeros(len(own), bool)
                     if marks[i]:
-                        s = np.unique(np.frombuffer(b"".join(marks[i]), np.int32))
+                        s = np.unique(np.frombuffer(marks[i], np.int32))
                         for t in range(run):
                             gone[s[s % run >= t] // run + t] = True
                     removed.append(np.flatnonzero(gone).tolist())
@@ -170,6 +180,6 @@ def repeated_sentences(docs: DataFrame, run: int = 3, words: int | None = None,
                     kept.append(text.decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(removed, pa.list_(pa.int32())), pa.array(kept, pa.string())], names=["doc_id", "n_sentences", "removed", "kept_text"])
 
-    found = rows.select("doc_id", "rid", "text").mapInArrow(send, "part int, kind int, blob binary").repartitionById(width, "part").mapInArrow(settle, "rid long, did long, marks binary")
-    marks = found.groupBy("rid", "did").agg(F.collect_list("marks").alias("marks"))
+    found = rows.select("doc_id", "rid", "text").mapInArrow(send, "part int, kind int, blob binary").repartitionById(width, "part").mapInArrow(settle, "part int, blob binary")
+    marks = found.repartitionById(width, "part").mapInArrow(gather, "rid long, did long, marks binary")
     return rows.withColumn("did", F.coalesce("doc_id", F.lit(NO_ID))).join(marks, ["rid", "did"], "left").select("doc_id", "text", "marks").mapInArrow(cut, "doc_id long, n_sentences long, removed array<int>, kept_text string")
