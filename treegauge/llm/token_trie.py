@@ -44,17 +44,23 @@ def zipf_pieces(model_file: str) -> tuple[dict[str, float], bool]:
 
 
 class Trie:
-    """Children by character; at each node the best score and token count of its path."""
+    """Nodes by number, in flat tables: a child by its parent and character, the best score and token count of a node's path."""
 
     def __init__(self, scores: dict[str, float], bytes_: bool, nodes: int = 500_000) -> None:
         self.scores, self.bytes, self.limit = scores, bytes_, nodes
         self.longest = max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0.0) - 10
+        # every end of a piece, with its score if it is one itself: what is none needn't be made longer
+        self.ends = dict.fromkeys(p[i:] for p in scores for i in range(1, len(p))) | scores
         self.begin()
 
     def begin(self) -> None:
-        self.root: dict = {}
-        self.size, self.counts = 0, {}
+        self.child: dict[int, int] = {}
+        self.best, self.tokens, self.counts = [0.0], [0], {}
+
+    @property
+    def size(self) -> int:
+        return len(self.child)
 
     def count(self, word: str) -> int:
         found = self.counts.get(word)
@@ -64,27 +70,28 @@ class Trie:
             return self.along(word)
         if self.size >= self.limit:
             self.begin()
-        scores, longest = self.scores, self.longest
-        children, path, new = self.root, [(0.0, 0)], 0
+        child, best, tokens, ends = self.child, self.best, self.tokens, self.ends
+        node, path = 0, [0]
         for end, c in enumerate(word, 1):
-            node = children.get(c)
-            if node is None:
-                best, tokens = None, 0
-                for start in range(max(0, end - longest), end):
-                    s = scores.get(word[start:end])
-                    if s is not None and (best is None or path[start][0] + s > best):
-                        best, tokens = path[start][0] + s, path[start][1] + 1
-                if c not in scores and (best is None or path[-1][0] + self.unknown > best):
-                    best, tokens = path[-1][0] + self.unknown, path[-1][1] + (len(c.encode("utf-8", "replace")) if self.bytes else 1)
-                node = ({}, (best, tokens))
-                children[c] = node
-                new += 1
-            path.append(node[1])
-            children = node[0]
-        self.size += new
-        self.counts[word] = path[-1][1]
-        return path[-1][1]
-
+            edge = node << 21 | ord(c)
+            at = child.get(edge)
+            if at is None:
+                top, n = None, 0
+                for start in range(end - 1, -1, -1):
+                    s = ends.get(word[start:end], False)
+                    if s is False:
+                        break
+                    if s is not None and (top is None or best[path[start]] + s >= top):
+                        top, n = best[path[start]] + s, tokens[path[start]] + 1
+                if c not in self.scores and (top is None or best[node] + self.unknown > top):
+                    top, n = best[node] + self.unknown, tokens[node] + (len(c.encode("utf-8", "replace")) if self.bytes else 1)
+                at = child[edge] = len(best)
+                best.append(top)
+                tokens.append(n)
+            path.append(at)
+            node = at
+        self.counts[word] = tokens[node]
+        return tokens[node]
 
     def along(self, word: str) -> int:
         """What count() gives, without the trie: only the scores from which a piece can still begin are held."""
