@@ -111,6 +111,29 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.char_length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokenizers aligned over all documents, scored by how many documents link a pair of their ids."""
+    from .token_align import aligned
+
+    return aligned(C.table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+def op12_line_cuckoo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that at least three of them hold, but for the last holder's."""
+    from .line_index import LineIndex
+
+    docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = LineIndex(spark, least=3, least_chars=20).insert(docs).kept(docs)
+    return d.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants of all words of documents, one in 97 of which has lost a letter."""
+    from .spelling import variants
+
+    return variants(C.table(spark, sf_dir, "documents"), least_chars=5, least=3, ratio=2, slip=97).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of corpus_pipeline.py over documents."""
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
@@ -127,6 +150,9 @@ QUERIES: dict[str, Query] = {
     "op8_span_dedup": op8_span_dedup,
     "op9_sharding": op9_sharding,
     "op10_chat_format": op10_chat_format,
+    "op11_token_align": op11_token_align,
+    "op12_line_cuckoo": op12_line_cuckoo,
+    "op13_spelling": op13_spelling,
     "pipeline": pipeline,
 }
 _WORDS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), [])"
@@ -144,6 +170,14 @@ items AS (SELECT rid, count(*) AS n, string_agg(s, ',' ORDER BY s) AS s FROM (SE
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hits.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
  coalesce(hits.n, 0) > 0 AND 20 * coalesce(hits.n, 0) >= len(w) AS contaminated
 FROM doc LEFT JOIN hits USING (rid) LEFT JOIN items USING (rid)""",
+    "op12_line_cuckoo": r"""
+WITH doc AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, -9223372036854775808) AS did, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+line AS (SELECT rid, doc_id, did, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM doc),
+keyed AS (SELECT *, translate(trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM line),
+shared AS (SELECT k, max(did) AS last FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT did) >= 3),
+judged AS (SELECT keyed.*, coalesce(did <> last, FALSE) AS gone FROM keyed LEFT JOIN shared USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(s, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY rid, doc_id""",
     "op10_chat_format": f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
