@@ -6,7 +6,8 @@ are recorded. A turn reads
 
     <|turn|>ROLE<|body|>BODY<|end|>\n
 
-In texts, roles and references a backslash is doubled and `<|` becomes `<\|`, so no text can hold a
+Neighbouring text parts are joined before they are escaped, so that no control string can form at a seam. In
+texts, roles and references a backslash is doubled and `<|` becomes `<\|`, so no text can hold a
 control string, and unescape() gives every text back. The loss mask is the bodies' character spans
 of the roles that are learned.
 
@@ -50,10 +51,14 @@ def formatted(turns: DataFrame, learned: tuple[str, ...] = ("assistant",), rates
     kind = lambda p: F.coalesce(p["kind"], F.lit("text"))
     attached = lambda p: kind(p).isin(*rates)
     tokens = lambda p: F.coalesce(p["units"], F.lit(1)) * F.coalesce(F.create_map(*[F.lit(x) for kv in rates.items() for x in kv])[kind(p)], F.lit(0)) if rates else F.lit(0)
-    visit = lambda p, i: F.when(F.coalesce(attached(p), F.lit(False)), F.concat(F.lit("<|"), kind(p), F.lit(":"), i.cast("string"), F.lit("|>"))).otherwise(escape(p["text"]))
+    is_attached = lambda p: F.coalesce(attached(p), F.lit(False))
+    mark = lambda p, i: F.concat(F.lit("<|"), kind(p), F.lit(":"), i.cast("string"), F.lit("|>"))
+    # done: what is escaped; open: the text parts since the last placeholder
+    visited = lambda acc, x: F.when(is_attached(x["p"]), F.struct(F.concat(acc["done"], escape(acc["open"]), mark(x["p"], x["i"])).alias("done"), F.lit("").alias("open"))).otherwise(F.struct(acc["done"].alias("done"), F.concat(acc["open"], F.coalesce(x["p"]["text"], F.lit(""))).alias("open")))
     parts = F.coalesce("parts", F.array().cast("array<struct<kind:string,text:string,ref:string,units:bigint>>"))
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts"))
-    t = t.withColumn("body", F.array_join(F.transform("parts", visit), ""))
+    placed = F.transform("parts", lambda p, i: F.struct(p.alias("p"), i.alias("i")))
+    t = t.withColumn("body", F.aggregate(placed, F.struct(F.lit("").alias("done"), F.lit("").alias("open")), visited, lambda acc: F.concat(acc["done"], escape(acc["open"]))))
     own = F.transform("parts", lambda p, i: F.struct(F.coalesce(attached(p), F.lit(False)).alias("is"), i.alias("place"), kind(p).alias("kind"), p["ref"].alias("ref"), tokens(p).cast("long").alias("tokens")))
     t = t.withColumn("attached", F.filter(own, lambda x: x["is"]))
     head = F.concat(F.lit(TURN), escape(F.col("role")), F.lit(BODY))

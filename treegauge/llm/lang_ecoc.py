@@ -12,11 +12,12 @@ of doc_id in equal parts of the languages, and on whole texts: this is the opera
 bound. Of more than `sample` languages, the most frequent ones are learned. Prediction reads only
 the text.
 
-Nulls: a null text, or one without a letter, is `und` with score 0. Rows with a null text or lang
+Nulls: a null text, or one without a letter (Unicode's L categories; number characters such as a half or a
+Roman numeral are none), is `und` with score 0. Of equal losses the first language wins, and the text is ambiguous. Rows with a null text or lang
 aren't learned from. With one language learned, it is the answer to every text with a letter; with
 none, `und`. Repeated rows, null doc_ids and extra columns pass through; a column with the name of a
 result (lang_pred, score, ambiguous) gets a _ behind. A very long text is one worker's work, at some
-ten bytes of memory a byte.
+ten bytes of memory a byte. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +36,6 @@ from pyspark.sql.window import Window
 from . import common as C
 
 DIM = 1 << 13
-LETTER = re.compile(r"[^\W\d_]")
 GAP = re.compile(r"[\W\d_]+")
 
 
@@ -136,7 +136,7 @@ def identify(docs: DataFrame, model: Model, margin: float = 0.15) -> DataFrame:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 texts = part.column(at).to_pylist()
-                known = [i for i, t in enumerate(texts) if t and m.langs and LETTER.search(t)]
+                known = [i for i, t in enumerate(texts) if t and m.langs and any(map(str.isalpha, t))]
                 lang, score, ambiguous = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
                 if known:
                     loss = m.losses(features([texts[i] for i in known]))

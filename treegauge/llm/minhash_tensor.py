@@ -20,8 +20,8 @@ many shingles hash to it. The bits in which two differ are at most the shingles
 so a pair with more differing bits than the threshold allows is no link, and none is lost.
 
 Nulls: a null text has no words. A null doc_id is never linked, its component_id is null and it is
-kept. Without words a document links with nothing. Repeated rows (same doc_id) come out once each,
-with the same component. A very long text is one worker's work, at some hundred bytes of memory a byte.
+kept. Without words a document links with nothing. Equal rows come out once each, with the same
+component; rows of one doc_id with different texts are judged by their own texts, each with its own component. A very long text is one worker's work, at some hundred bytes of memory a byte.
 Extra columns are ignored, whatever their names. An empty table gives an empty result.
 """
 

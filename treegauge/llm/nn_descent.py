@@ -8,8 +8,9 @@ stands for it. Then
 2. Descent, `rounds` times: lists are made mutual, every vector is sent to its neighbours, and what
    meets at a neighbour is compared: neighbours of neighbours. Long meetings are cut into blocks.
    Lists keep the best `k` and the first `k` by id at the threshold or above it.
-3. audit() measures the recall of links against brute force for every vector whose id is divisible
-   by 20, in blocks, and logs it. While it is below `recall`, k doubles and the descent goes on, three times.
+3. audit() measures the recall of links against brute force for a twentieth of the vectors, by a hash of
+   their ids, in blocks, and logs it. While it is below `recall`, k doubles and the descent goes on, three
+   times. Where the hash takes no vector at all, nothing is measured, and the audit doesn't pass.
 4. Saturated vectors, with `k` links or more, may have more links than a list holds. They are
    compared with all rows of their label, dealt as tiles of `tile` rows by `tile` columns: counts
    of both ends and pairs of components that a link joins leave a tile. If the audit never
@@ -140,17 +141,17 @@ def neighbours(v: DataFrame, least: float, k: int, rounds: int, orders: int, blo
     return lists
 
 
-def audit(v: DataFrame, lists: DataFrame, least: float, k: int, tile: int = 512) -> tuple[int, int]:
-    """(links found, links there are) of the vectors whose id is divisible by 20, against all rows of their label in tiles.
+def audit(v: DataFrame, lists: DataFrame, least: float, k: int, tile: int = 512) -> tuple[int, int, int]:
+    """(vectors audited, links found, links there are) of a twentieth of the vectors, by a hash of their ids, against all rows of their label in tiles.
 
     A saturated vector, of k links or more, counts as found: it is compared with its whole label later.
     """
     every = v.select("id", "label", "v", F.lit(1).cast("long").alias("weight"), F.lit(0).cast("long").alias("node"), F.lit(True).alias("full"))
-    there = _tiles(every.where("id % 20 = 0"), every, least, tile).groupBy("id").agg(F.sum("links").alias("links"))
+    audited = every.where(F.pmod(F.xxhash64("id", F.lit(20)), F.lit(20)) == 0)
+    there = _tiles(audited, every, least, tile).groupBy("id").agg(F.sum("links").alias("links"))
     seen = there.withColumnRenamed("links", "there").join(lists.select("id", "links"), "id", "left")
     row = seen.agg(F.coalesce(F.sum(F.when(F.col("links") >= k, F.col("there")).otherwise(F.least("links", "there"))), F.lit(0)), F.coalesce(F.sum("there"), F.lit(0))).first()
-    found, there = row[0], row[1]
-    return found, there
+    return audited.count(), row[0], row[1]
 
 
 def _tiles(rows: DataFrame, columns: DataFrame, least: float, tile: int) -> DataFrame:
@@ -219,10 +220,10 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, k: int = 16, rounds: i
     v = C.materialize(classes.select("id", "label", "v", "weight"))
     lists = neighbours(v, least, k, rounds, orders, block, seed)
     for turn in range(4):
-        found, there = audit(v, lists, least, k, tile)
-        passed = found >= recall * there
-        logging.getLogger(__name__).info("k %d: %d of %d links of the audited vectors found", k, found, there)
-        if passed or turn == 3:
+        audited, found, there = audit(v, lists, least, k, tile)
+        passed = audited > 0 and found >= recall * there
+        logging.getLogger(__name__).info("k %d: %d of %d links of %d audited vectors found", k, found, there, audited)
+        if passed or turn == 3 or not audited:
             break
         k *= 2
         start = lists.select(F.col("id").alias("a"), F.explode("near").alias("x")).select("a", "x.b", "x.c")
