@@ -10,6 +10,8 @@ from treegauge.functions import rules as R
 
 IN_FLIGHT = ("queued", "running")
 WORKERS = 2
+#: (status before, status after) of allowed changes.
+FOLLOWS = {(None, "queued"), (None, "done"), ("queued", "running"), ("queued", "error"), ("running", "done"), ("running", "error")}
 
 
 def latest(updates: DataFrame) -> DataFrame:
@@ -50,7 +52,8 @@ def transitions(updates: DataFrame) -> DataFrame:
     """(job_id, seq, was, status, allowed): changes of status; only queued, running, done or error follow in this order."""
     w = Window.partitionBy("job_id").orderBy("seq")
     x = updates.select("job_id", "seq", F.lag("status").over(w).alias("was"), "status").where(F.col("was").isNull() | (F.col("was") != F.col("status")))
-    fine = (F.col("was").isNull() & F.col("status").isin("queued", "done")) | ((F.col("was") == "queued") & F.col("status").isin("running", "error")) | ((F.col("was") == "running") & F.col("status").isin("done", "error"))
+    pair = lambda c: F.concat_ws(">", F.coalesce(c, F.lit("")), "status")
+    fine = pair(F.col("was")).isin(*sorted(f"{was or ''}>{status}" for was, status in FOLLOWS))
     return x.withColumn("allowed", F.coalesce(fine, F.lit(False)))
 
 
