@@ -326,6 +326,27 @@ def scc_members(spark, d):
     return G.cycles(G.top_edges(_edges(spark, d))).select("id", "cycle")
 
 
+CLOSURE = """WITH RECURSIVE e AS (SELECT DISTINCT repo_id, src, dst FROM {0} WHERE src <> dst), r(repo_id, a, b) AS (SELECT repo_id, src, dst FROM e UNION SELECT r.repo_id, r.a, e.dst FROM r JOIN e ON r.repo_id = e.repo_id AND r.b = e.src)
+SELECT x.repo_id, min(least(x.a, x.b)) AS cycle, x.a AS id FROM r x JOIN r y ON x.repo_id = y.repo_id AND x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY ALL"""
+
+
+@query(CLOSURE.format("(SELECT o_custkey AS repo_id, 's' || l_suppkey AS src, 's' || lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"))
+def scc_by_customer(spark, d):
+    """Cycles of suppliers in each customer's orders: an edge from the supplier of a line to that of the next one."""
+    l = _t(spark, d, "lineitem").join(_t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    name = lambda c: F.concat(F.lit("s"), c.cast("string"))
+    after = F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    return G.strong_components(l.select(F.col("o_custkey").alias("repo_id"), name(F.col("l_suppkey")).alias("src"), name(after).alias("dst")))
+
+
+@query(CLOSURE.format("(SELECT 0 AS repo_id, CASE WHEN l_returnflag = 'R' THEN 's' || l_suppkey ELSE 'c' || o_custkey END AS src, CASE WHEN l_returnflag = 'R' THEN 'c' || o_custkey ELSE 's' || l_suppkey END AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"))
+def scc_customers_suppliers(spark, d):
+    """One graph of all customers and suppliers: what is ordered points to the supplier, what is returned to the customer."""
+    l = _t(spark, d, "lineitem").join(_t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    c, s, back = F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")), F.col("l_returnflag") == "R"
+    return G.strong_components(l.select(F.lit(0).alias("repo_id"), F.when(back, s).otherwise(c).alias("src"), F.when(back, c).otherwise(s).alias("dst")))
+
+
 CATEGORY = "CASE event_id % 4 WHEN 0 THEN 'security' WHEN 1 THEN 'quality' WHEN 2 THEN 'documentation' ELSE 'maintainability' END"
 SEVERITY = "CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'major' WHEN 'signup' THEN 'minor' ELSE 'info' END"
 # ten consecutive events are the findings of one repository, so that their penalties stay apart at every size

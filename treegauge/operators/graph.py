@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from treegauge.scratch import forget, written
 from treegauge.workers import ship
 
 
@@ -76,7 +77,7 @@ def strongly_connected(nodes: list, edges: list[tuple]) -> list[list]:
 
 
 def cycles(edges: DataFrame) -> DataFrame:
-    """(repo_id, cycle, id): members of the cycles of each repository's graph, which has at most 120 edges."""
+    """(repo_id, cycle, id): members of the cycles of each repository's graph, which has at most 120 edges; see strong_components for others."""
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
         found = strongly_connected([], list(zip(pdf["src"], pdf["dst"], strict=True)))
@@ -87,6 +88,67 @@ def cycles(edges: DataFrame) -> DataFrame:
     return edges.groupBy("repo_id").applyInPandas(of, f"repo_id {kind['repo_id']}, cycle {kind['src']}, id {kind['src']}")
 
 
+def _spread(edges: DataFrame) -> DataFrame:
+    """(repo_id, id, label) for every end of edges (repo_id, src, dst): the least rank of all nodes from which id can be reached, its own included.
+
+    A rank is a hash of the node and the node. Labels go along edges, and then to the label of the label, since
+    what reaches a node's label reaches the node. Each round is a written table; only whether anything changed comes back.
+    """
+    rank = lambda c: F.struct(F.xxhash64("repo_id", c).alias("h"), F.col(c).alias("id"))
+    ends = edges.select("repo_id", F.explode(F.array("src", "dst")).alias("id")).distinct()
+    label = written(ends.select("repo_id", "id", rank("id").alias("label")))
+    while True:
+        at = label.select("repo_id", F.col("id").alias("src"), "label")
+        near = edges.join(at, ["repo_id", "src"]).select("repo_id", F.col("dst").alias("id"), "label", F.lit(None).cast("struct<h:bigint,id:string>").alias("was"))
+        text = label.select("repo_id", "id", "label", F.col("label").alias("was"))
+        step = near.unionByName(text).groupBy("repo_id", "id").agg(F.min("label").alias("label"), F.max("was").alias("was"))
+        hop = label.select("repo_id", F.col("id").alias("by"), F.col("label").alias("far"))
+        jumped = step.withColumn("by", F.col("label.id")).join(hop, ["repo_id", "by"], "left")
+        nxt = written(jumped.select("repo_id", "id", F.least("label", "far").alias("label"), "was"))
+        forget(label)
+        label = nxt
+        if nxt.where("label <> was").isEmpty():
+            return label
+
+
+def strong_components(edges: DataFrame, small: int = 10_000) -> DataFrame:
+    """(repo_id, cycle, id): members of the cycles of graphs of any size; cycle is the least member.
+
+    edges (repo_id, src, dst), src and dst strings. Nodes of one cycle have one forward label and, along
+    edges within it, one backward label; a node whose two labels agree is in the cycle of the label's node, or
+    alone in it. What is left goes on, in graphs that fall apart at random ranks, so the outer rounds follow the
+    logarithm of the longest path and the inner ones the widest reach. A graph of at most `small` edges is one
+    task's work at once, with the same result; no larger one is held by a task. Edges with a null end, and
+    from a node to itself, are left out; edges may repeat.
+    """
+    live = written(edges.select("repo_id", "src", "dst").where("src <> dst").distinct())
+    sizes = live.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"))
+    at_once = cycles(live.join(sizes.where(F.col("n") <= small), "repo_id", "left_semi"))
+    live = written(live.join(sizes.where(F.col("n") > small), "repo_id", "left_semi"))
+    found = []
+    while not live.isEmpty():
+        forth = _spread(live)
+        of = lambda t, c, name: t.select("repo_id", F.col("id").alias(c), F.col("label").alias(name))
+        inner = live.join(of(forth, "src", "a"), ["repo_id", "src"]).join(of(forth, "dst", "b"), ["repo_id", "dst"]).where("a = b").select("repo_id", "src", "dst")
+        inner = written(inner)
+        back = _spread(inner.select("repo_id", F.col("dst").alias("src"), F.col("src").alias("dst")))
+        settled = written(forth.join(back.select("repo_id", "id", F.col("label").alias("other")), ["repo_id", "id"]).where("label = other").select("repo_id", "id", F.col("label.id").alias("root")))
+        found.append(settled)
+        rest = inner
+        for end in ("src", "dst"):
+            rest = rest.join(settled.select("repo_id", F.col("id").alias(end)), ["repo_id", end], "left_anti")
+        rest = written(rest.select("repo_id", "src", "dst"))
+        forget(live, inner, forth, back)
+        live = rest
+    if not found:
+        return at_once
+    out = found[0]
+    for x in found[1:]:
+        out = out.union(x)
+    named = out.groupBy("repo_id", "root").agg(F.min("id").alias("cycle"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return at_once.union(out.join(named, ["repo_id", "root"]).select("repo_id", "cycle", "id"))
+
+
 def resolve(refs: DataFrame, files: DataFrame, suffixes: tuple[str, ...]) -> DataFrame:
     """(repo_id, src, target, path): for each reference the first existing candidate target + suffix, without regard to case."""
     tried = refs.select("repo_id", "src", "target", F.posexplode(F.array(*[F.lower(F.concat("target", F.lit(s))) for s in suffixes])).alias("rank", "low"))
