@@ -21,6 +21,7 @@ from treegauge.operators import jobs as J
 from treegauge.operators import imports as I
 from treegauge.operators import lexing as L
 from treegauge.operators import secrets as S
+from treegauge.operators import versions as V
 from treegauge.plans import audit, health, scoring
 from treegauge.sources import landed
 
@@ -347,6 +348,27 @@ def scc_customers_suppliers(spark, d):
     return G.strong_components(l.select(F.lit(0).alias("repo_id"), F.when(back, s).otherwise(c).alias("src"), F.when(back, c).otherwise(s).alias("dst")))
 
 
+# versions 1.<quantity>.<supplier> of parts, some of them pre-releases; ranges from bounds of both kinds
+PINNED = "(SELECT l_suppkey % 40 AS repo_id, 'p' || l_partkey AS name, l_linenumber AS a, CAST(l_quantity AS INTEGER) AS b, l_orderkey % 9 AS pre FROM lineitem)"
+RANGED = "(SELECT 'p' || p_partkey AS name, 'A-' || p_partkey || '-' || k AS vuln_id, p_size % 4 + k AS a, p_size AS b, p_partkey % 7 AS pre, p_size % 4 + 2 * k AS c, p_size // 2 AS e, (p_partkey + k) % 3 AS how FROM part, (SELECT unnest([0, 1, 2]) AS k))"
+NUMBERS = "[{0}, {1}, CASE WHEN {2} < 4 THEN 0 ELSE 1 END, CASE WHEN {2} < 4 THEN {2} ELSE 0 END]"
+
+
+@query(f"""WITH d AS (SELECT DISTINCT repo_id, name, a || '.' || b || CASE WHEN pre < 4 THEN '.0-rc.' || pre ELSE '.0' END AS version, {NUMBERS.format("a", "b", "pre")} AS v FROM {PINNED}),
+r AS (SELECT name, vuln_id, how, CASE WHEN how = 2 THEN [0, 0, 0, 0] ELSE {NUMBERS.format("a", "b", "pre")} END AS lo, [c, e, 1, 0] AS hi FROM {RANGED})
+SELECT repo_id, name, version, count(*) AS n, string_agg(vuln_id, ',' ORDER BY vuln_id) AS vulns FROM d JOIN r USING (name) WHERE v >= lo AND (how = 0 OR how = 1 AND v < hi OR how = 2 AND v <= hi) GROUP BY 1, 2, 3""")
+def vuln_ranges(spark, d):
+    """Advisories of all parts, with open ends, fixed versions and last affected ones, against the versions of all line items."""
+    text = lambda a, b, pre: F.concat_ws(".", a, b, F.when(pre < 4, F.concat(F.lit("0-rc."), pre.cast("string"))).otherwise("0"))
+    deps = _t(spark, d, "lineitem").select((F.col("l_suppkey") % 40).alias("repo_id"), F.lit("npm").alias("ecosystem"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("name"), text(F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("int").cast("string"), F.col("l_orderkey") % 9).alias("version")).distinct()
+    p = _t(spark, d, "part").select("*", F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
+    how, whole = (F.col("p_partkey") + F.col("k")) % 3, lambda c: c.cast("string")
+    from_ = text(whole(F.col("p_size") % 4 + F.col("k")), whole(F.col("p_size")), F.col("p_partkey") % 7)
+    to = F.concat_ws(".", whole(F.col("p_size") % 4 + 2 * F.col("k")), whole(F.floor(F.col("p_size") / 2)))
+    ranges = p.select(F.lit("npm").alias("ecosystem"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("name"), F.concat_ws("-", F.lit("A"), "p_partkey", "k").alias("vuln_id"), F.when(how == 2, "0").otherwise(from_).alias("introduced"), F.when(how == 1, to).alias("fixed"), F.when(how == 2, to).alias("last_affected"))
+    return V.in_ranges(deps, ranges).select("repo_id", "name", "version", F.size("vulns").cast("long").alias("n"), F.array_join("vulns", ",").alias("vulns"))
+
+
 CATEGORY = "CASE event_id % 4 WHEN 0 THEN 'security' WHEN 1 THEN 'quality' WHEN 2 THEN 'documentation' ELSE 'maintainability' END"
 SEVERITY = "CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'major' WHEN 'signup' THEN 'minor' ELSE 'info' END"
 # ten consecutive events are the findings of one repository, so that their penalties stay apart at every size

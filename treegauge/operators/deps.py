@@ -87,7 +87,7 @@ def pinned(manifests: DataFrame, fixed: bool = False) -> DataFrame:
     return out.where((F.col("name") != "") & F.col("version").rlike("^[0-9]") & ~F.col("version").contains("*")).distinct()
 
 
-def _advice_name(ecosystem: Column) -> Column:
+def advice_name(ecosystem: Column) -> Column:
     names = F.create_map(*[F.lit(x) for pair in R.ECOSYSTEMS.items() for x in pair])
     return F.coalesce(F.try_element_at(names, ecosystem), ecosystem)
 
@@ -98,9 +98,9 @@ def vulnerable(deps: DataFrame, advisories: DataFrame, most: int = 8) -> DataFra
     Advisories may name ecosystems as the advisory service does, or as we do; ours stay in the result.
     """
     w = Window.partitionBy("ecosystem", "name", "version").orderBy("vuln_id")
-    few = advisories.withColumn("ecosystem", _advice_name(F.col("ecosystem"))).distinct().withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
+    few = advisories.withColumn("ecosystem", advice_name(F.col("ecosystem"))).distinct().withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
     ids = few.groupBy("ecosystem", "name", "version").agg(F.array_sort(F.collect_list("vuln_id")).alias("vulns")).withColumnRenamed("ecosystem", "service")
-    return deps.withColumn("service", _advice_name(F.col("ecosystem"))).join(ids, ["service", "name", "version"]).select("repo_id", "ecosystem", "name", "version", "vulns")
+    return deps.withColumn("service", advice_name(F.col("ecosystem"))).join(ids, ["service", "name", "version"]).select("repo_id", "ecosystem", "name", "version", "vulns")
 
 
 def top_vulnerable(bad: DataFrame, most: int = 8) -> DataFrame:
@@ -112,6 +112,6 @@ def top_vulnerable(bad: DataFrame, most: int = 8) -> DataFrame:
 def advice_requests(deps: DataFrame, size: int = 100) -> DataFrame:
     """(repo_id, request, n, body): what to send to an advisory service, `size` exact versions a request."""
     w = Window.partitionBy("repo_id").orderBy("ecosystem", "name", "version")
-    each = F.struct("place", F.struct(F.struct("name", _advice_name(F.col("ecosystem")).alias("ecosystem")).alias("package"), "version").alias("q"))
+    each = F.struct("place", F.struct(F.struct("name", advice_name(F.col("ecosystem")).alias("ecosystem")).alias("package"), "version").alias("q"))
     dealt = deps.withColumn("place", F.row_number().over(w) - 1).groupBy("repo_id", F.floor(F.col("place") / size).cast("int").alias("request")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(each)).alias("qs"))
     return dealt.select("repo_id", "request", "n", F.to_json(F.struct(F.transform("qs", lambda x: x["q"]).alias("queries"))).alias("body"))
