@@ -98,10 +98,15 @@ def test_secrets_of_one_line_and_over_lines(spark):
     assert {(r.pattern, r.severity) for r in S.secret_findings(m).collect()} == {("security.awskeys", "major"), ("security.generic", "major")}
 
 
-def test_nested_locks():
-    text = json.dumps({"dependencies": {"a": {"version": "1.0.0", "dependencies": {"b": {"version": "2.0.0"}, "c": {}}}}})
-    assert sorted(x["name"] for x in D.nested_versions(text)) == ["a", "b"]
-    assert D.nested_versions("{broken") == D.nested_versions(None) == D.nested_versions("[]") == D.nested_versions('{"dependencies": 3}') == []
+def test_nested_locks(spark):
+    deep = {"version": "9.9.9"}
+    for i in range(12):
+        deep = {"version":f"1.0.{i}","dependencies":{f"n{i}":deep}}
+    files = [(1,json.dumps({"dependencies":{"a":{"version":"1.0","dependencies":{"b":{"version":"2.0"},"x.y/z $":{"version":"3"}}},"s":"text","n":None,"num":{"version":5},"l":[1],"c":{"dependencies":{"d":{"version":"4"}}}}})),(2,"{broken"),(3,None),(4,"[]"),(5,json.dumps({"dependencies":{"top":deep}})),(6,'{"dependencies":5}')]
+    got = sorted(tuple(r) for r in D.nested_versions(spark.createDataFrame(files,"repo_id int, content string")).collect())
+    assert [r for r in got if r[0]==1]==[(1,"a","1.0"),(1,"b","2.0"),(1,"d","4"),(1,"x.y/z $","3")], got
+    assert len([r for r in got if r[0]==5])==13 and {r[0] for r in got}=={1,5}
+    assert D.nested_versions(spark.createDataFrame([],"repo_id int, content string")).count()==0
 
 
 def test_layout_is_still_and_inside(spark):

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from treegauge.functions import rules as R
-from treegauge.workers import ship
+from treegauge.scratch import written
 
 REQUIREMENTS = R.REQUIREMENTS.replace("$", r"\z")
 PAIRS = "array<struct<name:string,version:string>>"
@@ -32,19 +29,24 @@ def _pairs(pattern: str) -> Column:
     return F.transform(both, lambda x: F.struct(x["name"].alias("name"), x["version"].alias("version")))
 
 
-def nested_versions(text: str | None) -> list[dict[str, str]]:
-    """All (name, version) of a lock file whose entries hold entries of their own."""
-    try:
-        waiting, out = [json.loads(text or "")["dependencies"]], []
-        while waiting:
-            for name, entry in waiting.pop().items():
-                if isinstance(entry.get("version"), str):
-                    out.append({"name": name, "version": entry["version"]})
-                if isinstance(entry.get("dependencies"), dict):
-                    waiting.append(entry["dependencies"])
-    except (ValueError, KeyError, TypeError, AttributeError):
-        return []
-    return out
+def nested_versions(locks: DataFrame) -> DataFrame:
+    """(repo_id, name, version) of lock files (repo_id, content) whose entries hold entries of their own, at any depth.
+
+    A level of entries is exploded at a time, of all files together; the loop ends at the deepest file's depth, which is
+    all that the driver learns. What is no object has no entries, and texts that are no JSON have none at all.
+    """
+    member = lambda v, name: F.try_variant_get(v, f"$.{name}", "variant")
+    inner = lambda v: F.when(F.schema_of_variant(member(v, "dependencies")).startswith("OBJECT"), member(v, "dependencies"))
+    level = locks.select("repo_id", inner(F.try_parse_json("content")).alias("entries")).where("entries is not null")
+    found = None
+    while True:
+        each = level.lateralJoin(locks.sparkSession.tvf.variant_explode(F.col("entries").outer())).select("repo_id", F.col("key").alias("name"), "value")
+        held = written(each.where(F.schema_of_variant("value").startswith("OBJECT")))
+        named = held.where(F.schema_of_variant(member(F.col("value"), "version")) == "STRING").select("repo_id", "name", F.try_variant_get("value", "$.version", "string").alias("version"))
+        found = named if found is None else found.union(named)
+        level = held.select("repo_id", inner(F.col("value")).alias("entries")).where("entries is not null")
+        if level.isEmpty():
+            return found
 
 
 def pinned(manifests: DataFrame, fixed: bool = False) -> DataFrame:
@@ -52,12 +54,6 @@ def pinned(manifests: DataFrame, fixed: bool = False) -> DataFrame:
 
     Yarn and Go locks give nothing in the rules' compatible mode; with fixed, they are read too.
     """
-    ship(manifests.sparkSession)
-
-    @F.pandas_udf(PAIRS)
-    def nested(content: pd.Series) -> pd.Series:
-        return content.map(nested_versions)
-
     none = F.array().cast(PAIRS)
     lock = F.map_entries(F.from_json(F.get_json_object("content", "$.packages"), "map<string,struct<version:string>>"))
     plain = F.filter(lock, lambda e: ~e["key"].isin("", "node_modules") & ~F.regexp_replace(e["key"], "^node_modules/", "").contains("/node_modules/"))
@@ -80,10 +76,10 @@ def pinned(manifests: DataFrame, fixed: bool = False) -> DataFrame:
         rows = rows.when(of == "yarn.lock", yarn).when(of == "go.sum", go)
     ecosystem = F.when(of.isin("package-lock.json", "pnpm-lock.yaml", "yarn.lock"), "npm").when(of == "Cargo.lock", "cargo").when(of == "composer.lock", "composer").when(of == "go.sum", "go").otherwise("pip")
     read = manifests.select("repo_id", ecosystem.alias("ecosystem"), F.explode(F.coalesce(rows, none)).alias("x"))
-    # the older form of this lock file nests; those few files alone go to Python
+    # the older form of this lock file nests
     older = manifests.where((of == "package-lock.json") & (F.coalesce(F.size(lock), F.lit(0)) <= 0) & F.get_json_object("content", "$.dependencies").isNotNull())
-    read = read.unionByName(older.select("repo_id", F.lit("npm").alias("ecosystem"), F.explode(nested("content")).alias("x")))
-    out = read.select("repo_id", "ecosystem", "x.*")
+    read = read.select("repo_id", "ecosystem", "x.*").unionByName(nested_versions(older).select("repo_id", F.lit("npm").alias("ecosystem"), "name", "version"))
+    out = read
     return out.where((F.col("name") != "") & F.col("version").rlike("^[0-9]") & ~F.col("version").contains("*")).distinct()
 
 
