@@ -31,7 +31,6 @@ import hashlib
 import os
 import re
 from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,8 +41,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-#: The longest chunk that is remembered, in characters; rows packed together at most.
-KEPT, ROWS = 200, 60_000
+#: The longest chunk that is remembered, in characters; rows packed together at most; characters of chunks encoded in a row.
+KEPT, ROWS, RUN = 200, 60_000, 20_000
 ENCODED = "flush long, place int, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, side int, pairs binary, posts binary"
 CUT = re.compile(r"(?<=\S)(?= +\S)")
 
@@ -56,7 +55,7 @@ def printed_bytes() -> dict[str, int]:
 
 
 class Pair:
-    """Two tokenizers and the bytes of their tokens."""
+    """Two tokenizers, the bytes of their tokens, and what their ids read like in groups."""
 
     def __init__(self, byte_file: str, piece_file: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -66,29 +65,20 @@ class Pair:
         self.a, self.b = Tokenizer.from_file(byte_file), sentencepiece.SentencePieceProcessor(model_file=piece_file)
         self.a.encode_special_tokens = True
         of = printed_bytes()
-        self.a_bytes = {i: bytes(of[c] for c in t) if all(c in of for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        a = {i: bytes(of[c] for c in t) if all(c in of for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        self.a_bytes = [a.get(i, b"") for i in range(max(a) + 1)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i in range(self.b.get_piece_size()) for p in [self.b.id_to_piece(i)]]
-
-    def encoded(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        return list(zip(a, self.b.encode(texts, num_threads=1), strict=True))
-
-    def groups(self, text: str, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]] | None:
-        """Ids of A and B between common ends; None if the tokens aren't the bytes of a space and the text."""
-        x, y, whole = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b], b" " + text.encode("utf-8", "surrogatepass")
-        if b"".join(x) != whole or b"".join(y) != whole:
-            return None
-        out, i, j, to_a, to_b, from_a, from_b = [], 0, 0, 0, 0, 0, 0
-        while i < len(a) or j < len(b):
-            if to_a <= to_b:
-                to_a += len(x[i])
-                i += 1
-            else:
-                to_b += len(y[j])
-                j += 1
-            if to_a == to_b:
-                out.append((a[from_a:i], b[from_b:j]))
-                from_a, from_b = i, j
+        self.a_size, self.b_size = (np.array([len(t) for t in x]) for x in (self.a_bytes, self.b_bytes))
+        # an id of A before another and as the last of its group, then the same of B
+        self.said = [b"%d%c" % (i, c) for n, c in ((len(a), b","), (len(a), b"|"), (len(self.b_bytes), b","), (len(self.b_bytes), b";")) for i in range(n)]
+
+    def encoded(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of A and B for texts that begin with a space; None where the tokens aren't the text's bytes."""
+        out = []
+        for text, a, b in zip(texts, self.a.encode_batch_fast(texts, add_special_tokens=False), self.b.encode([t[1:] for t in texts], num_threads=1), strict=True):
+            a, whole = a.ids, text.encode("utf-8", "surrogatepass")
+            same = b"".join([self.a_bytes[i] for i in a]) == whole == b"".join([self.b_bytes[i] for i in b])
+            out.append((np.array(a, np.int64), np.array(b, np.int64)) if same else None)
         return out
 
 
@@ -107,22 +97,77 @@ class Chunks:
         self.codes = array("q")
 
     def add(self, keys: list[str]) -> None:
-        """Aligns chunks; a key that begins with a space is a chunk with its space, another one lacks it."""
-        texts = [k[1:] if k[:1] == " " else k for k in keys]
-        for key, text, (a, b) in zip(keys, texts, self.pair.encoded(texts), strict=True):
-            groups = self.pair.groups(text, a, b)
-            self.number[key] = len(self.said)
-            links = Counter(i << 32 | j for x, y in groups or () for i in x for j in y)
-            self.said.append(b";".join(b"%s|%s" % (b",".join(b"%d" % i for i in x), b",".join(b"%d" % j for j in y)) for x, y in groups or ()))
-            self.sizes.extend((len(a), len(b), len(groups), sum(links.values())) if groups is not None else (-1, 0, 0, 0))
-            for code, times in links.items():
-                p = self.known.get(code)
-                if p is None:
-                    p = self.known[code] = len(self.codes)
-                    self.codes.append(code)
-                self.pairs.append(p)
-                self.times.append(times)
-            self.edge.append(len(self.pairs))
+        """Aligns chunks; a key that begins with a space is a chunk with its space, another one lacks it.
+
+        Chunks are encoded in runs, since both tokenizers cut between them, but for those that end in white
+        space or hold the word mark. A run that a tokenizer doesn't give back is encoded chunk by chunk.
+        """
+        runs, held, size = [], [], 0
+        for key in keys:
+            text = key if key[:1] == " " else " " + key
+            if text[-1].isspace() or "▁" in text:
+                runs.append([(key, text)])
+                continue
+            held.append((key, text))
+            size += len(text)
+            if size > RUN:
+                runs.append(held)
+                held, size = [], 0
+        if held:
+            runs.append(held)
+        again = []
+        for todo in (runs, again):
+            got = self.pair.encoded(["".join([t for _, t in run]) for run in todo])
+            fine = []
+            for run, ids in zip(todo, got, strict=True):
+                if ids is None and len(run) > 1:
+                    again += [[x] for x in run]
+                elif ids is None:
+                    self.keep([run[0][0]], [b""], np.array([[-1, 0, 0, 0]]), *[np.zeros(0, np.int64)] * 3)
+                else:
+                    fine.append((run, ids))
+            if fine:
+                self.align([x for run, _ in fine for x in run], *(np.concatenate([ids[k] for _, ids in fine]) for k in (0, 1)))
+
+    def align(self, chunks: list[tuple[str, str]], a: np.ndarray, b: np.ndarray) -> None:
+        """Cuts the ids of chunks in a row into groups."""
+        end = np.cumsum([len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass")) for _, t in chunks])
+        to_a, to_b = np.cumsum(self.pair.a_size[a]), np.cumsum(self.pair.b_size[b])
+        common = to_a[to_b[np.searchsorted(to_b, to_a)] == to_a]
+        of_a, of_b, of = np.searchsorted(common, to_a), np.searchsorted(common, to_b), np.searchsorted(end, common)
+        n, groups = len(chunks), len(common)
+        n_a, n_b = np.bincount(of_a, minlength=groups), np.bincount(of_b, minlength=groups)
+        sizes = np.stack([np.bincount(of, x, n).astype(np.int64) for x in (n_a, n_b, np.ones(groups), n_a * n_b)], 1)
+        # links: every token of A with every one of B of its group
+        many = n_b[of_a]
+        first = (np.cumsum(n_b) - n_b)[of_a]
+        at = np.arange(many.sum()) + np.repeat(first - (np.cumsum(many) - many), many)
+        code, which = np.unique(np.repeat(a, many) << 32 | b[at], return_inverse=True)
+        link, times = np.unique(np.repeat(of[of_a], many) * len(code) + which, return_counts=True)
+        # what the groups read like: tokens of A, then of B, group by group
+        last_a, last_b = np.append(of_a[1:] != of_a[:-1], True), np.append(of_b[1:] != of_b[:-1], True)
+        big = len(self.pair.a_bytes)
+        word = np.concatenate((a + big * last_a, b + 2 * big + len(self.pair.b_bytes) * last_b))
+        order = np.argsort(np.concatenate((2 * of_a, 2 * of_b + 1)), kind="stable")
+        words = [self.pair.said[i] for i in word[order].tolist()]
+        stop = np.cumsum(sizes[:, 0] + sizes[:, 1]).tolist()
+        said = [b"".join(words[i:j]) for i, j in zip([0, *stop], stop, strict=False)]
+        self.keep([k for k, _ in chunks], said, sizes, code, link, times)
+
+    def keep(self, keys: list[str], said: list[bytes], sizes: np.ndarray, code: np.ndarray, link: np.ndarray, times: np.ndarray) -> None:
+        """Takes up aligned chunks; link: a chunk's place times the number of codes, plus that of a code."""
+        self.number.update(zip(keys, range(len(self.said), len(self.said) + len(keys)), strict=True))
+        self.said += said
+        self.sizes.frombytes(np.ascontiguousarray(sizes, np.int64).tobytes())
+        for c in code.tolist():
+            if c not in self.known:
+                self.known[c] = len(self.codes)
+                self.codes.append(c)
+        place = np.array([self.known[c] for c in code.tolist()], np.int64)
+        n = max(1, len(code))
+        self.edge.frombytes((len(self.pairs) + np.searchsorted(link // n, np.arange(1, len(keys) + 1))).astype(np.int64).tobytes())
+        self.pairs.frombytes(place[link % n].astype(np.int64).tobytes() if len(link) else b"")
+        self.times.frombytes(times.astype(np.int64).tobytes())
 
     def numbers(self, texts: list[str]) -> list[list[int]]:
         """The chunks of each text, in order."""
@@ -162,7 +207,7 @@ def packed(chunks: Chunks, sides: int, flush: int, ids: list[int | None], texts:
     good = ~bad[doc]
     flat, doc = flat[good], doc[good]
     sums = [np.bincount(doc, size[flat, k], len(of)).astype(np.int64) for k in range(4)]
-    sha = [hashlib.sha256(b";".join([chunks.said[c] for c in x])).hexdigest() if x and not bad[i] else "" for i, x in enumerate(of)]
+    sha = [hashlib.sha256(b"".join([chunks.said[c] for c in x])[:-1]).hexdigest() if x and not bad[i] else "" for i, x in enumerate(of)]
     n = len(of)
     blank = {"side": pa.nulls(n, pa.int32()), "pairs": pa.nulls(n, pa.binary()), "posts": pa.nulls(n, pa.binary())}
     yield pa.RecordBatch.from_pydict({"flush": pa.array([flush] * n, pa.int64()), "place": pa.array(range(n), pa.int32()), "doc_id": pa.array(ids, pa.int64()), **{k: pa.array(v) for k, v in zip(("n_a", "n_b", "n_groups", "n_links"), sums, strict=True)}, "groups_sha256": pa.array(sha, pa.string()), **blank})
