@@ -7,8 +7,10 @@ strings and comments that these trees hold; functions from counts of words.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import datetime
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +24,7 @@ from treegauge.operators import imports as I
 from treegauge.operators import layout as LO
 from treegauge.operators import secrets as S
 from treegauge.plans import architecture as A
-from treegauge.plans import audit, outputs, scoring
+from treegauge.plans import audit, outputs, results, scoring
 from treegauge.scratch import folder, written
 from treegauge.sources import landed as LA
 
@@ -49,25 +51,45 @@ def sql_list(xs: list[str]) -> str:
     return ", ".join(f"'{q(x)}'" for x in xs)
 
 
-_HELD: dict = {}
+class _Run:
+    """The audit of the trees of a folder; what a query doesn't ask for isn't made."""
 
+    def __init__(self, spark: SparkSession, d: str) -> None:
+        self.spark, self.d = spark, d
 
-def _tree(spark: SparkSession, d: str) -> DataFrame:
-    """The trees of a folder, written once an application: their expressions are long, and filters would repeat them."""
-    key = (spark.sparkContext.applicationId, d, "tree")
-    if key not in _HELD:
-        _HELD[key] = written(TR.tree(spark, d))
-    return _HELD[key]
+    @cached_property
+    def tree(self) -> DataFrame:
+        # written, since its expressions are long, and filters would repeat them
+        return written(TR.tree(self.spark, self.d))
 
+    @cached_property
+    def p(self) -> audit.Parts:
+        return audit.Parts(self.tree, TR.advisories(self.spark))
 
-def _audited(spark: SparkSession, d: str) -> tuple[audit.Parts, DataFrame, DataFrame]:
-    """(parts, facts, findings) of the trees of a folder: written once an application, since many queries read them."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _HELD:
-        p = audit.parts(_tree(spark, d), TR.advisories(spark))
-        known = audit.known(p, LA.repo_meta(TR.landed(spark, d)), NOW)
-        _HELD[key] = (p, known, audit.findings(known, p.code))
-    return _HELD[key]
+    @cached_property
+    def known(self) -> DataFrame:
+        return audit.known(self.p, self.meta, NOW)
+
+    @cached_property
+    def meta(self) -> DataFrame:
+        return LA.repo_meta(TR.landed(self.spark, self.d))
+
+    @cached_property
+    def found(self) -> DataFrame:
+        return audit.findings(self.known, self.p.code)
+
+    @cached_property
+    def scores(self) -> DataFrame:
+        return audit.scores(self.known, self.found)
+
+    @cached_property
+    def graded(self) -> DataFrame:
+        return scoring.overall(self.scores)
+
+    @cached_property
+    def notes(self) -> DataFrame:
+        stats = IG.walk_stats(self.tree, IG.ignore_rules(self.tree))
+        return audit.notes(self.known, stats, self.found).join(stats.select("repo_id", "files_total"), "repo_id", "left")
 
 
 DIM = ", ".join(f"('{e}', '{name}', '{kind}')" for name, kind, exts in R.LANGUAGES for e in exts.split())
@@ -91,31 +113,31 @@ man AS (SELECT repo_id, path, raw AS content FROM walked WHERE is_aux)"""
 
 @query(f"{WALK} SELECT repo_id, CASE WHEN pat IS NULL THEN 'dir' WHEN starts_with(pat, '*.') THEN 'suffix' ELSE 'path' END AS kind, CASE WHEN pat IS NULL THEN dir WHEN starts_with(pat, '*.') THEN substr(pat, 2) ELSE pat END AS pattern FROM rule")
 def tree_ignore_rules(spark, d):
-    return IG.ignore_rules(_tree(spark, d))
+    return IG.ignore_rules(_Run(spark, d).tree)
 
 
 @query(f"{WALK} SELECT repo_id, '{R.IGNORED_DIRS[0]}' AS pattern FROM (SELECT DISTINCT repo_id FROM tree) UNION SELECT repo_id, unnest([{sql_list(R.IGNORED_DIRS)}]) FROM (SELECT DISTINCT repo_id FROM tree) UNION SELECT repo_id, dir FROM rule WHERE dir IS NOT NULL")
 def tree_ignored_folders(spark, d):
     """Default and own folders of each repository: a union without repeats."""
-    t = _tree(spark, d)
+    t = _Run(spark, d).tree
     own = IG.ignore_rules(t).where("kind = 'dir'")
     return IG.default_rules(t.select("repo_id").distinct()).union(own).select("repo_id", "pattern").distinct()
 
 
 @query(f"{WALK} SELECT repo_id, path, size, lang, analysis, is_test, is_lock, is_aux FROM walked")
 def tree_walked(spark, d):
-    return _audited(spark, d)[0].files.select("repo_id", "path", "size", "lang", "analysis", "is_test", "is_lock", "is_aux")
+    return _Run(spark, d).p.files.select("repo_id", "path", "size", "lang", "analysis", "is_test", "is_lock", "is_aux")
 
 
 @query(f"{WALK} SELECT repo_id, count(*) FILTER (WHERE NOT in_dir) AS files_total, count(*) FILTER (WHERE NOT in_dir AND by_name) + count(DISTINCT CASE WHEN in_dir THEN string_split(path, '/')[1] || CASE WHEN starts_with(path, 'lib/') THEN path ELSE '' END END) AS skipped FROM judged GROUP BY 1")
 def tree_walk_stats(spark, d):
-    t = _tree(spark, d)
+    t = _Run(spark, d).tree
     return IG.walk_stats(t, IG.ignore_rules(t))
 
 
 @query(f"{WALK} SELECT repo_id, path, analysis, CAST(lines AS BIGINT) AS lines, regexp_matches(base, '{R.CREDENTIAL_READ}') AS named FROM loaded")
 def tree_loaded(spark, d):
-    return _audited(spark, d)[0].code.select("repo_id", "path", "analysis", "lines", F.col("base").rlike(R.CREDENTIAL_READ.replace("$", r"\z")).alias("named"))
+    return _Run(spark, d).p.code.select("repo_id", "path", "analysis", "lines", F.col("base").rlike(R.CREDENTIAL_READ.replace("$", r"\z")).alias("named"))
 
 
 COUNTED = f"""SELECT repo_id, CAST(sum(CASE WHEN path = 'package.json' AND json_valid(content) THEN len(coalesce(json_keys(content, '$.dependencies'), [])) + len(coalesce(json_keys(content, '$.devDependencies'), []))
@@ -126,7 +148,7 @@ COUNTED = f"""SELECT repo_id, CAST(sum(CASE WHEN path = 'package.json' AND json_
 
 @query(f"{WALK} {COUNTED}")
 def tree_direct_deps(spark, d):
-    return _audited(spark, d)[0].direct
+    return _Run(spark, d).p.direct
 
 
 def _pair_sql(where: str, pattern: str, calm: bool = False) -> str:
@@ -144,7 +166,7 @@ PIN = f"""pin AS (SELECT DISTINCT repo_id, CASE WHEN path IN ('package-lock.json
 
 
 def _manifests(spark: SparkSession, d: str) -> DataFrame:
-    return _audited(spark, d)[0].files.where("is_aux").select("repo_id", "path", F.col("raw").alias("content"))
+    return _Run(spark, d).p.files.where("is_aux").select("repo_id", "path", F.col("raw").alias("content"))
 
 
 @query(f"{WALK}, {PIN} SELECT * FROM pin")
@@ -165,7 +187,7 @@ BAD = f"bad AS (SELECT repo_id, p.ecosystem, p.name, p.version, least(count(DIST
 
 @query(f"{WALK}, {PIN}, {BAD} SELECT repo_id, ecosystem, name, version, vulns, n, row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, ecosystem, name, version) AS place FROM bad")
 def tree_vulnerable(spark, d):
-    bad = D.top_vulnerable(_audited(spark, d)[0].bad)
+    bad = D.top_vulnerable(_Run(spark, d).p.bad)
     return bad.select("repo_id", "ecosystem", "name", "version", F.array_join("vulns", ",").alias("vulns"), F.size("vulns").cast("long").alias("n"), F.col("place").cast("long").alias("place"))
 
 
@@ -196,22 +218,22 @@ MODULE = "CASE WHEN NOT contains({0}, '/') THEN '(root)' WHEN split_part({0}, '/
 
 @query(f"{WALK}, {REF} SELECT repo_id, path, spec, count(*) AS n FROM ref GROUP BY 1, 2, 3")
 def tree_imports(spark, d):
-    return _audited(spark, d)[0].refs.groupBy("repo_id", "path", "spec").agg(F.count(F.lit(1)).alias("n"))
+    return _Run(spark, d).p.refs.groupBy("repo_id", "path", "spec").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"{WALK}, {REF} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY n DESC, package) AS place FROM (SELECT repo_id, CASE WHEN starts_with(spec, '@') THEN array_to_string(string_split(spec, '/')[:2], '/') ELSE split_part(spec, '/', 1) END AS package, count(*) AS n FROM ref WHERE analysis = 'js' AND NOT starts_with(spec, '.') GROUP BY 1, 2)) WHERE place <= 15")
 def tree_packages(spark, d):
-    return A.top_packages(_audited(spark, d)[0].refs).withColumn("place", F.col("place").cast("long"))
+    return A.top_packages(_Run(spark, d).p.refs).withColumn("place", F.col("place").cast("long"))
 
 
 @query(f"{WALK}, {REF}, {LINK} SELECT repo_id, path, spec, n, target FROM link")
 def tree_links(spark, d):
-    return _audited(spark, d)[0].links
+    return _Run(spark, d).p.links
 
 
 @query(f"{WALK}, {REF}, {LINK} SELECT repo_id, CAST(sum(CASE WHEN target IS NULL THEN n ELSE 0 END) AS BIGINT) AS unresolved FROM link GROUP BY 1")
 def tree_unresolved(spark, d):
-    return A.unresolved(_audited(spark, d)[0].links)
+    return A.unresolved(_Run(spark, d).p.links)
 
 
 FUN = """fun AS (SELECT repo_id, path, analysis, CASE WHEN analysis = 'js' THEN 1 + len(regexp_extract_all(code, '\\bif\\b|&&')) WHEN contains(code, 'def deep') THEN 1 + len(regexp_extract_all(code, '\\bif\\b')) ELSE 1 END AS complexity,
@@ -228,7 +250,7 @@ EDGE_FLAG = "SELECT e.repo_id, e.src, e.dst, e.weight, x.id IS NOT NULL AND y.id
 
 
 def _graph(spark: SparkSession, d: str, kind: Callable) -> tuple[DataFrame, DataFrame]:
-    p = _audited(spark, d)[0]
+    p = _Run(spark, d).p
     return kind(p.code.where(F.col("analysis").isin("js", "python")), p.functions, p.edges)
 
 
@@ -271,12 +293,12 @@ def tree_layout(spark, d):
 @query(f"{WALK}, {FUN} SELECT repo_id, path, CAST(complexity AS INTEGER) AS complexity, CAST(nesting AS INTEGER) AS nesting, times AS n FROM fun")
 def tree_functions(spark, d):
     """Functions of these trees; those of one file are alike."""
-    return _audited(spark, d)[0].functions.groupBy("repo_id", "path", "complexity", "nesting").agg(F.count(F.lit(1)).alias("n"))
+    return _Run(spark, d).p.functions.groupBy("repo_id", "path", "complexity", "nesting").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"{WALK}, {FUN} SELECT repo_id, CAST(max(complexity) AS INTEGER) AS most, round(sum(complexity * times) / sum(times), 1) AS mean FROM fun GROUP BY 1")
 def tree_complexity(spark, d):
-    k = _audited(spark, d)[1]
+    k = _Run(spark, d).known
     return k.where("functions > 0").select("repo_id", F.col("most_complex").alias("most"), F.round("mean_complex", 1).alias("mean"))
 
 
@@ -299,12 +321,12 @@ SEEN = f"""seen AS (SELECT repo_id, pattern AS id, CASE WHEN bool_or(regexp_matc
 
 @query(f"{WALK}, {SECRET} SELECT repo_id, path, pattern, nth, line, value, round(entropy, 6) AS entropy FROM secret")
 def tree_secrets(spark, d):
-    return S.secret_matches(_audited(spark, d)[0].code.where("size <= 300000 and not is_lock and analysis <> 'none'")).withColumn("entropy", F.round("entropy", 6))
+    return S.secret_matches(_Run(spark, d).p.code.where("size <= 300000 and not is_lock and analysis <> 'none'")).withColumn("entropy", F.round("entropy", 6))
 
 
 @query(f"{WALK}, {SECRET}, {SEEN} SELECT repo_id, id AS pattern, n, severity FROM seen")
 def tree_secret_findings(spark, d):
-    return S.secret_findings(S.secret_matches(_audited(spark, d)[0].code.where("size <= 300000 and not is_lock and analysis <> 'none'")))
+    return S.secret_findings(S.secret_matches(_Run(spark, d).p.code.where("size <= 300000 and not is_lock and analysis <> 'none'")))
 
 
 RISK = "risk AS (SELECT *, row_number() OVER (PARTITION BY repo_id, pattern ORDER BY " + BY_FILE + ", line) AS place FROM (" + " UNION ALL ".join(f"SELECT repo_id, path, line, '{n}' AS pattern, '{sev}' AS severity FROM (SELECT repo_id, path, analysis, unnest(string_split(raw, chr(10))) AS t, generate_subscripts(string_split(raw, chr(10)), 1) AS line FROM loaded WHERE NOT is_test) WHERE analysis IN ({sql_list(langs.split())}) AND regexp_matches(t, '{q(p)}')" for n, p, langs, sev in R.DANGEROUS) + "))"
@@ -345,7 +367,7 @@ HEAD = f"{MGRAPH}, {PIN}, {BAD}, {WINDOW}, {META}, {FACT}"
 
 @query(f"{HEAD} SELECT repo_id, files, analysed, loc, comments, test_loc, source_loc, test_files, CAST(longest AS BIGINT) AS longest, markers, credentials, functions, complex, CAST(nesting AS INTEGER) AS nesting, direct, vulns, bad_deps, crowd, round(clones, 6) AS clones, license_file, contributing, ci, ci_tests, coverage, linter, package_json, npm_lock, pip_pins, md5(readme) AS readme FROM known")
 def audit_facts(spark, d):
-    k = _audited(spark, d)[1]
+    k = _Run(spark, d).known
     return k.select("repo_id", "files", "analysed", "loc", "comments", "test_loc", "source_loc", "test_files", "longest", "markers", "credentials", "functions", "complex", "nesting", "direct", "vulns", "bad_deps", "crowd", F.round("clones", 6).alias("clones"), "license_file", "contributing", "ci", "ci_tests", "coverage", "linter", "package_json", "npm_lock", "pip_pins", F.md5("readme").alias("readme"))
 
 
@@ -370,7 +392,7 @@ FOUND = f"""{HEAD}, {SECRET}, {SEEN}, {RISK}, found AS (SELECT repo_id, id, CASE
 
 @query(f"{FOUND} SELECT * FROM found")
 def audit_findings(spark, d):
-    return _audited(spark, d)[2].select("repo_id", "id", "category", "severity", "penalty")
+    return _Run(spark, d).found.select("repo_id", "id", "category", "severity", "penalty")
 
 
 SCORED = """other AS (SELECT repo_id, category, sum(penalty) AS p, count(*) FILTER (WHERE severity = 'critical') AS k, bool_or(id = 'documentation.readme') AS bare, sum(CASE WHEN id IN ('testing.notests', 'testing.ratio') THEN 0 ELSE penalty END) AS rest FROM found GROUP BY 1, 2),
@@ -381,7 +403,8 @@ score AS (SELECT repo_id, category, CAST(p AS BIGINT) AS penalty, CAST(least(100
 
 @query(f"{FOUND}, {SCORED} SELECT * FROM score")
 def audit_scores(spark, d):
-    _, known, found = _audited(spark, d)
+    r = _Run(spark, d)
+    known, found = r.known, r.found
     return audit.scores(known, found)
 
 
@@ -390,7 +413,8 @@ GRADED = "graded AS (SELECT *, CASE WHEN overall >= 93 THEN 'A+' WHEN overall >=
 
 @query(f"{FOUND}, {SCORED}, {GRADED} SELECT g.repo_id, k.files, k.loc, (SELECT count(*) FROM found f WHERE f.repo_id = g.repo_id) AS findings, overall, grade FROM graded g JOIN known k USING (repo_id)")
 def audit_grades(spark, d):
-    _, known, found = _audited(spark, d)
+    r = _Run(spark, d)
+    known, found = r.known, r.found
     return audit.report(known, found)
 
 
@@ -400,7 +424,7 @@ PLACED = f"planned AS (SELECT repo_id, row_number() OVER (PARTITION BY repo_id O
 
 @query(f"{FOUND}, {PLACED} SELECT * FROM planned WHERE place <= 12")
 def audit_plan(spark, d):
-    return audit.plan(_audited(spark, d)[2]).select("repo_id", F.col("place").cast("long").alias("place"), "id", "impact", "effort")
+    return audit.plan(_Run(spark, d).found).select("repo_id", F.col("place").cast("long").alias("place"), "id", "impact", "effort")
 
 
 ADDED = """SELECT repo_id, category, row_number() OVER (PARTITION BY repo_id, category ORDER BY CASE WHEN category = 'testing' THEN 0 ELSE -penalty END, k) AS place, penalty FROM (SELECT repo_id, 'testing' AS category, CAST(lost AS INTEGER) AS penalty, 0 AS k FROM curve UNION ALL SELECT repo_id, category, penalty, 1 FROM found WHERE id NOT IN ('testing.notests', 'testing.ratio'))"""
@@ -408,7 +432,8 @@ ADDED = """SELECT repo_id, category, row_number() OVER (PARTITION BY repo_id, ca
 
 @query(f"{FOUND}, {SCORED} {ADDED}")
 def audit_contributions(spark, d):
-    _, known, found = _audited(spark, d)
+    r = _Run(spark, d)
+    known, found = r.known, r.found
     return audit.contributions(known, found).select("repo_id", "category", F.col("place").cast("long").alias("place"), "penalty")
 
 
@@ -431,27 +456,19 @@ SPOT = " UNION ALL ".join([
 
 @query(f"{FOUND} SELECT repo_id, id, CAST(place AS INTEGER) AS place, path, CAST(line AS INTEGER) AS line, note FROM ({SPOT})")
 def audit_places(spark, d):
-    return audit.places(_audited(spark, d)[0])
+    return audit.places(_Run(spark, d).p)
 
 
 @query(None)
 def audit_details(spark, d):
     """Findings as a user reads them: title, detail with places, metric, first file and line."""
-    p, _, found = _audited(spark, d)
-    return audit.detailed(found, audit.places(p))
+    r = _Run(spark, d)
+    return audit.detailed(r.found, audit.places(r.p))
 
 
 @query(f"{FOUND} SELECT k.repo_id, w.n > k.files AS partial, CAST((w.n > k.files)::INT + (SELECT count(DISTINCT f.repo_id) FROM found f WHERE f.repo_id = k.repo_id AND f.id IN ('security.credentialfiles', {sql_list([s[0] for s in R.SECRETS])})) AS INTEGER) AS told FROM known k JOIN (SELECT repo_id, count(*) FILTER (WHERE NOT in_dir) AS n FROM judged GROUP BY 1) w USING (repo_id)")
 def audit_notes(spark, d):
-    _, known, found = _audited(spark, d)
-    t = _tree(spark, d)
-    return audit.notes(known, IG.walk_stats(t, IG.ignore_rules(t)), found).select("repo_id", "partial", F.size("notes").alias("told"))
-
-
-def _graded(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    _, known, found = _audited(spark, d)
-    scores = audit.scores(known, found)
-    return scores, scoring.overall(scores)
+    return _Run(spark, d).notes.select("repo_id", "partial", F.size("notes").alias("told"))
 
 
 BADGE_COLOUR = "CASE grade " + " ".join(f"WHEN '{g}' THEN '{c}'" for g, c in R.BANDS["badge"][0]) + f" ELSE '{R.BANDS['badge'][1]}' END"
@@ -461,7 +478,7 @@ VALUE = "(grade || ' · ' || overall || '%')"
 
 @query(f"{FOUND}, {SCORED}, {GRADED} SELECT repo_id, {VALUE} AS value, {WIDTH.format(VALUE)} + 16 + 42 + 16 AS width, {BADGE_COLOUR} AS colour, md5('<svg xmlns=\"http://www.w3.org/2000/svg\" width=\"' || ({WIDTH.format(VALUE)} + 74) || '\" height=\"20\"><rect width=\"58\" height=\"20\" fill=\"#555\"/><rect x=\"58\" width=\"' || ({WIDTH.format(VALUE)} + 16) || '\" height=\"20\" fill=\"' || {BADGE_COLOUR} || '\"/><text x=\"29.0\" y=\"14\" fill=\"#fff\" text-anchor=\"middle\" font-size=\"11\">health</text><text x=\"' || (58 + ({WIDTH.format(VALUE)} + 16) / 2)::DOUBLE || '\" y=\"14\" fill=\"#fff\" text-anchor=\"middle\" font-size=\"11\">' || {VALUE} || '</text></svg>') AS svg FROM graded")
 def badge_svg(spark, d):
-    return outputs.badge(_graded(spark, d)[1]).withColumn("svg", F.md5("svg"))
+    return outputs.badge(_Run(spark, d).graded).withColumn("svg", F.md5("svg"))
 
 
 DUEL = f"""duel AS (SELECT 'r0' AS a, b, c AS category, coalesce((SELECT score FROM score s WHERE s.repo_id = 'r0' AND s.category = c), 100) AS score_a, coalesce((SELECT score FROM score s WHERE s.repo_id = b AND s.category = c), 100) AS score_b FROM (SELECT repo_id AS b FROM graded WHERE repo_id <> 'r0'), (SELECT unnest([{sql_list(outputs.ORDER)}]) AS c))"""
@@ -475,19 +492,22 @@ def _pairs(graded: DataFrame) -> DataFrame:
 @query(f"{FOUND}, {SCORED}, {GRADED}, {DUEL} SELECT a, b, category, score_a, score_b, score_a - score_b AS diff, {TOLD} AS told FROM duel")
 def duel_table(spark, d):
     """The first repository against every other."""
-    scores, graded = _graded(spark, d)
+    r = _Run(spark, d)
+    scores, graded = r.scores, r.graded
     return outputs.duel(scores, graded, _pairs(graded))
 
 
 @query(f"{FOUND}, {SCORED}, {GRADED}, {DUEL}, won AS (SELECT a, b, count(*) FILTER (WHERE score_a > score_b) AS wins_a, count(*) FILTER (WHERE score_a < score_b) AS wins_b FROM duel GROUP BY 1, 2) SELECT w.a, w.b, wins_a, wins_b, CASE WHEN wins_a = wins_b THEN 'even, ' || wins_a || ' categories each, ' || x.overall || '% against ' || y.overall || '% overall' ELSE CASE WHEN wins_a > wins_b THEN w.a ELSE w.b END || ' wins ' || greatest(wins_a, wins_b) || ' of 5 categories, ' || CASE WHEN x.overall = y.overall THEN 'equal overall' ELSE greatest(x.overall, y.overall) || '% against ' || least(x.overall, y.overall) || '% overall' END END AS verdict FROM won w JOIN graded x ON x.repo_id = w.a JOIN graded y ON y.repo_id = w.b")
 def duel_verdicts(spark, d):
-    scores, graded = _graded(spark, d)
+    r = _Run(spark, d)
+    scores, graded = r.scores, r.graded
     return outputs.verdict(outputs.duel(scores, graded, _pairs(graded)), graded).select("a", "b", "wins_a", "wins_b", "verdict")
 
 
 @query(None)
 def duel_cards(spark, d):
-    scores, graded = _graded(spark, d)
+    r = _Run(spark, d)
+    scores, graded = r.scores, r.graded
     rows = outputs.duel(scores, graded, _pairs(graded))
     return outputs.card(rows, outputs.verdict(rows, graded))
 
@@ -504,26 +524,23 @@ def report_head(spark, d):
 
 @query(None)
 def report_texts(spark, d):
-    _, _, found = _audited(spark, d)
-    scores, graded = _graded(spark, d)
-    return outputs.text_report(graded, scores, found, audit.plan(found))
+    r = _Run(spark, d)
+    return outputs.text_report(r.graded, r.scores, r.found, audit.plan(r.found))
 
 
 @query(f"{FOUND}, {SCORED}, {GRADED} SELECT g.repo_id, 'repository: ' || g.repo_id || chr(10) || 'overall: ' || overall || ' (grade ' || grade || ')' || chr(10) || (SELECT string_agg('- ' || category || ': ' || score, chr(10) ORDER BY list_position([{sql_list(outputs.ORDER)}], category)) FROM score s WHERE s.repo_id = g.repo_id) || chr(10) || 'size: ' || k.analysed || ' files, ' || k.loc || ' lines' || chr(10) || 'findings:' AS head FROM graded g JOIN known k USING (repo_id)")
 def prescription_head(spark, d):
     """The digest up to the list of findings."""
-    _, known, found = _audited(spark, d)
-    scores, graded = _graded(spark, d)
-    whole = outputs.digest(graded, scores, known.select("repo_id", "analysed", "loc"), found, audit.plan(found))
+    r = _Run(spark, d)
+    whole = outputs.digest(r.graded, r.scores, r.known.select("repo_id", "analysed", "loc"), r.found, audit.plan(r.found))
     return whole.select("repo_id", F.regexp_extract("digest", r"(?s)\A(.*?findings:)", 1).alias("head"))
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    p, known, found = _audited(spark, d)
-    scores, graded = _graded(spark, d)
-    t = _tree(spark, d)
-    notes = audit.notes(known, IG.walk_stats(t, IG.ignore_rules(t)), found)
-    return outputs.documents(graded, scores, known.select("repo_id", "analysed", "loc", "files"), audit.detailed(found, audit.places(p)), audit.plan(found), notes, "2025-01-01T00:00:00Z")
+    r = _Run(spark, d)
+    refs = r.known.select("repo_id", F.concat(F.lit("https://code.example/"), "repo_id").alias("url"), F.lit("local").alias("owner"), F.col("repo_id").alias("name"), F.lit("main").alias("ref"))
+    run = results.Analysis(r.p, r.known, r.found, r.scores, r.graded, audit.plan(r.found), r.notes, r.meta, refs)
+    return run.documents("2025-01-01T00:00:00Z")
 
 
 @query(f"{FOUND}, {SCORED}, {GRADED}, {PLACED} SELECT g.repo_id AS id, overall, grade, (SELECT count(*) FROM found f WHERE f.repo_id = g.repo_id) AS findings, least((SELECT count(*) FROM planned p WHERE p.repo_id = g.repo_id), 12) AS plan, k.loc, '2025-01-01T00:00:00Z' AS analyzed_at FROM graded g JOIN known k USING (repo_id)")
@@ -533,10 +550,65 @@ def result_documents(spark, d):
     return r.select("id", F.col("r.scores.overall").cast("long").alias("overall"), "r.scores.grade", F.size("r.findings").cast("long").alias("findings"), F.size("r.plan").cast("long").alias("plan"), F.col("r.stats.totalLoc").alias("loc"), F.col("r.analyzedAt").alias("analyzed_at"))
 
 
+def _pieces(*pieces: str) -> str:
+    return " || '|' || ".join(f"coalesce(CAST({x} AS VARCHAR), '')" for x in pieces)
+
+
+FIELDS = " UNION ALL ".join(
+    f"SELECT repo_id AS id, '{part}' AS part, {key} AS key, {value} AS value FROM ({sql}) {name}"
+    for name, part, key, value, sql in (
+        ("a", "module", "id", _pieces("id", "'module'", "loc", "complexity", "fan_in", "fan_out", "in_cycle"), ORACLES["tree_module_nodes"]),
+        ("b", "module edge", "src || '>' || dst", _pieces("weight"), ORACLES["tree_module_edges"]),
+        ("c", "module cycle", "id", "''", f"SELECT * FROM ({ORACLES['tree_module_nodes']}) x WHERE in_cycle"),
+        ("d", "file", "id", _pieces("string_split(id, '/')[-1]", "'file'", "loc", "complexity", "fan_in", "fan_out", "in_cycle"), ORACLES["tree_file_nodes"]),
+        ("e", "file edge", "src || '>' || dst", _pieces("weight"), ORACLES["tree_file_edges"]),
+        ("f", "fan in", "CAST(place AS VARCHAR)", _pieces("id", "fan_in"), ORACLES["tree_top_fan_in"]),
+        ("g", "package", "CAST(place AS VARCHAR)", _pieces("package", "n"), ORACLES["tree_packages"]),
+        ("h", "score", "category", _pieces("score", "100 - score"), f"SELECT k.repo_id, c AS category, coalesce(s.score, 100) AS score FROM (SELECT DISTINCT repo_id FROM ({ORACLES['audit_scores']}) y) k, (SELECT unnest([{sql_list(outputs.ORDER)}]) AS c) LEFT JOIN ({ORACLES['audit_scores']}) s ON s.repo_id = k.repo_id AND s.category = c"),
+        ("i", "made of", "category || ' ' || place", _pieces("penalty"), ORACLES["audit_contributions"]),
+        ("j", "finding", "id", _pieces("category", "severity", "penalty", "path", "line"), f"SELECT f.*, p.path, p.line FROM ({ORACLES['audit_findings']}) f LEFT JOIN (SELECT * FROM ({ORACLES['audit_places']}) z WHERE place = 1) p USING (repo_id, id)"),
+        ("k", "plan", "CAST(place AS VARCHAR)", _pieces("id", "impact", "effort"), ORACLES["audit_plan"]),
+        ("l", "language", "lang", _pieces("files", "loc"), f"{WALK} SELECT repo_id, coalesce(lang, 'Env/Key') AS lang, count(*) AS files, CAST(sum(lines) AS BIGINT) AS loc FROM loaded GROUP BY 1, 2"),
+        ("m", "advisory", "name || '@' || version", _pieces("ecosystem", "vulns"), ORACLES["tree_vulnerable"]),
+        ("n", "meta", "name", _pieces("owner", "stars", "license", "replace(pushed_at, ' ', 'T') || 'Z'", "contributors", "bus_factor", "archived"), ORACLES["repo_meta"]),
+        ("o", "stats", "'all'", _pieces("analysed", "files_total", "loc", "files_total > walked"), f"SELECT n.repo_id, n.analysed, n.loc, n.walked, w.files_total FROM ({WALK} SELECT k.repo_id, k.walked, count(l.path) AS analysed, CAST(coalesce(sum(l.lines), 0) AS BIGINT) AS loc FROM (SELECT repo_id, count(*) AS walked FROM walked GROUP BY 1) k LEFT JOIN loaded l ON l.repo_id = k.repo_id GROUP BY 1, 2) n JOIN ({ORACLES['tree_walk_stats']}) w ON w.repo_id = n.repo_id"),
+    )
+)
+
+
+@query(FIELDS)
+def result_fields(spark, d):
+    """Every member of the result documents, read again from their JSON, a row a field."""
+    r = _documents(spark, d).select("id", F.from_json("document", LA.RESULT).alias("r"))
+    told = lambda part, key, *xs: F.struct(F.lit(part).alias("part"), key.cast("string").alias("key"), F.concat_ws("|", *[F.coalesce(x.cast("string"), F.lit("")) for x in xs]).alias("value"))
+    each = lambda xs, f: F.coalesce(F.transform(xs, f), F.array().cast("array<struct<part:string,key:string,value:string>>"))
+    node = lambda part: lambda n: told(part, n["id"], n["label"], n["kind"], n["loc"], n["complexity"], n["fanIn"], n["fanOut"], n["inCycle"])
+    edge = lambda part: lambda e: told(part, F.concat(e["source"], F.lit(">"), e["target"]), e["weight"])
+    m = F.col("r.meta")
+    rows = [
+        each(F.col("r.architecture.nodes"), node("module")),
+        each(F.col("r.architecture.edges"), edge("module edge")),
+        each(F.flatten("r.architecture.cycles"), lambda x: told("module cycle", x)),
+        each(F.col("r.fileGraph.nodes"), node("file")),
+        each(F.col("r.fileGraph.edges"), edge("file edge")),
+        each(F.col("r.architecture.topFanIn"), lambda x, i: told("fan in", i + 1, x["id"], x["fanIn"])),
+        each(F.col("r.architecture.externalDeps"), lambda x, i: told("package", i + 1, x["name"], x["count"])),
+        each(F.col("r.scores.categories"), lambda x: told("score", x["key"], x["score"], x["penalty"])),
+        F.flatten(F.transform("r.scores.categories", lambda c: F.transform(c["contributions"], lambda x, i: told("made of", F.concat_ws(" ", c["key"], (i + 1).cast("string")), x["penalty"])))),
+        each(F.col("r.findings"), lambda x: told("finding", x["id"], x["category"], x["severity"], x["penalty"], x["file"], x["line"])),
+        each(F.col("r.plan"), lambda x: told("plan", x["rank"], x["relatedFindings"][0], x["impact"], x["effort"])),
+        each(F.map_entries("r.stats.byLanguage"), lambda x: told("language", x["key"], x["value"]["files"], x["value"]["loc"])),
+        each(F.col("r.vulnerableDeps"), lambda x: told("advisory", F.concat(x["name"], F.lit("@"), x["version"]), x["ecosystem"], F.array_join(x["vulns"]["id"], ","))),
+        F.when(m.isNotNull(), F.array(told("meta", m["name"], m["owner"], m["stars"], m["license"], m["pushedAt"], m["contributors"], m["busFactor"], m["archived"]))).otherwise(F.array().cast("array<struct<part:string,key:string,value:string>>")),
+        F.array(told("stats", F.lit("all"), F.col("r.stats.filesAnalyzed"), F.col("r.stats.filesTotal"), F.col("r.stats.totalLoc"), F.col("r.scores.confidence.partial"))),
+    ]
+    return r.select("id", F.explode(F.concat(*rows)).alias("x")).select("id", "x.*")
+
+
 @query(f"{FOUND}, {SCORED}, {GRADED} SELECT repo_id AS id, 'local' AS owner, repo_id AS repo, CAST(overall AS INTEGER) AS overall, grade, '2025-01-01T00:00:00Z' AS analyzed_at FROM graded")
 def result_list(spark, d):
     """Stored documents as a list: written to the shared folder, and only the listed fields read."""
-    path = f"{folder(spark)}/treegauge/results-{abs(hash(d))}"
+    path = f"{folder(spark)}/treegauge/results-{uuid.uuid4().hex}"
     LA.save_results(_documents(spark, d), path)
     return outputs.listed(LA.stored_results(spark, path))
 

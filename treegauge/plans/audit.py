@@ -19,8 +19,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -75,37 +76,74 @@ def credential_kind(base: Column) -> Column:
     return out
 
 
-@dataclass
+def told(df: DataFrame, progress: Progress | None, stage: str, percent: int, message: str, *more: Column) -> DataFrame:
+    """df written once; then progress hears its rows, and what more aggregates give, as they were counted while it was written."""
+    if progress is None:
+        return written(df)
+    seen = Observation()
+    out = written(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(f"more{i}") for i, c in enumerate(more)]))
+    progress(stage, percent, message % tuple(seen.get.values()))
+    return out
+
+
 class Parts:
-    """The tables that facts, findings and places are made of."""
+    """The tables that facts, findings and places are made of, each made when it is first asked for."""
+
+    def __init__(self, tree: DataFrame, advisories: DataFrame, fixed: bool = False, progress: Progress | None = None) -> None:
+        self.tree, self.advisories, self.fixed, self.progress = tree, advisories, fixed, progress
+
+    @cached_property
+    def files(self) -> DataFrame:
+        return told(walked(self.tree, self.fixed), self.progress, "parse", 30, "%d files are listed")
+
+    @cached_property
+    def code(self) -> DataFrame:
+        own = loaded(self.files, self.fixed).withColumn("code", L.strip(F.col("raw"), F.col("analysis")))
+        return told(own, self.progress, "parse", 45, "%d files are parsed, %d lines", F.coalesce(F.sum("lines"), F.lit(0)))
+
+    @cached_property
+    def functions(self) -> DataFrame:
+        return told(L.functions(self.code), self.progress, "quality", 55, "%d functions are measured")
+
+    @cached_property
+    def manifests(self) -> DataFrame:
+        return self.files.where("is_aux and raw is not null").select("repo_id", "path", F.col("raw").alias("content"))
+
+    @cached_property
+    def direct(self) -> DataFrame:
+        return D.direct_count(self.manifests)
+
+    @cached_property
+    def bad(self) -> DataFrame:
+        return told(D.vulnerable(D.pinned(self.manifests, self.fixed), self.advisories), self.progress, "security", 72, "%d dependencies have advisories")
+
+    @cached_property
+    def script(self) -> DataFrame:
+        return self.code.where(F.col("analysis").isin("js", "python"))
+
+    @cached_property
+    def clones(self) -> DataFrame:
+        return O.clone_groups(self.script, "code")
+
+    @cached_property
+    def refs(self) -> DataFrame:
+        return I.imported(self.script)
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return told(I.links(self.refs, self.script), self.progress, "graph", 80, "%d references are followed")
 
-    files: DataFrame
-    code: DataFrame
-    functions: DataFrame
-    direct: DataFrame
-    bad: DataFrame
-    clones: DataFrame
-    edges: DataFrame
-    links: DataFrame
-    refs: DataFrame
+    @cached_property
+    def edges(self) -> DataFrame:
+        return I.file_edges(self.links)
 
 
 def parts(tree: DataFrame, advisories: DataFrame, fixed: bool = False, progress: Progress | None = None) -> Parts:
-    say = progress or (lambda stage, percent, message: None)
-    say("parse", 30, "files are listed")
-    files = written(walked(tree, fixed))
-    own = loaded(files, fixed)
-    code = written(own.withColumn("code", L.strip(F.col("raw"), F.col("analysis"))))
-    say("quality", 55, "functions are measured")
-    functions = written(L.functions(code))
-    manifests = files.where("is_aux and raw is not null").select("repo_id", "path", F.col("raw").alias("content"))
-    say("security", 65, "versions are looked up")
-    bad = D.vulnerable(D.pinned(manifests, fixed), advisories)
-    script = code.where(F.col("analysis").isin("js", "python"))
-    say("graph", 80, "references are followed")
-    refs = I.imported(script)
-    found = written(I.links(refs, script))
-    return Parts(files, code, functions, D.direct_count(manifests), bad, O.clone_groups(script, "code"), I.file_edges(found), found, refs)
+    """All parts in the order of a run, so that progress hears of each after its rows are there."""
+    p = Parts(tree, advisories, fixed, progress)
+    for name in ("files", "code", "functions", "bad", "links"):
+        getattr(p, name)
+    return p
 
 
 def _file_facts(files: DataFrame, fixed: bool) -> DataFrame:
@@ -164,7 +202,7 @@ def known(p: Parts, meta: DataFrame, now: datetime, fixed: bool = False) -> Data
     script = p.code.where(F.col("analysis").isin("js", "python"))
     twice = O.clone_ratio(script, "code").select("repo_id", F.col("ratio").alias("clones"))
     blocks = p.clones.groupBy("repo_id").agg(F.count(F.lit(1)).alias("blocks"))
-    loops = _loops(p).groupBy("repo_id").agg(F.count_distinct("cycle").alias("cycles"))
+    loops = cycles_of(p).groupBy("repo_id").agg(F.count_distinct("cycle").alias("cycles"))
     about = meta.select("repo_id", "license", "contributors", "bus_factor", "archived", "pushed_at", "languages")
     out = _file_facts(p.files, fixed)
     for more in (_code_facts(p.code), f, p.direct, bad, crowded, twice, blocks, loops, A.unresolved(p.links), about):
@@ -180,7 +218,7 @@ def known(p: Parts, meta: DataFrame, now: datetime, fixed: bool = False) -> Data
     return written(out.fillna(0, zero).fillna(0.0, ["mean_complex", "clones"]).fillna(False, ["has_js", "archived"]))
 
 
-def _loops(p: Parts) -> DataFrame:
+def cycles_of(p: Parts) -> DataFrame:
     """(repo_id, cycle, id) of the cycles among a repository's first modules and heaviest edges."""
     script = p.code.where(F.col("analysis").isin("js", "python"))
     nodes = A.module_nodes(script, p.functions)
@@ -309,7 +347,7 @@ def places(p: Parts) -> DataFrame:
     crowd = p.code.where(F.contains("path", F.lit("/"))).groupBy("repo_id", folder.alias("path")).agg(F.count(F.lit(1)).alias("n")).where("n >= 50")
     bad = D.top_vulnerable(p.bad)
     clone = O.clone_places(script, most=3, text="code")
-    loop = _loops(p).groupBy("repo_id", "cycle").agg(F.array_join(F.array_sort(F.collect_list("id")), " > ").alias("x"))
+    loop = cycles_of(p).groupBy("repo_id", "cycle").agg(F.array_join(F.array_sort(F.collect_list("id")), " > ").alias("x"))
     every = [
         row(S.first_matches(_scanned(p.code)), F.col("pattern"), path, line, F.concat(F.left("value", F.lit(6)), F.lit("…"))),
         row(O.first_lines(O.pattern_lines(p.code)), F.col("pattern"), path, line, no.cast("string")),

@@ -111,26 +111,6 @@ def digest(graded: DataFrame, scores: DataFrame, stats: DataFrame, found: DataFr
     return x.select("repo_id", lines.alias("digest"))
 
 
-def documents(graded: DataFrame, scores: DataFrame, stats: DataFrame, found: DataFrame, plan: DataFrame, notes: DataFrame, at: str) -> DataFrame:
-    """(id, document): one JSON text a repository, of the shape that sources/landed.py reads. found: audit.detailed()."""
-    pack = lambda df, name, *cols, by: df.groupBy("repo_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(by).alias("_k"), F.struct(*cols).alias("x")))), lambda s: s["x"]).alias(name))
-    label = F.create_map(*[F.lit(x) for pair in R.LABELS.items() for x in pair])[F.col("category")]
-    c = pack(scores, "categories", F.col("category").alias("key"), label.alias("label"), "score", "penalty", by="category")
-    f = pack(found, "findings", "id", "category", "severity", "title", "detail", "file", "line", "metric", "penalty", by="seq")
-    p = pack(plan, "plan", F.col("place").alias("rank"), "title", "impact", "effort", F.array("id").alias("relatedFindings"), by="place")
-    x = graded.join(stats, "repo_id").join(notes, "repo_id", "left")
-    for more in (c, f, p):
-        x = x.join(more, "repo_id", "left")
-    name = F.col("repo_id").cast("string")
-    body = F.struct(
-        name.alias("id"),
-        F.struct(F.lit(None).cast("string").alias("url"), F.lit("local").alias("owner"), name.alias("name"), F.lit("main").alias("ref")).alias("repo"),
-        F.struct("overall", "grade", "categories", F.struct(F.col("analysed").alias("filesAnalyzed"), F.col("files").alias("filesTotal"), F.col("partial").alias("partial")).alias("confidence")).alias("scores"),
-        "findings", "plan", F.struct(F.col("analysed").alias("filesAnalyzed"), F.col("files").alias("filesTotal"), F.col("loc").alias("totalLoc")).alias("stats"), "notes", F.lit(at).alias("analyzedAt"),
-    )
-    return x.select(name.alias("id"), F.to_json(body).alias("document"))
-
-
 def listed(results: DataFrame) -> DataFrame:
     """(id, owner, repo, overall, grade, analyzed_at) of stored results: only these fields are read."""
     return results.select("id", "repo.owner", F.col("repo.name").alias("repo"), "scores.overall", "scores.grade", F.col("analyzedAt").alias("analyzed_at"))

@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 from treegauge.functions import rules as R
 from treegauge.workers import ship
 
-META = "repo_id string, owner string, name string, description string, stars long, forks long, open_issues long, default_branch string, primary_language string, languages array<string>, license string, created_at timestamp, pushed_at timestamp, contributors int, bus_factor int, archived boolean"
+META = "repo_id string, owner string, name string, description string, stars long, forks long, open_issues long, default_branch string, primary_language string, languages array<string>, license string, created_at timestamp, pushed_at timestamp, contributors int, bus_factor int, archived boolean, language_bytes map<string,bigint>"
 JOB = "id string, repoUrl string, owner string, repo string, status string, stage string, progress int, message string, createdAt string, finishedAt string, error string, cached boolean, resultId string, summary struct<overall:int,grade:string>"
+GRAPH = "struct<level:string,nodes:array<struct<id:string,label:string,kind:string,loc:long,complexity:int,fanIn:long,fanOut:long,inCycle:boolean>>,edges:array<struct<source:string,target:string,weight:long>>,cycles:array<array<string>>,topFanIn:array<struct<id:string,fanIn:long>>,externalDeps:array<struct<name:string,count:long>>,unresolvedImports:long>"
 RESULT = (
-    "id string, repo struct<url:string,owner:string,name:string,ref:string>, scores struct<overall:int,grade:string,categories:array<struct<key:string,label:string,score:int,penalty:int>>,confidence:struct<filesAnalyzed:int,filesTotal:int,languages:array<string>,partial:boolean>>, "
-    "findings array<struct<id:string,category:string,severity:string,title:string,detail:string,file:string,line:int,metric:string,penalty:int>>, plan array<struct<rank:int,title:string,impact:string,effort:string,relatedFindings:array<string>>>, "
-    "stats struct<filesAnalyzed:int,filesTotal:int,totalLoc:long,byLanguage:map<string,struct<files:int,loc:long>>>, notes array<string>, analyzedAt string"
+    "id string, repo struct<url:string,owner:string,name:string,ref:string>, meta struct<owner:string,name:string,description:string,stars:long,forks:long,openIssues:long,defaultBranch:string,primaryLanguage:string,languages:map<string,long>,license:string,createdAt:string,pushedAt:string,contributors:int,busFactor:int,archived:boolean>, "
+    "scores struct<overall:int,grade:string,categories:array<struct<key:string,label:string,score:int,penalty:int,contributions:array<struct<title:string,penalty:int>>,note:string>>,confidence:struct<filesAnalyzed:int,filesTotal:int,languages:array<string>,partial:boolean>>, "
+    "findings array<struct<id:string,category:string,severity:string,title:string,detail:string,file:string,line:int,metric:string,penalty:int,link:string>>, "
+    f"architecture {GRAPH}, fileGraph {GRAPH}, prescription struct<text:string,provider:string,generatedAt:string>, plan array<struct<rank:int,title:string,detail:string,impact:string,effort:string,relatedFindings:array<string>>>, "
+    "stats struct<filesAnalyzed:int,filesTotal:int,totalLoc:long,durationMs:long,byLanguage:map<string,struct<files:int,loc:long>>>, vulnerableDeps array<struct<name:string,version:string,ecosystem:string,vulns:array<struct<id:string,summary:string,url:string>>>>, notes array<string>, analyzedAt string"
 )
 MOST_BYTES = 150 << 20
 
@@ -64,14 +67,14 @@ def repo_meta(landed: DataFrame) -> DataFrame:
     return x.select(
         "repo_id", F.col("r.owner.login").alias("owner"), F.col("r.name").alias("name"), F.col("r.description").alias("description"), F.col("r.stargazers_count").alias("stars"), F.col("r.forks_count").alias("forks"), F.col("r.open_issues_count").alias("open_issues"),
         F.col("r.default_branch").alias("default_branch"), F.col("r.language").alias("primary_language"), by_bytes.alias("languages"), license_.alias("license"), F.col("r.created_at").alias("created_at"), F.col("r.pushed_at").alias("pushed_at"),
-        F.size("c").alias("contributors"), bus.cast("int").alias("bus_factor"), F.coalesce("r.archived", F.lit(False)).alias("archived"),
+        F.size("c").alias("contributors"), bus.cast("int").alias("bus_factor"), F.coalesce("r.archived", F.lit(False)).alias("archived"), F.col("l").alias("language_bytes"),
     )
 
 
 def local_meta(repos: DataFrame, now: datetime) -> DataFrame:
     """META rows for trees (repo_id) of a local folder: one contributor, no languages, just pushed."""
     none = lambda kind: F.lit(None).cast(kind)
-    return repos.select("repo_id", F.lit("local").alias("owner"), F.col("repo_id").cast("string").alias("name"), F.lit("(local folder)").alias("description"), *[F.lit(0).cast("long").alias(c) for c in ("stars", "forks", "open_issues")], F.lit("main").alias("default_branch"), none("string").alias("primary_language"), F.array().cast("array<string>").alias("languages"), none("string").alias("license"), none("timestamp").alias("created_at"), F.lit(now).alias("pushed_at"), F.lit(1).alias("contributors"), F.lit(1).alias("bus_factor"), F.lit(False).alias("archived"))
+    return repos.select("repo_id", F.lit("local").alias("owner"), F.col("repo_id").cast("string").alias("name"), F.lit("(local folder)").alias("description"), *[F.lit(0).cast("long").alias(c) for c in ("stars", "forks", "open_issues")], F.lit("main").alias("default_branch"), none("string").alias("primary_language"), F.array().cast("array<string>").alias("languages"), none("string").alias("license"), none("timestamp").alias("created_at"), F.lit(now).alias("pushed_at"), F.lit(1).alias("contributors"), F.lit(1).alias("bus_factor"), F.lit(False).alias("archived"), F.create_map().cast("map<string,bigint>").alias("language_bytes"))
 
 
 def archives(spark: SparkSession, path: str, most: int = MOST_BYTES) -> tuple[DataFrame, DataFrame]:
