@@ -183,7 +183,7 @@ def dup_groups(spark, d):
 
 @query(f"SELECT e.repo_id, e.eligible, CAST(coalesce(g.d, 0) AS BIGINT) AS duplicated, round(coalesce(g.d, 0) / e.eligible, 6) AS ratio FROM (SELECT repo_id, count(*) AS eligible FROM {CLONE} GROUP BY 1) e LEFT JOIN (SELECT repo_id, sum((n - 1) * 7) AS d FROM {GROUPS} GROUP BY 1) g USING (repo_id)")
 def dup_ratio(spark, d):
-    return O.clone_ratio(sources(spark, d)).withColumn("ratio", F.round("ratio", 6))
+    return O.clone_ratio(sources(spark, d)).drop("blocks").withColumn("ratio", F.round("ratio", 6))
 
 
 @query(f"SELECT * FROM (SELECT repo_id, key, n, row_number() OVER (PARTITION BY repo_id ORDER BY least(n, 4) DESC, f.path, f.line, key) AS place FROM {GROUPS}) WHERE place <= 6")

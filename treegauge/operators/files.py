@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from treegauge.functions import rules as R
 from treegauge.functions import text as T
+from treegauge.scratch import written
 
 
 def language_dim(spark: SparkSession) -> DataFrame:
@@ -40,11 +41,21 @@ def file_cap(files: DataFrame, most: int) -> DataFrame:
 
 
 def text_budget(files: DataFrame, most: int) -> DataFrame:
-    """Files in file order until the units of their texts pass `most`; the crossing file is kept. before: the units until then."""
-    w = Window.partitionBy("repo_id").orderBy(T.file_order()).rowsBetween(Window.unboundedPreceding, -1)
-    light = files.select("repo_id", "path", T.units(F.col("raw")).alias("units"))
-    kept = light.select("repo_id", "path", F.coalesce(F.sum("units").over(w), F.lit(0)).alias("before")).where(F.col("before") <= most)
-    return files.join(kept, ["repo_id", "path"])
+    """Files in file order until the units of their texts pass `most`; the crossing file is kept. before: the units until then.
+
+    Prefix sums of two levels: keys are dealt to tasks by ranges of the file order, each range adds up inside
+    itself, and what comes before it are the sums of the ranges before. So a task holds a range, however
+    large a repository is. The ranges are written, so that a task that runs again finds the same ones.
+    """
+    order = T.file_order().alias("order")
+    light = files.select("repo_id", "path", order, T.units(F.col("raw")).alias("units"))
+    dealt = written(light.repartitionByRange("repo_id", "order").withColumn("range", F.spark_partition_id()))
+    sums = dealt.groupBy("repo_id", "range").agg(F.sum("units").alias("units"))
+    ahead = lambda w: F.coalesce(F.sum("units").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    above = sums.select("repo_id", "range", ahead(Window.partitionBy("repo_id").orderBy("range")).alias("above")).where(F.col("above") <= most)
+    inside = dealt.select("repo_id", "path", "range", ahead(Window.partitionBy("repo_id", "range").orderBy("order")).alias("inside"))
+    kept = inside.join(above, ["repo_id", "range"]).select("repo_id", "path", (F.col("above") + F.col("inside")).alias("before"))
+    return files.join(kept.where(F.col("before") <= most), ["repo_id", "path"])
 
 
 def lines(files: DataFrame, text: str = "raw") -> DataFrame:
@@ -93,10 +104,10 @@ def clone_groups(files: DataFrame, text: str = "raw") -> DataFrame:
 
 
 def clone_ratio(files: DataFrame, text: str = "raw") -> DataFrame:
-    """(repo_id, eligible, duplicated, ratio); overlapping windows count at full weight. One pass over the lines gives both."""
+    """(repo_id, eligible, duplicated, ratio, blocks); overlapping windows count at full weight, blocks are clone_groups. One pass over the lines gives all."""
     n = _runs(files, text).groupBy("repo_id", "key").agg(F.count(F.lit(1)).alias("n"))
     again = F.when(F.col("key").isNotNull(), (F.col("n") - 1) * R.CLONE_LINES).otherwise(0)
-    out = n.groupBy("repo_id").agg(F.sum("n").alias("eligible"), F.sum(again).alias("duplicated"))
+    out = n.groupBy("repo_id").agg(F.sum("n").alias("eligible"), F.sum(again).alias("duplicated"), F.count(F.when(F.col("key").isNotNull() & (F.col("n") > 1), 1)).alias("blocks"))
     return out.withColumn("ratio", F.try_divide("duplicated", "eligible"))
 
 

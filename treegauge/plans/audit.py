@@ -193,27 +193,26 @@ def _code_facts(code: DataFrame) -> DataFrame:
 
 
 def known(p: Parts, meta: DataFrame, now: datetime, fixed: bool = False) -> DataFrame:
-    """One row of facts a repository, written once."""
+    """One row of facts a repository, written once: rows of every kind of fact are put under each other, and one aggregate takes each column's only value."""
     f = p.functions.groupBy("repo_id").agg(F.count(F.lit(1)).alias("functions"), F.sum(F.when(F.col("complexity") > 15, 1).otherwise(0)).alias("complex"), F.max("complexity").alias("most_complex"), F.avg("complexity").alias("mean_complex"), F.max("nesting").alias("nesting"), F.sum(F.when(F.col("nesting") > 5, 1).otherwise(0)).alias("deep"))
     bad = p.bad.groupBy("repo_id").agg(F.sum(F.size("vulns")).alias("vulns"), F.count(F.lit(1)).alias("bad_deps"))
     folder = F.regexp_extract("path", "^(.*)/", 1)
     each = p.code.where(F.contains("path", F.lit("/"))).groupBy("repo_id", folder.alias("dir")).agg(F.count(F.lit(1)).alias("n"))
     crowded = each.groupBy("repo_id").agg(F.max("n").alias("crowd"), F.sum(F.when(F.col("n") >= 50, 1).otherwise(0)).alias("crowds"))
-    script = p.code.where(F.col("analysis").isin("js", "python"))
-    twice = O.clone_ratio(script, "code").select("repo_id", F.col("ratio").alias("clones"))
-    blocks = p.clones.groupBy("repo_id").agg(F.count(F.lit(1)).alias("blocks"))
+    twice = O.clone_ratio(p.script, "code").select("repo_id", F.col("ratio").alias("clones"), "blocks")
     loops = cycles_of(p).groupBy("repo_id").agg(F.count_distinct("cycle").alias("cycles"))
     about = meta.select("repo_id", "license", "contributors", "bus_factor", "archived", "pushed_at", "languages")
-    out = _file_facts(p.files, fixed)
-    for more in (_code_facts(p.code), f, p.direct, bad, crowded, twice, blocks, loops, A.unresolved(p.links), about):
-        out = out.join(more, "repo_id", "left")
-    months = (F.lit(now.timestamp()) - F.unix_timestamp("pushed_at")) / (86400 * 30)
-    out = out.withColumn("idle_months", months).withColumn("ratio", F.coalesce(F.try_divide("test_loc", "source_loc"), F.lit(0.0)))
+    more = [_code_facts(p.code), f, p.direct, bad, crowded, twice, loops, A.unresolved(p.links), about]
     if fixed:
-        doc = script.groupBy("repo_id").agg(F.sum(F.regexp_count("raw", F.lit(r'\*/\s*\n\s*(?:export\s+)?(?:async\s+)?function\b|def [^\n]*:\s*\n\s*(?:"""|\x27\x27\x27)'))).alias("documented"))
-        out = out.join(doc, "repo_id", "left")
-    else:
+        more.append(p.script.groupBy("repo_id").agg(F.sum(F.regexp_count("raw", F.lit(r'\*/\s*\n\s*(?:export\s+)?(?:async\s+)?function\b|def [^\n]*:\s*\n\s*(?:"""|\x27\x27\x27)'))).alias("documented")))
+    out = _file_facts(p.files, fixed).withColumn("here", F.lit(True))
+    for rows in more:
+        out = out.unionByName(rows, allowMissingColumns=True)
+    out = out.groupBy("repo_id").agg(*[F.first(c, ignorenulls=True).alias(c) for c in out.columns if c != "repo_id"]).where("here").drop("here")
+    if not fixed:
         out = out.withColumn("documented", F.lit(0).cast("long"))
+    months = (F.lit(now.timestamp()) - F.unix_timestamp("pushed_at")) / (86400 * 30)
+    out = out.withColumn("idle_months", months).withColumn("ratio", F.coalesce(F.try_divide("test_loc", "source_loc"), F.lit(0.0)))
     zero = ["analysed", "loc", "comments", "test_loc", "source_loc", "test_files", "longest", "very_long", "rather_long", "markers", "credentials", "credential", "functions", "complex", "most_complex", "nesting", "deep", "direct", "vulns", "bad_deps", "crowd", "crowds", "blocks", "cycles", "unresolved", "contributors", "bus_factor", "documented"]
     return written(out.fillna(0, zero).fillna(0.0, ["mean_complex", "clones"]).fillna(False, ["has_js", "archived"]))
 
