@@ -1,6 +1,7 @@
 """Lexers, function extraction, manifests, the directory source and the stream."""
 
 import json
+import random
 
 import pytest
 from hypothesis import given
@@ -38,6 +39,16 @@ def test_length_is_kept(src):
     assert len(L.strip_python(src)) == len(src)
 
 
+def test_python_is_stripped_alike_in_the_jvm(spark):
+    rng = random.Random(7)
+    texts = ["".join(rng.choices(["a", " ", "\n", "#", '"', "'", "\\", '"""', "'''", "\U0001f600"], k=rng.randint(0, 40))) for _ in range(1500)]
+    texts += ["", '"', "'", "#", "\\", '"\\', "a'\\", '"a\\\nb" c', '"""' + "x'\n\\y" * 60_000, '"' + "\\a" * 100_000, "#" * 100_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(-1, None)], "i int, t string")
+    got = {r.i: r.s for r in df.select("i", L.stripped_python(F.col("t")).alias("s")).collect()}
+    assert got.pop(-1) is None
+    assert [got[i] for i in range(len(texts))] == [L.strip_python(t) for t in texts]
+
+
 def test_functions(spark):
     js = "function top(a) {\n  if (a && b) {\n    return a ? 1 : 2;\n  }\n}\nconst f = (x): number => x > 1 || y ? 1 : 2;\n"
     py = "def f(a):\n    if a and b:\n        x = 1\n    for y in a:\n        pass\n"

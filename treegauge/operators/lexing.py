@@ -68,16 +68,30 @@ def strip_python(src: str) -> str:
     return PY_MARK.sub(lambda m: _blank(m.group()), src)
 
 
+#: Marks of Python, else what stands between them. Groups are possessive: they never give back, so the matcher needs no stack however long a text is.
+PY_TOKENS = r"(?s)#[^\n]*+|(\"\"\"|''')(?:\\.|(?!\1).)*+(?:\1|\z)|\"(?:\\.|[^\"\\\n])*+(?:\"|\n|\z)|'(?:\\.|[^'\\\n])*+(?:'|\n|\z)|[^#\"']++|."
+
+
+def stripped_python(raw: Column) -> Column:
+    """What strip_python gives, without Python: the text's tokens, marks blanked, put together again."""
+    tokens = F.regexp_extract_all(raw, F.lit(PY_TOKENS), F.lit(0))
+    blank = lambda x: F.regexp_replace(F.regexp_replace(x, r"\\\n", "  "), r"[^\n]", " ")
+    # a quote alone that isn't the last token has no end: a backslash ends the text
+    mark = lambda x, i: x.rlike("^[#\"']") & ((F.char_length(x) > 1) | (x == "#") | (i == F.size(tokens) - 1))
+    return F.array_join(F.transform(tokens, lambda x, i: F.when(mark(x, i), blank(x)).otherwise(x)), "")
+
+
 def strip(raw: Column, analysis: Column) -> Column:
-    """The code of raw for its kind of analysis."""
+    """The code of raw for its kind of analysis. Whether a slash divides hangs on all code before it, so JavaScript's lexer is Python; texts of Python never go there."""
 
     ship(SparkSession.active())
 
     @F.pandas_udf("string")
-    def lexed(texts: pd.Series, kinds: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else strip_python(t) if k == "python" else strip_js(t) for t, k in zip(texts, kinds, strict=True)])
+    def lexed(texts: pd.Series) -> pd.Series:
+        return texts.map(strip_js, na_action="ignore")
 
-    return lexed(raw, analysis)
+    python = analysis == "python"
+    return F.when(python, stripped_python(F.when(python, raw))).otherwise(lexed(F.when(~F.coalesce(python, F.lit(False)), raw)))
 
 
 PY_DEF = re.compile(r"^(\s*)(?:async\s+)?def\s+([A-Za-z0-9_]+)\s*\(")
