@@ -15,6 +15,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from treegauge import sql as audit_sql
 from treegauge import trees as TR
 from treegauge.functions import rules as R
 from treegauge.functions import text as T
@@ -418,6 +419,44 @@ def audit_grades(spark, d):
     return audit.report(known, found)
 
 
+#: The whole grade of a repository in SQL, over the views and functions of treegauge/sql.py.
+SQL_GRADES = """
+WITH points AS (SELECT repo_id, category, sum(penalty) AS lost, count_if(severity = 'critical') AS critical, max(id = 'documentation.readme') AS bare,
+    sum(CASE WHEN id IN ('testing.notests', 'testing.ratio') THEN 0 ELSE penalty END) AS rest FROM audit_findings GROUP BY ALL),
+curve AS (SELECT repo_id, CASE WHEN source_loc = 0 THEN 0 ELSE greatest(0, 100 - least(100, floor(test_loc / source_loc / 0.6D * 100 + 0.5D))) END AS lost FROM audit_facts),
+score AS (
+    SELECT repo_id, category, least(100 - least(100, lost), CASE WHEN critical >= 2 THEN 35 WHEN critical = 1 THEN 55 ELSE 100 END, CASE WHEN bare THEN 12 ELSE 100 END) AS score FROM points WHERE category <> 'testing'
+    UNION ALL SELECT c.repo_id, 'testing', greatest(5, least(100, 100 - c.lost - coalesce(p.rest, 0))) FROM curve c LEFT JOIN points p ON p.repo_id = c.repo_id AND p.category = 'testing'),
+overall AS (SELECT repo_id, CAST(floor(round(sum(weight * coalesce(score, 100)), 6) + 0.5D) AS BIGINT) AS overall
+    FROM (SELECT f.repo_id, w.category, w.weight FROM audit_facts f CROSS JOIN VALUES ('security', 0.25D), ('quality', 0.25D), ('testing', 0.20D), ('documentation', 0.15D), ('maintainability', 0.15D) w(category, weight)) LEFT JOIN score USING (repo_id, category) GROUP BY repo_id)
+SELECT f.repo_id, f.files, f.loc, coalesce(n.findings, 0) AS findings, o.overall, tg_grade(o.overall) AS grade
+FROM audit_facts f JOIN overall o USING (repo_id) LEFT JOIN (SELECT repo_id, count(*) AS findings FROM audit_findings GROUP BY 1) n USING (repo_id)"""
+
+
+@query(ORACLES["audit_grades"])
+def sql_audit_grades(spark, d):
+    """audit_grades by SQL alone, over published views."""
+    r = _Run(spark, d)
+    audit_sql.register(spark)
+    run = results.Analysis(r.p, r.known, r.found, r.scores, r.graded, audit.plan(r.found), r.notes, r.meta, r.meta)
+    audit_sql.publish(spark, run)
+    return spark.sql(SQL_GRADES)
+
+
+@query(ORACLES["tree_pinned"])
+def sql_tree_pinned(spark, d):
+    """Pinned versions by the table function of manifests, nested locks beside it."""
+    r = _Run(spark, d)
+    audit_sql.register(spark)
+    r.p.manifests.createOrReplaceTempView("audit_manifests")
+    older = r.p.manifests.where("path = 'package-lock.json' AND get_json_object(content, '$.packages') IS NULL")
+    D.nested_versions(older).createOrReplaceTempView("audit_nested")
+    return spark.sql("""SELECT DISTINCT repo_id, ecosystem, name, version FROM (
+    SELECT m.repo_id, CASE WHEN path IN ('package-lock.json', 'pnpm-lock.yaml') THEN 'npm' WHEN path = 'Cargo.lock' THEN 'cargo' WHEN path = 'composer.lock' THEN 'composer' ELSE 'pip' END AS ecosystem, p.name, p.version
+    FROM audit_manifests m, LATERAL tg_pinned(m.path, m.content) p UNION ALL SELECT repo_id, 'npm', name, version FROM audit_nested)
+WHERE name <> '' AND version RLIKE '^[0-9]' AND NOT contains(version, '*')""")
+
+
 PLAN = "(VALUES " + ", ".join(f"({i}, '{id_}', '{impact}', '{effort}')" for i, (id_, impact, effort, _) in enumerate(R.PLAN)) + ") v(k, id, impact, effort)"
 PLACED = f"planned AS (SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY list_position(['high', 'medium', 'low'], impact), list_position(['low', 'medium', 'high'], effort), k) AS place, id, impact, effort FROM found JOIN {PLAN} USING (id))"
 

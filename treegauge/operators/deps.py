@@ -25,8 +25,8 @@ def direct_count(manifests: DataFrame) -> DataFrame:
 
 
 def _pairs(pattern: str) -> Column:
-    both = F.arrays_zip(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)).alias("name"), F.regexp_extract_all("content", F.lit(pattern), F.lit(2)).alias("version"))
-    return F.transform(both, lambda x: F.struct(x["name"].alias("name"), x["version"].alias("version")))
+    part = lambda i: F.regexp_extract_all("content", F.lit(pattern), F.lit(i))
+    return F.zip_with(part(1), part(2), lambda name, version: F.struct(name.alias("name"), version.alias("version")))
 
 
 def nested_versions(locks: DataFrame) -> DataFrame:
@@ -49,14 +49,14 @@ def nested_versions(locks: DataFrame) -> DataFrame:
             return found
 
 
-def pinned(manifests: DataFrame, fixed: bool = False) -> DataFrame:
-    """(repo_id, ecosystem, name, version): distinct exact versions, which begin with a digit.
+def _lock() -> Column:
+    return F.map_entries(F.from_json(F.get_json_object("content", "$.packages"), "map<string,struct<version:string>>"))
 
-    Yarn and Go locks give nothing in the rules' compatible mode; with fixed, they are read too.
-    """
+
+def pins(fixed: bool = False) -> Column:
+    """Names and versions in a manifest (path, content), of every form but nested locks; see pinned()."""
     none = F.array().cast(PAIRS)
-    lock = F.map_entries(F.from_json(F.get_json_object("content", "$.packages"), "map<string,struct<version:string>>"))
-    plain = F.filter(lock, lambda e: ~e["key"].isin("", "node_modules") & ~F.regexp_replace(e["key"], "^node_modules/", "").contains("/node_modules/"))
+    plain = F.filter(_lock(), lambda e: ~e["key"].isin("", "node_modules") & ~F.regexp_replace(e["key"], "^node_modules/", "").contains("/node_modules/"))
     npm = F.transform(plain, lambda e: F.struct(F.regexp_replace(e["key"], "^node_modules/", "").alias("name"), e["value"]["version"].alias("version")))
     php = F.concat(*[F.coalesce(F.from_json(F.get_json_object("content", f"$['{s}']"), PAIRS), none) for s in ("packages", "packages-dev")])
     php = F.transform(php, lambda x: F.struct(x["name"].alias("name"), F.regexp_replace(x["version"], "^v", "").alias("version")))
@@ -74,12 +74,20 @@ def pinned(manifests: DataFrame, fixed: bool = False) -> DataFrame:
         yarn = _pairs(r'(?m)^"?(@?[^@"\s,]+)@[^\n]*:\r?\n\s+version:? "?([^"\s]+)"?')
         go = _pairs(r"(?m)^(\S+) v([^\s/]+) h1:")
         rows = rows.when(of == "yarn.lock", yarn).when(of == "go.sum", go)
+    return F.coalesce(rows, none)
+
+
+def pinned(manifests: DataFrame, fixed: bool = False) -> DataFrame:
+    """(repo_id, ecosystem, name, version): distinct exact versions, which begin with a digit.
+
+    Yarn and Go locks give nothing in the rules' compatible mode; with fixed, they are read too.
+    """
+    of = F.col("path")
     ecosystem = F.when(of.isin("package-lock.json", "pnpm-lock.yaml", "yarn.lock"), "npm").when(of == "Cargo.lock", "cargo").when(of == "composer.lock", "composer").when(of == "go.sum", "go").otherwise("pip")
-    read = manifests.select("repo_id", ecosystem.alias("ecosystem"), F.explode(F.coalesce(rows, none)).alias("x"))
+    read = manifests.select("repo_id", ecosystem.alias("ecosystem"), F.explode(pins(fixed)).alias("x"))
     # the older form of this lock file nests
-    older = manifests.where((of == "package-lock.json") & (F.coalesce(F.size(lock), F.lit(0)) <= 0) & F.get_json_object("content", "$.dependencies").isNotNull())
-    read = read.select("repo_id", "ecosystem", "x.*").unionByName(nested_versions(older).select("repo_id", F.lit("npm").alias("ecosystem"), "name", "version"))
-    out = read
+    older = manifests.where((of == "package-lock.json") & (F.coalesce(F.size(_lock()), F.lit(0)) <= 0) & F.get_json_object("content", "$.dependencies").isNotNull())
+    out = read.select("repo_id", "ecosystem", "x.*").unionByName(nested_versions(older).select("repo_id", F.lit("npm").alias("ecosystem"), "name", "version"))
     return out.where((F.col("name") != "") & F.col("version").rlike("^[0-9]") & ~F.col("version").contains("*")).distinct()
 
 
