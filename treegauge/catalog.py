@@ -22,7 +22,7 @@ from treegauge.operators import imports as I
 from treegauge.operators import lexing as L
 from treegauge.operators import secrets as S
 from treegauge.operators import versions as V
-from treegauge.plans import audit, health, scoring
+from treegauge.plans import audit, health, outputs, scoring
 from treegauge.sources import landed
 
 from .catalog_trees import secret_sql
@@ -457,6 +457,27 @@ def job_latest(spark, d):
     return _jobs(spark, d).select("job_id", "seq", "status")
 
 
+@query(f"""SELECT job_id, '{{"job":{{"id":' || job_id || ',"seq":' || seq || ',"status":"' || status || '","result_id":' || (seq // 2) || '}}' || CASE WHEN status = 'done' AND o_orderkey IS NOT NULL THEN ',"result":{{"id":' || o_orderkey || '}}' ELSE '' END || '}}' AS body FROM {LATEST} LEFT JOIN orders ON o_orderkey = seq // 2""")
+def job_status(spark, d):
+    """What a caller who asks for a job gets: the job, and its result once it is done."""
+    jobs = _jobs(spark, d).select("job_id", "seq", "status", F.expr("seq div 2").alias("result_id"))
+    return outputs.status(jobs, _t(spark, d, "orders").select(F.col("o_orderkey").alias("result_id"), F.format_string('{"id":%d}', "o_orderkey").alias("document")))
+
+
+ANSWERS = "(SELECT page_id // 3 AS repo_id, ['repo', 'languages', 'contributors'][page_id % 3 + 1] AS what, [200, 200, 404, 403, 200, 500, 429][page_id % 7 + 1] AS status, page_id % 2 AS remaining, url AS body FROM pages)"
+
+
+@query(f"""WITH a AS (SELECT *, CASE WHEN status IN (403, 429) AND remaining = 0 THEN 'limit' WHEN status IN (403, 429) THEN 'refused' WHEN status = 404 THEN 'missing' WHEN status // 100 <> 2 THEN 'failed' END AS error FROM {ANSWERS})
+SELECT r.repo_id, r.error, CASE WHEN r.error IS NULL THEN r.body END AS repo, CASE WHEN r.error IS NULL AND l.error IS NULL THEN l.body END AS languages, CASE WHEN r.error IS NULL AND c.error IS NULL THEN c.body END AS contributors
+FROM a r LEFT JOIN a l ON l.repo_id = r.repo_id AND l.what = 'languages' LEFT JOIN a c ON c.repo_id = r.repo_id AND c.what = 'contributors' WHERE r.what = 'repo'""")
+def landed_answers(spark, d):
+    """Answers of a code host with their status: what can be read on, and what was refused."""
+    pick = lambda xs, k: F.get(F.array(*map(F.lit, xs)), F.expr(f"CAST({k} AS INT)"))
+    rows = _t(spark, d, "pages").select(F.expr("page_id div 3").alias("repo_id"), pick(["repo", "languages", "contributors"], "page_id % 3").alias("what"), pick([200, 200, 404, 403, 200, 500, 429], "page_id % 7").alias("status"), F.expr("page_id % 2").alias("remaining"), F.col("url").alias("body"))
+    fine, bad = landed.answers(rows)
+    return fine.withColumn("error", F.lit(None).cast("string")).unionByName(bad.drop("status"), allowMissingColumns=True)
+
+
 @query(f"SELECT job_id, seq FROM {LATEST} ORDER BY seq DESC LIMIT 200")
 def job_retention(spark, d):
     return J.retained(_jobs(spark, d)).select("job_id", "seq")

@@ -457,6 +457,17 @@ def sql_tree_pinned(spark, d):
 WHERE name <> '' AND version RLIKE '^[0-9]' AND NOT contains(version, '*')""")
 
 
+_NODES, _EDGES = ORACLES["tree_module_nodes"], ORACLES["tree_module_edges"]
+
+
+@query(f"SELECT repo_id, id, CASE WHEN in_cycle THEN 'rgba(251,113,133,0.25)' ELSE 'rgba(52,211,153,0.18)' END AS fill, CASE WHEN in_cycle THEN '#fb7185' ELSE '#34d399' END AS stroke, CASE WHEN in_cycle THEN '#fb7185' ELSE '#94a3b8' END AS label FROM ({_NODES}) n UNION ALL SELECT repo_id, src || '>' || dst, NULL, CASE WHEN in_cycle THEN '#fb7185' ELSE '#2a3a5c' END, NULL FROM ({_EDGES}) e")
+def tree_colours(spark, d):
+    """Colours of the modules and of the edges between them."""
+    n, e = A.coloured(*_graph(spark, d, A.module_graph))
+    none = F.lit(None).cast("string")
+    return n.select("repo_id", "id", "fill", "stroke", "label").union(e.select("repo_id", F.concat("src", F.lit(">"), "dst"), none, "stroke", none))
+
+
 PLAN = "(VALUES " + ", ".join(f"({i}, '{id_}', '{impact}', '{effort}')" for i, (id_, impact, effort, _) in enumerate(R.PLAN)) + ") v(k, id, impact, effort)"
 PLACED = f"planned AS (SELECT repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY list_position(['high', 'medium', 'low'], impact), list_position(['low', 'medium', 'high'], effort), k) AS place, id, impact, effort FROM found JOIN {PLAN} USING (id))"
 

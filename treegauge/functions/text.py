@@ -113,6 +113,12 @@ def band(value: Column, scale: str) -> Column:
     return out.otherwise(rest)
 
 
+def cycle_colour(in_cycle: Column, part: str) -> Column:
+    """The colour of a graph's "edge", or of the "fill", "stroke" or "label" of a node."""
+    looped, plain = R.CYCLE_COLOURS[part]
+    return F.when(in_cycle, looped).otherwise(plain)
+
+
 def shortened(text: Column, most: int) -> Column:
     """At most so many characters, the last an ellipsis where some were cut."""
     return F.when(F.char_length(text) > most, F.concat(F.left(text, F.lit(most - 1)), F.lit("…"))).otherwise(text)

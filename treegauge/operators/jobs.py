@@ -78,6 +78,11 @@ def enqueued(requests: DataFrame, jobs: DataFrame, now: Column, hours: int = 24)
     return x.select("request_id", "key", F.coalesce("flight", "cached").alias("job_id"), how.alias("how"))
 
 
+def created(admitted: DataFrame, now: Column) -> DataFrame:
+    """Jobs (job_id, key, status, created) for the new ones of enqueued(), with random ids: write them once, since ids differ in every run."""
+    return admitted.where("how = 'new'").select(F.uuid().alias("job_id"), "key", F.lit("queued").alias("status"), now.alias("created"))
+
+
 def fresh(jobs: DataFrame, now: Column, hours: int = 24) -> DataFrame:
     return jobs.where((F.col("status") == "done") & (F.col("finished") > now - F.expr(f"INTERVAL {hours} HOURS")))
 

@@ -60,6 +60,12 @@ def _decorated(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
     return n, e.select("repo_id", "src", "dst", "weight", (F.col("_src").isNotNull() & F.col("_dst").isNotNull()).alias("in_cycle"))
 
 
+def coloured(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes with fill, stroke and label, edges with stroke: the colours that tell what is in a cycle."""
+    n = nodes.select("*", *[T.cycle_colour(F.col("in_cycle"), part).alias(part) for part in ("fill", "stroke", "label")])
+    return n, edges.withColumn("stroke", T.cycle_colour(F.col("in_cycle"), "edge"))
+
+
 def top_fan_in(nodes: DataFrame, most: int = 5) -> DataFrame:
     """(repo_id, place, id, fan_in); of equal ones the larger first."""
     w = Window.partitionBy("repo_id").orderBy(F.desc("fan_in"), F.desc("loc"), "id")

@@ -386,6 +386,12 @@ def scores(facts_: DataFrame, found: DataFrame) -> DataFrame:
     return plain.unionByName(tested)
 
 
+def by_complexity(functions: DataFrame) -> DataFrame:
+    """All functions with their place in their repository: the most complex first, then in file order."""
+    w = Window.partitionBy("repo_id").orderBy(F.desc("complexity"), T.file_order(), "line")
+    return functions.withColumn("place", F.row_number().over(w))
+
+
 def contributions(facts_: DataFrame, found: DataFrame) -> DataFrame:
     """(repo_id, category, place, title, penalty): what each category's score is made of, the most costly first; testing begins with its share of test lines."""
     percent = F.floor(F.coalesce(F.try_divide("test_loc", "source_loc"), F.lit(0.0)) * 100 + 0.5).cast("long")

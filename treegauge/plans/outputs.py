@@ -111,6 +111,22 @@ def digest(graded: DataFrame, scores: DataFrame, stats: DataFrame, found: DataFr
     return x.select("repo_id", lines.alias("digest"))
 
 
+def overview(results: DataFrame, cycles: int = 4, deps: int = 10) -> DataFrame:
+    """(id, part, place, text) of stored results: the first cycles of modules, and the first dependencies with advisories and how many each has."""
+    some = lambda c, n, text: F.transform(F.slice(F.coalesce(c, F.array().cast(dict(results.select(c.alias("c")).dtypes)["c"])), 1, n), text)
+    loops = some(F.col("architecture.cycles"), cycles, lambda x, i: F.struct(F.lit("cycle").alias("part"), (i + 1).alias("place"), F.array_join(x, " > ").alias("text")))
+    bad = some(F.col("vulnerableDeps"), deps, lambda x, i: F.struct(F.lit("dependency").alias("part"), (i + 1).alias("place"), F.concat(x["name"], F.lit("@"), x["version"], F.lit(" "), F.size(x["vulns"]).cast("string")).alias("text")))
+    return results.select("id", F.explode(F.concat(loops, bad)).alias("x")).select("id", "x.*")
+
+
+def status(jobs: DataFrame, results: DataFrame) -> DataFrame:
+    """(job_id, body) of jobs (job_id, status, result_id, ...): the job as JSON, with the document of results (result_id, document) where it is done and has one."""
+    job = F.struct(*[F.col("job_id").alias("id"), *[F.col(c) for c in jobs.columns if c != "job_id"]])
+    x = jobs.withColumn("job", F.to_json(job)).join(results.select("result_id", "document"), "result_id", "left")
+    whole = F.when((F.col("status") == "done") & F.col("document").isNotNull(), F.concat(F.lit('{"job":'), "job", F.lit(',"result":'), "document", F.lit("}")))
+    return x.select("job_id", F.coalesce(whole, F.concat(F.lit('{"job":'), "job", F.lit("}"))).alias("body"))
+
+
 def listed(results: DataFrame) -> DataFrame:
     """(id, owner, repo, overall, grade, analyzed_at) of stored results: only these fields are read."""
     return results.select("id", "repo.owner", F.col("repo.name").alias("repo"), "scores.overall", "scores.grade", F.col("analyzedAt").alias("analyzed_at"))

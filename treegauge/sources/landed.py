@@ -49,6 +49,20 @@ def answer_error(status: Column, remaining: Column) -> Column:
     )
 
 
+def answers(landed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows for repo_meta(), refused (repo_id, status, error)) of landed answers (repo_id, what, status, remaining, body).
+
+    what: repo, languages or contributors. A repository is refused for what its own answer means; the other
+    two may fail or be missing, and are null then. Of several answers to one question the last body by code point counts, answers without error first.
+    """
+    told = landed.withColumn("error", answer_error(F.col("status"), F.col("remaining")))
+    best = lambda what: F.max_by(F.struct("status", "error", F.when(F.col("error").isNull(), F.col("body")).alias("body")), F.when(F.col("what") == what, F.struct(F.col("error").isNull(), F.coalesce("body", F.lit("")), F.coalesce("status", F.lit(0))))).alias(what)
+    each = told.groupBy("repo_id").agg(*[best(what) for what in ("repo", "languages", "contributors")])
+    fine = F.col("repo").isNotNull() & F.col("repo.error").isNull()
+    bad = each.where(~fine).select("repo_id", "repo.status", F.coalesce("repo.error", F.lit("missing")).alias("error"))
+    return each.where(fine).select("repo_id", F.col("repo.body").alias("repo"), F.col("languages.body").alias("languages"), F.col("contributors.body").alias("contributors")), bad
+
+
 def repo_meta(landed: DataFrame) -> DataFrame:
     """META rows of (repo_id, repo, languages, contributors) as JSON texts; the last two may be missing.
 
