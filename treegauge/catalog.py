@@ -643,19 +643,19 @@ def lex_strip(spark, d):
     return _code(spark, d).select("repo_id", "path", L.strip(F.col("raw"), F.col("analysis")).alias("code"))
 
 
-def _functions(spark: SparkSession, d: str) -> DataFrame:
-    f = _code(spark, d)
+def _functions(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    f = _code(spark, d).where(F.col("analysis") == kind)
     return L.functions(f.withColumn("code", L.strip(F.col("raw"), F.col("analysis"))))
 
 
 @query(None)
 def js_functions(spark, d):
-    return _functions(spark, d).where("path % 2 = 0")
+    return _functions(spark, d, "js")
 
 
 @query(None)
 def py_functions(spark, d):
-    return _functions(spark, d).where("path % 2 = 1")
+    return _functions(spark, d, "python")
 
 
 PAGES = "(SELECT page_id, 'import os, sys' || chr(10) || 'def page' || page_id || '(a):' || chr(10) || '    if a or ' || chr(39) || 'x' || chr(39) || ':  # text' || chr(10) || '        b = 1' || chr(10) || '    return b' || chr(10) || coalesce(html, '') AS raw FROM pages WHERE page_id % 2 = 1)"
