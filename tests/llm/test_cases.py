@@ -302,6 +302,29 @@ def test_no_audited_vector_is_no_pass(spark, caplog):
     assert {(r.n_links, r.component_id) for r in few} == {(2, 1)}
 
 
+def test_partitions_follow_the_size(spark, tmp_path):
+    df = spark.createDataFrame([(i, str(i) * 500) for i in range(3000)], "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    least = C.shuffle_width(spark)
+    assert C.width_of(docs) == least and C.width_of(df.join(docs, "doc_id")) >= least
+    one, two = C.width_of(docs, 2000), C.width_of(docs.union(docs), 2000)
+    assert one > least and abs(two - 2 * one) <= 2
+    assert C.width_of(spark.sparkContext.parallelize([(1, "a")]).toDF(["doc_id", "text"])) == least  # unknown
+
+
+def test_results_are_the_same_at_more_partitions(spark, tmp_path, monkeypatch):
+    line = "A sentence of some words that others hold as well, number {}. "
+    rows = [(i, "".join(line.format(k) for k in range(i % 7, i % 7 + 5))) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    got = []
+    for width in (C.shuffle_width(spark), 37):
+        monkeypatch.setattr(C, "width_of", lambda d, w=width: w)
+        got.append((sorted(map(tuple, repeated_sentences(docs).collect())), sorted((r.doc_id, bytes(r.kept)) for r in repeated_spans(docs).collect())))
+    assert got[0] == got[1]
+
+
 def test_only_letters_have_a_language(spark):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("the hand of that", "en"), ("der und mit haus", "de")] * 9 + [("½ ²", None), ("Ⅷ", None), ("３ ٣", None), ("ª", None), ("1é", None), ("中", None)])]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")

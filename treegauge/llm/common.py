@@ -46,6 +46,19 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of input for which a task that holds a partition is made, and above which a plan's own estimate counts as unknown.
+SHARE, UNKNOWN = 64 << 20, 1 << 50
+
+
+def width_of(docs: DataFrame, share: int = SHARE) -> int:
+    """Partitions for tasks that hold one in memory: they follow the size that docs' plan is estimated to read, and are never fewer than the session's.
+
+    So what such a task holds doesn't grow with the input, whatever the session's number is.
+    """
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(shuffle_width(docs.sparkSession), size // share if size < UNKNOWN else 0)
+
+
 def kept_names(columns: list[str], added: tuple[str, ...]) -> list[str]:
     """Names for the columns of an input beside added ones: where they clash, those of the input get a _ behind."""
     taken, out = {x.lower() for x in added}, []

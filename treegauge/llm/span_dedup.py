@@ -15,6 +15,7 @@ What stays of a repeated passage: a first or last sentence that runs on into the
 with `words`, runs of fewer than `run` sentences of `words` words or fewer. A stretch without a stop
 is one sentence, however long.
 
+A task holds its partition of runs; partitions follow the size of docs, so that this doesn't grow with it.
 A row is known by its doc_id and a hash of both its columns. Nulls: a null text has no sentences. A
 null doc_id counts as larger than all others. Without `words` and `short`, documents of fewer than
 `run` sentences lose nothing. Repeated rows come out once each, alike. A very long text is one
@@ -90,7 +91,7 @@ def repeated_sentences(docs: DataFrame, run: int = 3, words: int | None = None,
     """
     spark = docs.sparkSession
     C.prepare(spark)
-    width = C.shuffle_width(spark)
+    width = C.width_of(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
 
     def firsts(d: np.ndarray, r: np.ndarray, s: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

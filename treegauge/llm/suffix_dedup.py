@@ -16,13 +16,14 @@ minimizer, and only runs of one minimizer need be sorted together.
    strings. A string whose class has a smaller doc_id is covered.
 4. The covered intervals go back to their documents.
 
-A row is known by its doc_id and a hash of both its columns. A very long text is one worker's work,
+A task holds its partition; partitions follow the size of docs, so that this doesn't grow with it. A row
+is known by its doc_id and a hash of both its columns. A very long text is one worker's work,
 at some hundred bytes of memory a byte; runs of one minimizer are sorted together, however many.
 
 Nulls: a null text is empty. A null doc_id counts as larger than all others, so it can lose bytes
 to them and they lose none to it; equal doc_ids lose none to each other. Repeated rows come out
 once each, alike. Texts shorter than the window are left whole. Extra columns are ignored, whatever
-their names.
+their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -199,7 +200,7 @@ def repeated_spans(docs: DataFrame, window: int = 50) -> DataFrame:
     """
     spark = docs.sparkSession
     C.prepare(spark)
-    width = C.shuffle_width(spark)
+    width = C.width_of(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text")).withColumn("tid", F.xxhash64("text"))
 
     def send_minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
