@@ -5,10 +5,11 @@ from pathlib import Path
 
 import pytest
 
-from treegauge import catalog, catalog_trees
+from treegauge import catalog, catalog_code, catalog_graphs, catalog_streams, catalog_trees
 
 DATA = Path("/root/testdata/sf0.001")
-ORACLES, QUERIES = catalog.ORACLES | catalog_trees.ORACLES, catalog.QUERIES | catalog_trees.QUERIES
+ALL = (catalog, catalog_trees, catalog_code, catalog_graphs, catalog_streams)
+ORACLES, QUERIES = ({k: v for c in ALL for k, v in getattr(c, kind).items()} for kind in ("ORACLES", "QUERIES"))
 
 
 def rows(columns, values):
