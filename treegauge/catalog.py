@@ -331,12 +331,12 @@ CLOSURE = """WITH RECURSIVE e AS (SELECT DISTINCT repo_id, src, dst FROM {0} WHE
 SELECT x.repo_id, min(least(x.a, x.b)) AS cycle, x.a AS id FROM r x JOIN r y ON x.repo_id = y.repo_id AND x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY ALL"""
 
 
-@query(CLOSURE.format("(SELECT o_custkey AS repo_id, 's' || l_suppkey AS src, 's' || lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"))
+@query(CLOSURE.format("(SELECT o_custkey AS repo_id, 's' || l_suppkey AS src, 's' || lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"))
 def scc_by_customer(spark, d):
     """Cycles of suppliers in each customer's orders: an edge from the supplier of a line to that of the next one."""
     l = _t(spark, d, "lineitem").join(_t(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     name = lambda c: F.concat(F.lit("s"), c.cast("string"))
-    after = F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey"))
+    after = F.lead("l_suppkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
     return G.strong_components(l.select(F.col("o_custkey").alias("repo_id"), name(F.col("l_suppkey")).alias("src"), name(after).alias("dst")))
 
 

@@ -41,7 +41,7 @@ def _spark(sql: str) -> str:
 
 MODULES = f"""WITH RECURSIVE file AS (SELECT r AS repo_id, {_path("p_partkey", True)} AS path, p_size AS lines, CASE WHEN p_partkey % 2 = 0 THEN p_size % 17 ELSE 0 END AS cx, 'src/m' || printf('%02d', p_partkey % 97) AS m FROM part, (SELECT unnest([0, 1, 2]) AS r)),
 module AS (SELECT repo_id, m AS id, CAST(sum(lines) AS BIGINT) AS loc, max(cx) AS complexity FROM file GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY repo_id ORDER BY min(path)) <= 80),
-ref AS (SELECT l_suppkey % 3 AS repo_id, l_partkey % 97 AS s, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) % 97 AS t FROM lineitem),
+ref AS (SELECT l_suppkey % 3 AS repo_id, l_partkey % 97 AS s, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) % 97 AS t FROM lineitem),
 edge AS (SELECT repo_id, 'src/m' || printf('%02d', s) AS src, 'src/m' || printf('%02d', t) AS dst, count(*) AS weight FROM ref WHERE s <> t GROUP BY 1, 2, 3),
 top AS (SELECT e.* FROM edge e JOIN module x ON x.repo_id = e.repo_id AND x.id = e.src JOIN module y ON y.repo_id = e.repo_id AND y.id = e.dst QUALIFY row_number() OVER (PARTITION BY e.repo_id ORDER BY weight DESC, src, dst) <= 120),
 reach(repo_id, a, b) AS (SELECT repo_id, src, dst FROM top UNION SELECT r.repo_id, r.a, t.dst FROM reach r JOIN top t ON t.repo_id = r.repo_id AND t.src = r.b),
@@ -52,7 +52,7 @@ def _modules(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     part = spark.read.parquet(f"{d}/part.parquet").select("*", F.explode(F.array(*map(F.lit, range(3)))).alias("repo_id")).withColumn("path", F.expr(_path("p_partkey")))
     files = part.select("repo_id", "path", F.col("p_size").alias("lines"), F.lit("js").alias("analysis"))
     functions = part.where("p_partkey % 2 = 0").select("repo_id", "path", (F.col("p_size") % 17).alias("complexity"))
-    after = "lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey)"
+    after = "lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)"
     refs = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_suppkey % 3 AS repo_id", "l_partkey AS s", f"{after} AS t")
     edges = G.edge_weights(refs.where("t is not null").select("repo_id", F.expr(_path("s")).alias("src"), F.expr(_path("t")).alias("dst")))
     return A.module_graph(files, functions, edges)
