@@ -59,6 +59,14 @@ def width_of(docs: DataFrame, share: int = SHARE) -> int:
     return max(shuffle_width(docs.sparkSession), size // share if size < UNKNOWN else 0)
 
 
+def met(df: DataFrame) -> DataFrame:
+    """df for a join that sorts and shuffles it: for rows that multiply on the way, or that a file holds many times smaller.
+
+    Spark weighs a side by its files, whose size says little of such rows, and would send them through the driver.
+    """
+    return df.hint("merge")
+
+
 def kept_names(columns: list[str], added: tuple[str, ...]) -> list[str]:
     """Names for the columns of an input beside added ones: where they clash, those of the input get a _ behind."""
     taken, out = {x.lower() for x in added}, []
@@ -234,12 +242,12 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     both = materialize(both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).select("a", "b"))
     label = held = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
     for turn in range(rounds):
-        near = both.join(label.select(F.col("node").alias("b"), "component"), "b").select(F.col("a").alias("node"), "component", F.lit(None).cast("long").alias("was"))
+        near = both.join(met(label).select(F.col("node").alias("b"), "component"), "b").select(F.col("a").alias("node"), "component", F.lit(None).cast("long").alias("was"))
         every = near.union(label.select("node", "component", F.col("component").alias("was")))
         nxt = every.groupBy("node").agg(F.min("component").alias("component"), F.max("was").alias("was"))
         if turn > 1:  # short paths have settled; long ones are halved
             hop = nxt.select(F.col("node").alias("component"), F.col("component").alias("far"))
-            nxt = nxt.join(hop, "component", "left").select("node", F.least("component", F.coalesce("far", "component")).alias("component"), "was")
+            nxt = nxt.join(met(hop), "component", "left").select("node", F.least("component", F.coalesce("far", "component")).alias("component"), "was")
         nxt = materialize(nxt.select("node", "component", "was"))
         forget(held)
         held = nxt

@@ -89,8 +89,8 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Data
     stars = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / many).cast("int"))
     t = texts.select(F.col("doc_id").alias("id"), "text")
     heads = stars.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).withColumn("b", F.lit(None).cast("long"))
-    rays = pairs.join(stars.select("a", "parts"), "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
-    sent = heads.unionByName(rays).withColumn("id", F.coalesce("b", "a")).join(t, "id").select("a", "part", "b", "text")
+    rays = pairs.join(C.met(stars.select("a", "parts")), "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), "b")
+    sent = heads.unionByName(rays).withColumn("id", F.coalesce("b", "a")).join(C.met(t), "id").select("a", "part", "b", "text")
     width = C.shuffle_width(pairs.sparkSession)
     dealt = sent.repartition(width, "a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
 
@@ -129,7 +129,7 @@ def shared_keys(halves: DataFrame) -> DataFrame:
     keyed = halves.select("node", F.explode(every).alias("key"))
     # a node holds a key once
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    return keyed.join(shared, "key")
+    return keyed.join(C.met(shared), "key")
 
 
 def alike(x: Column, y: Column, percent: int) -> Column:
@@ -147,9 +147,9 @@ def close(l: str, r: str, percent: int) -> Column:
 def sharp_pairs(texts: DataFrame, label: DataFrame, words: int, percent: int, side: int, rows: int, seed: int) -> DataFrame:
     """(a, b) of different components among texts (doc_id, text) that meet in a sharp table and are close."""
     sig = C.materialize(signatures(texts, words, side, rows, seed).withColumnRenamed("doc_id", "node"))
-    held = C.materialize(shared_keys(sig).join(label, "node").join(sig.select("node", "n_shingles", "sketch"), "node"))
+    held = C.materialize(shared_keys(sig).join(C.met(label), "node").join(C.met(sig.select("node", "n_shingles", "sketch")), "node"))
     l, r = held.alias("l"), held.alias("r")
-    met = l.join(r, F.expr("l.key = r.key and l.component < r.component") & close("l", "r", percent))
+    met = l.join(C.met(r), F.expr("l.key = r.key and l.component < r.component") & close("l", "r", percent))
     return met.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
 
 
@@ -174,15 +174,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, side: in
 
     label, links, tested = member.select("node", F.col("node").alias("component")).distinct(), None, None
     for turn in range(stars + 1):
-        here = member.join(label, "node")
+        here = member.join(C.met(label), "node")
         by_key = here.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), *([F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("lead")] if turn < stars else []))
         open_keys = by_key.where("c0 < c1")
         if turn < stars:
-            rays = here.join(open_keys, "key").where(F.col("component") != F.col("lead.component"))
+            rays = here.join(C.met(open_keys), "key").where(F.col("component") != F.col("lead.component"))
             pairs = rays.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct().alias("p")
-            pairs = pairs.join(info.alias("l"), F.expr("p.a = l.node")).join(info.alias("r"), F.expr("p.b = r.node")).where(close("l", "r", percent)).select("p.a", "p.b")
+            pairs = pairs.join(C.met(info).alias("l"), F.expr("p.a = l.node")).join(C.met(info).alias("r"), F.expr("p.b = r.node")).where(close("l", "r", percent)).select("p.a", "p.b")
         else:
-            rest = here.join(open_keys.select("key"), "key").select(F.col("node").alias("doc_id")).distinct()
+            rest = here.join(C.met(open_keys.select("key")), "key").select(F.col("node").alias("doc_id")).distinct()
             pairs = sharp_pairs(texts.join(rest, "doc_id"), label, words, percent, sharp_side, sharp_rows, seed + 1)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
