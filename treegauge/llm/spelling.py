@@ -59,7 +59,7 @@ def near_words(words: DataFrame) -> DataFrame:
     sent = F.array_distinct(F.concat(F.array("word"), F.transform(places, lambda i: without(F.col("word"), i))))
     keys = words.where("word <> ''").select("word", "n", F.explode(sent).alias("key"))
     other = keys.select(F.col("word").alias("near"), F.col("n").alias("near_n"), "key")
-    met = keys.join(other, "key").where("word < near").where("key = word or key = near or levenshtein(word, near, 1) = 1")
+    met = keys.join(C.met(other), "key").where("word < near").where("key = word or key = near or levenshtein(word, near, 1) = 1")
     both = F.explode(F.array(F.struct("word", "near", F.col("near_n").alias("near_n")), F.struct(F.col("near").alias("word"), F.col("word").alias("near"), F.col("n").alias("near_n"))))
     return met.select(both.alias("x")).select("x.*").repartition("word").distinct()
 
@@ -67,7 +67,7 @@ def near_words(words: DataFrame) -> DataFrame:
 def forms(words: DataFrame, ratio: int = 2) -> DataFrame:
     """(word, n, n_near, form, form_n) for every row of words (word, n), each word once."""
     top = near_words(words).groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("m"), "near")).alias("x"))
-    led = words.where("word is not null").join(top, "word", "left")
+    led = words.where("word is not null").join(C.met(top), "word", "left")
     leads = -F.col("x.m") >= ratio * F.col("n")
     return led.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(leads, F.col("x.near")).alias("form"), F.when(leads, -F.col("x.m")).alias("form_n"))
 
@@ -80,12 +80,12 @@ def rooted(formed: DataFrame) -> DataFrame:
     while True:
         at = C.materialize(at)
         hop = at.select(F.col("word").alias("root"), F.col("root").alias("far"))
-        nxt = C.materialize(at.join(hop, "root", "left").select("word", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")))
+        nxt = C.materialize(at.join(C.met(hop), "root", "left").select("word", F.coalesce("far", "root").alias("root"), F.col("far").isNotNull().alias("moved")))
         if held is not None:
             C.forget(held)
         held, at = nxt, nxt.select("word", "root")
         if not nxt.where("moved").limit(1).count():
-            return formed.join(at, "word", "left").withColumn("root", F.coalesce("root", "word"))
+            return formed.join(C.met(at), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def variants(docs: DataFrame, least_chars: int = 5, least: int = 3, ratio: int = 2, slip: int | None = None) -> DataFrame:
