@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from treegauge.functions import text as T
 from treegauge.operators import jobs as J
 from treegauge.plans import audit, outputs
 from treegauge.sources import landed as LA
@@ -35,3 +36,9 @@ def test_answers(spark):
     assert sorted((r.repo_id, r.error) for r in bad.collect()) == [("b", "missing"), ("c", "unreachable"), ("d", "missing"), ("f", "limit")]
     meta = LA.repo_meta(fine).collect()
     assert {(r.repo_id, r.name, tuple(r.languages)) for r in meta} == {("a", "a", ("Go",)), ("e", None, ())}
+
+
+def test_thousands_round_as_the_double_stands(spark):
+    values = [*range(990, 4000), *range(99_900, 100_100), 1_049_950, 2**53 + 50, 10**15 + 50, 10**17 + 950, None, 0, -1450]
+    got = spark.createDataFrame([(v,) for v in values], "n long").select("n", T.thousands(F.col("n")).alias("t")).collect()
+    assert [r.t for r in got] == [None if v is None else f"{float(v) / 1000:.1f}k" if v >= 1000 else str(v) for v in values]
