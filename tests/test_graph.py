@@ -34,3 +34,11 @@ def test_strong_components_of_chains_rings_and_nothing(spark):
     got = G.strong_components(spark.createDataFrame(ring + chain + two, "repo_id string, src string, dst string"), 0)
     assert sorted(map(tuple, got.collect())) == plain(ring + chain + two)
     assert G.strong_components(spark.createDataFrame([], "repo_id string, src string, dst string")).count() == 0
+
+
+def test_small_graphs_share_calls_of_python(spark):
+    rows = [(i % 700, f"n{i % 3}", f"n{(i + 1) % 3}") for i in range(2100)] + [(None, "a", "b"), (None, "b", "a")]
+    got = G.cycles(spark.createDataFrame(rows, "repo_id long, src string, dst string").repartition(3))
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
+    want = [(*x[:2], n) for r in {x[0] for x in rows} for g in G.strongly_connected([], [x[1:] for x in rows if x[0] == r]) for x, n in [((r, g[0]), n) for n in g]]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)

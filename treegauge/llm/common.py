@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treegauge.scratch import forget
+from treegauge.scratch import forget, met
 from treegauge.scratch import written as materialize
 from treegauge.workers import ship
 
@@ -59,14 +59,6 @@ def width_of(docs: DataFrame, share: int = SHARE) -> int:
     return max(shuffle_width(docs.sparkSession), size // share if size < UNKNOWN else 0)
 
 
-def met(df: DataFrame) -> DataFrame:
-    """df for a join that sorts and shuffles it: for rows that multiply on the way, or that a file holds many times smaller.
-
-    Spark weighs a side by its files, whose size says little of such rows, and would send them through the driver.
-    """
-    return df.hint("merge")
-
-
 def kept_names(columns: list[str], added: tuple[str, ...]) -> list[str]:
     """Names for the columns of an input beside added ones: where they clash, those of the input get a _ behind."""
     taken, out = {x.lower() for x in added}, []
