@@ -42,3 +42,8 @@ def test_small_graphs_share_calls_of_python(spark):
     assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString()
     want = [(*x[:2], n) for r in {x[0] for x in rows} for g in G.strongly_connected([], [x[1:] for x in rows if x[0] == r]) for x, n in [((r, g[0]), n) for n in g]]
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_labels_are_numbers(spark):
+    edges = spark.createDataFrame([(5, 3), (3, 9), (9, 5), (1, 7), (7, 8), (2, 8)], "a long, b long")
+    assert {r.node: r.label for r in G._spread(edges).collect()} == {5: 3, 3: 3, 9: 3, 1: 1, 7: 1, 8: 1, 2: 2}
