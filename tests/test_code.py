@@ -42,3 +42,16 @@ def test_hosts_are_repositories(spark, pages):
     got = {(r.repo_id, r.path) for r in catalog.lex_strip(spark, pages).collect()}
     assert got == {(f"h{i % 2}.example", str(i)) for i in HTML}
     assert {(r.repo_id, r.files) for r in catalog.audit_report(spark, pages).collect()} == {("h0.example", 2), ("h1.example", 2)}
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    names = [f"spark.sql.execution.arrow.{x}" for x in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    for name, value in zip(names, ("10000", "67108864b"), strict=True):
+        spark.conf.set(name, value)
+    L.functions(spark.createDataFrame([("r", "p", "x", "js")], "repo_id string, path string, code string, analysis string"))
+    assert [spark.conf.get(x) for x in names] == ["1000", str(4 << 20)]
+    spark.conf.set(names[1], "1000")
+    L.strip(F.lit("x"), F.lit("js"))
+    assert spark.conf.get(names[1]) == "1000"
+    for name in names:
+        spark.conf.unset(name)
