@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from treegauge.operators import versions
 from treegauge.operators.versions import in_ranges, version_key
 
 ORDERED = ["0", "0.0.1-1", "0.0.1", "0.9", "1.0.0-2", "1.0.0-10", "1.0.0-alpha", "1.0.0-alpha.1", "1.0.0-alpha.beta", "1.0.0-beta", "1.0.0-beta.2", "1.0.0-beta.11", "1.0.0-rc.1", "1.0.0", "1.0.post1", "1.0.post2", "1.0.0.1", "1.0.1", "1.2", "1.10.0-rc.1", "1.10", "2.0b1", "2.0rc1", "2.0rc12", "2", "10.0.0-a", "10", "99999999999999999999999.1"]
@@ -46,3 +47,21 @@ def test_ranges_against_every_pair(spark):
     got = in_ranges(spark.createDataFrame(deps, "repo_id long, ecosystem string, name string, version string"), spark.createDataFrame(ranges, "ecosystem string, name string, vuln_id string, introduced string, fixed string, last_affected string"))
     assert sorted((r.repo_id, r.ecosystem, r.name, r.version, r.vulns) for r in got.collect()) == want
     assert len(want) > 200
+
+
+def test_texts_become_keys_once(spark, monkeypatch):
+    deps = spark.createDataFrame([(i, "npm", f"p{i % 3}", v) for i in range(9) for v in ("1.0", "1.0.0", "1.2-rc.1", "2.1", "x")], "repo_id long, ecosystem string, name string, version string")
+    ranges = spark.createDataFrame([("npm", f"p{i % 2}", f"V{i:02}", "1.0", "2.0" if i % 4 else None, None) for i in range(24)] + [("npm", "p1", None, "0", None, "1.0")], "ecosystem string, name string, vuln_id string, introduced string, fixed string, last_affected string")
+
+    def rows():
+        got = in_ranges(deps, ranges)
+        # keys come from a table: neither the versions nor the ranges of the plan are lexed
+        assert "regexp_extract" not in got._jdf.queryExecution().optimizedPlan().toString()
+        return sorted((r.repo_id, r.name, r.version, r.vulns) for r in got.collect())
+
+    few = rows()
+    assert len(few) == 3 * 4 + 3 * 3
+    assert few[0] == (0, "p0", "1.0", [f"V{i:02}" for i in range(0, 16, 2)])
+    assert (0, "p0", "2.1", [f"V{i:02}" for i in range(0, 24, 4)]) in few
+    monkeypatch.setattr(versions, "FEW_TEXTS", 0)
+    assert rows() == few

@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from treegauge.operators.deps import advice_name
+from treegauge.scratch import met, written
+
+#: Keys of so many texts at most are sent to all tasks.
+FEW_TEXTS = 100_000
 
 
 def _number(x: Column) -> Column:
@@ -38,26 +42,43 @@ def in_ranges(deps: DataFrame, ranges: DataFrame, most: int = 8) -> DataFrame:
     ranges (ecosystem, name, vuln_id, introduced, fixed, last_affected): from introduced on (null or 0: from the first
     version on), before fixed, or up to last_affected; both null: without end. Ranges of one advisory add up.
 
-    The bounds of a package's ranges cut its versions into buckets, which they are numbered by; a range is a run of buckets, and a
-    version lies in one. So a version meets only the ranges that hold it, by an equi-join on package and bucket. Only distinct
-    versions are placed, so a dependency that a third of all rows pin weighs no more than another. Versions without a number,
+    The bounds of a package's ranges cut its versions into buckets, and a version lies in one. What holds a bucket is
+    settled among the ranges alone and goes with its lower bound, so that each version takes the list of the last bound at
+    or below it, in one sorted pass over a package's bounds and versions: no version meets a range. Texts of versions
+    repeat from package to package, so each is made a key once; the keys are broadcast if they are few, by their count. Only distinct versions are
+    placed, so a dependency that a third of all rows pin weighs no more than another. Versions without a number,
     and ranges with a bound that has none, match nothing. The first `most` advisories by id are listed.
     """
     package = ["service", "name"]
     named = deps.withColumn("service", advice_name(F.col("ecosystem")))
-    versions = named.select(*package, "version", version_key(F.col("version")).alias("key")).where("key is not null and name is not null").distinct()
-    key = lambda c: version_key(F.col(c))
-    from_ = F.when(F.col("introduced").isNull() | (F.col("introduced") == "0"), F.lit("")).otherwise(key("introduced"))
+    once = named.where("name is not null and version is not null").select(*package, "version").distinct()
+    texts = once.select("version")
+    for c in ("introduced", "fixed", "last_affected"):
+        texts = texts.union(ranges.select(c))
+    keys = written(texts.where("version is not null").distinct().select("version", version_key(F.col("version")).alias("key")))
+    small = keys.count() <= FEW_TEXTS
+
+    def key(df: DataFrame, c: str, name: str) -> DataFrame:
+        side = keys.select(F.col("version").alias(c), F.col("key").alias(name))
+        return df.join(F.broadcast(side) if small else met(side), c, "left")
+
+    versions = key(once, "version", "key").where("key is not null")
+    bounded = key(key(key(ranges, "introduced", "i"), "fixed", "f"), "last_affected", "l")
+    from_ = F.when(F.col("introduced").isNull() | (F.col("introduced") == "0"), F.lit("")).otherwise(F.col("i"))
     # the least text above a key is the key and one more character, the smallest
-    to = F.when(F.col("fixed").isNotNull(), key("fixed")).when(F.col("last_affected").isNotNull(), F.concat(key("last_affected"), F.lit("\x01"))).otherwise("￿")
-    r = ranges.select(advice_name(F.col("ecosystem")).alias("service"), "name", "vuln_id", from_.alias("lo"), to.alias("hi")).where("lo < hi").distinct()
-    bounds = r.select(*package, F.explode(F.array("lo", "hi")).alias("key")).distinct()
-    placed = bounds.select(*package, "key", F.lit(None).cast("string").alias("version"), F.lit(1).alias("bound")).unionByName(versions.withColumn("bound", F.lit(0)))
-    w = Window.partitionBy(*package).orderBy("key", F.desc("bound")).rowsBetween(Window.unboundedPreceding, 0)
-    placed = placed.withColumn("bucket", F.sum("bound").over(w))
-    at = lambda c, name: placed.where("bound = 1").select(*package, F.col("key").alias(c), F.col("bucket").alias(name))
-    runs = r.join(at("lo", "first"), [*package, "lo"]).join(at("hi", "end"), [*package, "hi"])
-    cells = runs.select(*package, "vuln_id", F.explode(F.sequence("first", F.col("end") - 1)).alias("bucket")).distinct()
-    hit = placed.where("bound = 0").select(*package, "version", "bucket").join(cells, [*package, "bucket"])
-    few = hit.groupBy(*package, "version").agg(F.slice(F.array_sort(F.collect_set("vuln_id")), 1, most).alias("vulns"))
-    return named.join(few, [*package, "version"]).select("repo_id", "ecosystem", "name", "version", "vulns")
+    to = F.when(F.col("fixed").isNotNull(), F.col("f")).when(F.col("last_affected").isNotNull(), F.concat("l", F.lit("\x01"))).otherwise("￿")
+    r = bounded.select(advice_name(F.col("ecosystem")).alias("service"), "name", "vuln_id", from_.alias("lo"), to.alias("hi")).where("lo < hi and name is not null").distinct()
+    # both bounds of a range in the order of all its package's: their places are the first bucket inside and the first behind
+    ends = r.select(*package, "vuln_id", "lo", "hi", F.explode(F.array("lo", "hi")).alias("key"))
+    ranked = ends.withColumn("bucket", F.dense_rank().over(Window.partitionBy(*package).orderBy("key")))
+    runs = ranked.groupBy(*package, "vuln_id", "lo", "hi").agg(F.min("bucket").alias("first"), F.max("bucket").alias("end"))
+    cells = runs.select(*package, F.explode(F.sequence("first", F.col("end") - 1)).alias("bucket"), "vuln_id").distinct()
+    few = cells.withColumn("place", F.row_number().over(Window.partitionBy(*package, "bucket").orderBy(F.asc_nulls_last("vuln_id")))).where(F.col("place") <= most)
+    held = few.groupBy(*package, "bucket").agg(F.array_sort(F.collect_list("vuln_id")).alias("vulns"))
+    bounds = ranked.select(*package, "bucket", "key").distinct().join(met(held), [*package, "bucket"], "left")
+    none = F.array().cast("array<string>")
+    both = bounds.select(*package, "key", F.lit(None).cast("string").alias("version"), F.coalesce("vulns", none).alias("vulns")).unionByName(versions.withColumn("vulns", F.lit(None).cast("array<string>")))
+    # a bound comes before the versions that equal it
+    w = Window.partitionBy(*package).orderBy("key", F.asc_nulls_first("version")).rowsBetween(Window.unboundedPreceding, 0)
+    hit = both.withColumn("vulns", F.last("vulns", True).over(w)).where("version is not null and size(vulns) > 0")
+    return named.join(met(hit.select(*package, "version", "vulns")), [*package, "version"]).select("repo_id", "ecosystem", "name", "version", "vulns")
