@@ -3,8 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from treegauge import catalog_graphs
 from treegauge.operators import graph as G
+from treegauge.operators import imports as I
 
 
 def plain(rows):
@@ -47,3 +50,23 @@ def test_small_graphs_share_calls_of_python(spark):
 def test_labels_are_numbers(spark):
     edges = spark.createDataFrame([(5, 3), (3, 9), (9, 5), (1, 7), (7, 8), (2, 8)], "a long, b long")
     assert {r.node: r.label for r in G._spread(edges).collect()} == {5: 3, 3: 3, 9: 3, 1: 1, 7: 1, 8: 1, 2: 2}
+
+
+def test_modules_are_worked_out_once_an_edge(spark):
+    rows = [("r", "src/a/x.ts", "src/b/y.ts", 2), ("r", "src/a/z.ts", "src/b/y.ts", 3), ("r", "src/a/x.ts", "src/a/z.ts", 7), ("r", "x.ts", "docs/a/b.ts", 1), ("r", None, "x.ts", 1), ("r", "src/x.ts", "/x.ts", 1)]
+    got = I.module_edges(spark.createDataFrame(rows, "repo_id string, src string, dst string, weight long").repartition(2))
+    assert sorted(tuple(r) for r in got.collect()) == [("r", "(root)", "docs", 1), ("r", "src", "", 1), ("r", "src/a", "src/b", 5)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("(root)") == 2
+
+
+def test_paths_of_large_graphs(spark):
+    keys = [0, 96, 97, 12345, 99_999_999, 123_456_789]
+    got = spark.createDataFrame([(k,) for k in keys], "k long").select(F.expr(catalog_graphs._path("k")).alias("p")).collect()
+    assert [r.p for r in got] == [f"src/m{k % 97:02d}/f{k:08d}.ts" for k in keys]
+
+
+def test_limited_modules_sums_no_file_edges(spark):
+    plan = catalog_graphs.limited_modules(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # the only counts and sums over references are those between modules
+    assert "Aggregate [repo_id" in plan
+    assert "count(1)" not in plan
