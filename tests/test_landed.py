@@ -185,3 +185,28 @@ def test_scratch_tables(spark):
     scratch.forget(t)
     with pytest.raises(Exception, match="(?i)does not exist|not found|PATH_NOT_FOUND"):
         spark.read.parquet(path).count()
+
+
+def test_small_documents_are_shared_out_among_tasks(spark, tmp_path):
+    # as in results.Analysis: one aggregate makes the documents, which are too small for more than one task by size
+    docs = spark.range(40).groupBy(F.col("id").cast("string").alias("id")).agg(F.lit('{"id": "x"}').alias("document"))
+    LA.save_results(docs, str(tmp_path / "many"))
+    tasks = {f.name.split("-")[1] for f in (tmp_path / "many").rglob("part-*.txt")}
+    assert len(list((tmp_path / "many").iterdir())) >= 40
+    assert len(tasks) > 1
+
+
+def test_matches_are_looked_for_once(spark, monkeypatch):
+    looked = []
+    one = audit.O.pattern_lines
+    monkeypatch.setattr(audit.O, "pattern_lines", lambda files: looked.append(1) or one(files))
+    df = spark.createDataFrame([("r", "app/x.py", 9, "eval(c)\n"), ("r", "README.md", 4, "# Hi")], "repo_id string, path string, size long, raw string")
+    none = spark.createDataFrame([], "ecosystem string, name string, version string, vuln_id string")
+    p = audit.Parts(df, none)
+    # what is asked for by findings and by places is one table
+    monkeypatch.setattr(audit.Parts, "functions", spark.createDataFrame([], "repo_id string, path string, name string, line int, complexity int, nesting int"))
+    monkeypatch.setattr(audit.Parts, "bad", spark.createDataFrame([], "repo_id string, ecosystem string, name string, version string, vulns array<string>"))
+    facts = spark.createDataFrame([], audit.known(p, LA.local_meta(df.select("repo_id").distinct(), datetime(2025, 1, 1)), datetime(2025, 1, 1)).schema)
+    found = audit.findings(facts, p.code, p=p)
+    assert {r.id for r in found.collect()} == {r.id for r in audit.places(p).select("id").distinct().collect()} != set()
+    assert looked == [1]
