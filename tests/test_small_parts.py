@@ -1,7 +1,9 @@
 """Views of stored results, ranked functions, ids of new jobs and landed answers."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from treegauge import catalog_trees
 from treegauge.functions import text as T
 from treegauge.operators import jobs as J
 from treegauge.plans import audit, outputs
@@ -42,3 +44,18 @@ def test_thousands_round_as_the_double_stands(spark):
     values = [*range(990, 4000), *range(99_900, 100_100), 1_049_950, 2**53 + 50, 10**15 + 50, 10**17 + 950, None, 0, -1450]
     got = spark.createDataFrame([(v,) for v in values], "n long").select("n", T.thousands(F.col("n")).alias("t")).collect()
     assert [r.t for r in got] == [None if v is None else f"{float(v) / 1000:.1f}k" if v >= 1000 else str(v) for v in values]
+
+
+@pytest.mark.parametrize("kind", ["bigint", "double", "decimal(18,0)"])
+def test_score_bands_against_duckdb_whatever_number_an_id_is(spark, tmp_path, kind):
+    import duckdb
+
+    # user u: one event, whose id is u; every tie between 1 and 40 thousand, and short ids
+    ids = spark.range(0, 40_000, 50).unionAll(spark.range(995, 1006)).distinct()
+    ids.select(F.col("id").cast(kind).alias("event_id"), F.col("id").alias("user_id")).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(catalog_trees.ORACLES["score_bands"])
+    columns = [c[0] for c in want.description]
+    got = catalog_trees.QUERIES["score_bands"](spark, str(tmp_path)).select(columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
