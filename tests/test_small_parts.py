@@ -59,3 +59,24 @@ def test_score_bands_against_duckdb_whatever_number_an_id_is(spark, tmp_path, ki
     columns = [c[0] for c in want.description]
     got = catalog_trees.QUERIES["score_bands"](spark, str(tmp_path)).select(columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+@pytest.mark.parametrize(
+    "ids",
+    [
+        *[f"CAST({n} AS {kind})" for kind in ("DOUBLE", "DECIMAL(18,1)") for n in ("e * 0.5", "-e * 0.5", "1000 + e * 99.5")],
+        "CASE e % 3 WHEN 0 THEN 9000000000000000000 WHEN 1 THEN 9000000000000000001 ELSE -9000000000000000000 END - e % 3",
+        "CASE WHEN e % 2 = 0 THEN CAST(e * 950 AS INTEGER) END",
+    ],
+)
+def test_score_bands_add_and_round_ids_as_duckdb_does(spark, tmp_path, ids):
+    import duckdb
+
+    # halves that go to either side, signs, sums that leave BIGINT on their way, and missing ids
+    con = duckdb.connect()
+    con.execute(f"CREATE TABLE events AS SELECT e // 3 AS user_id, {ids} AS event_id FROM range(300) t(e)")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    want = con.execute(catalog_trees.ORACLES["score_bands"])
+    columns = [c[0] for c in want.description]
+    got = catalog_trees.QUERIES["score_bands"](spark, str(tmp_path)).select(columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
