@@ -2,9 +2,11 @@
 
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from test_audit import ADVICE, BRANCHY, SAME
+from test_catalog import DATA, ORACLES, QUERIES, rows
 from treegauge.plans import audit, outputs, scoring
 from treegauge.sources import landed
 
@@ -34,3 +36,38 @@ def test_a_duel_sees_every_file_and_module(spark):
     scores = audit.scores(known, audit.findings(known, p.code))
     duel = outputs.duel(scores, scoring.overall(scores), spark.createDataFrame([("small", "large")], "a string, b string"))
     assert {(r.category, r.told) for r in duel.collect()} == {(c, "tie") for c in outputs.ORDER}
+
+
+@pytest.fixture(scope="module")
+def large(spark, tmp_path_factory):
+    """The smallest pages, and 2,100 more in the first repository: 4,200 files, before most of those with references and secrets."""
+    folder = tmp_path_factory.mktemp("large")
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").withColumn("page_id", F.col("page_id").cast("double"))
+    more = spark.range(2100).select((F.lit(20.5) + F.col("id") / 8192).alias("page_id"), F.lit("https://a.example/").alias("url"), F.lit("a=1").alias("html"))
+    pages.unionByName(more).coalesce(1).write.parquet(f"{folder}/pages.parquet")
+    return str(folder)
+
+
+def as_in_sql(spark, d, name):
+    """The rows of a query, which are those of its SQL."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{d}/pages.parquet/*.parquet'")
+    want = con.execute(ORACLES[name])
+    columns = [c[0] for c in want.description]
+    got = QUERIES[name](spark, d)
+    out = rows(got.columns, [tuple(r) for r in got.collect()])
+    assert out == rows(columns, want.fetchall())
+    return out
+
+
+@pytest.mark.skipif(not DATA.is_dir(), reason="no test tables")
+def test_links_of_every_file(spark, large):
+    assert (1, "src/auth/login.ts", "r0.0", "../util/a", "src/util/a.ts") in as_in_sql(spark, large, "tree_links")
+
+
+def test_every_text_is_loaded(spark):
+    files = spark.range(62).select(F.lit("r").alias("repo_id"), F.format_string("f%d.go", "id").alias("path"), F.repeat(F.lit("x"), 1 << 20).alias("raw"))
+    p = audit.Parts(tree(files), spark.createDataFrame([], ADVICE))
+    assert audit.loaded(p.files).count() == 62
