@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from test_audit import ADVICE, BRANCHY, SAME
 from test_catalog import DATA, ORACLES, QUERIES, rows
+from treegauge.plans import architecture as A
 from treegauge.plans import audit, outputs, scoring
 from treegauge.sources import landed
 
@@ -71,3 +72,21 @@ def test_every_text_is_loaded(spark):
     files = spark.range(62).select(F.lit("r").alias("repo_id"), F.format_string("f%d.go", "id").alias("path"), F.repeat(F.lit("x"), 1 << 20).alias("raw"))
     p = audit.Parts(tree(files), spark.createDataFrame([], ADVICE))
     assert audit.loaded(p.files).count() == 62
+
+
+def test_graphs_of_all_modules(spark):
+    n = 150
+    files = spark.range(n).select(F.lit("r").alias("repo_id"), F.format_string("m%d/a.js", "id").alias("path"), (F.col("id") + 1).alias("lines"), F.lit("js").alias("analysis"))
+    none = spark.createDataFrame([], "repo_id string, path string, complexity int")
+    # one ring of all modules but the last, which leads into it
+    edges = spark.range(n).select(F.lit("r").alias("repo_id"), F.format_string("m%d/a.js", "id").alias("src"), F.format_string("m%d/a.js", (F.col("id") + 1) % (n - 1)).alias("dst"), (F.col("id") + 1).alias("weight"))
+    nodes, held = A.module_graph(files, none, edges)
+    assert {(r.id, r.loc, r.fan_out, r.in_cycle) for r in nodes.collect()} == {(f"m{i}", i + 1, i + 1, i < n - 1) for i in range(n)}
+    assert {(r.src, r.dst, r.weight, r.in_cycle) for r in held.collect()} == {(f"m{i}", f"m{(i + 1) % (n - 1)}", i + 1, i < n - 1) for i in range(n)}
+    nodes, held = A.module_graph(files, none, edges, 80, 20)
+    assert nodes.count() == 80 and held.count() == 20
+
+
+@pytest.mark.skipif(not DATA.is_dir(), reason="no test tables")
+def test_modules_of_every_file(spark, large):
+    assert ("r0.0", "src/util") in {(r[-1], r[3]) for r in as_in_sql(spark, large, "tree_module_nodes")}
