@@ -90,3 +90,9 @@ def test_graphs_of_all_modules(spark):
 @pytest.mark.skipif(not DATA.is_dir(), reason="no test tables")
 def test_modules_of_every_file(spark, large):
     assert ("r0.0", "src/util") in {(r[-1], r[3]) for r in as_in_sql(spark, large, "tree_module_nodes")}
+
+
+@pytest.mark.skipif(not DATA.is_dir(), reason="no test tables")
+def test_secrets_of_every_file(spark, large):
+    got = as_in_sql(spark, large, "tree_secrets")
+    assert {"src/auth/login.ts", "src/keys.ts"} <= {r[3] for r in got if r[5] == "r0.0"}
